@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ripplet.llm import bpe, exact_dedup, fingerprint, packing, simhash
+from ripplet.llm import bpe, exact_dedup, fingerprint, packing, pii, quality, simhash, toxicity
 from ripplet.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,16 +24,30 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(read(spark, sf_dir, "documents"))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pii_report(read(spark, sf_dir, "documents"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs, read(spark, sf_dir, "labels")))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_quartile_digest, op2_exact_dedup, op3_bpe, op5_simhash, op8_packing)}
+    return {f.__name__: f for f in (op1_quartile_digest, op2_exact_dedup, op3_bpe, op4_pii, op5_simhash, op6_toxicity, op7_quality, op8_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
