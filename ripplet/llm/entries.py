@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ripplet.llm import bpe, exact_dedup, fingerprint, packing, pii, quality, simhash, toxicity
+from ripplet.llm import bpe, exact_dedup, fingerprint, html, packing, pii, quality, secrets, simhash, toxicity
 from ripplet.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -46,8 +46,16 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
 
 
+def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(read(spark, sf_dir, "pages"))
+
+
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_quartile_digest, op2_exact_dedup, op3_bpe, op4_pii, op5_simhash, op6_toxicity, op7_quality, op8_packing)}
+    return {f.__name__: f for f in (op1_quartile_digest, op2_exact_dedup, op3_bpe, op4_pii, op5_simhash, op6_toxicity, op7_quality, op8_packing, op9_html, op10_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
