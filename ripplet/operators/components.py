@@ -70,11 +70,13 @@ def _star(pairs: DataFrame, large: bool) -> DataFrame:
     The large star hangs every larger neighbour on the node's smallest one; the
     small star does so with the smaller neighbours and the node itself.
     """
+    # The smallest neighbour is keyed anew, so that the join shuffles both sides itself and AQE can split a hub's edges.
+    key = (F.col("u") + F.lit(0)).alias("k")
     if large:
         both = pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        moved = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select(key, F.least("u", "m").alias("m"))
+        moved = both.where("v > u").join(least, F.col("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         least = pairs.groupBy("u").agg(F.min("v").alias("m"))
-        moved = pairs.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
+        moved = pairs.join(least.select(key, "m"), F.col("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
     return moved.where("u <> v").distinct()
