@@ -12,6 +12,7 @@ from ripplet.functions.extract import calls_of, functions_of, imports_of
 from ripplet.operators import build, load, report, resolve, traverse
 from ripplet.operators.cache import ParseCache, parse_directory
 from ripplet.operators.components import materialize
+from ripplet.plans.shipping import ship
 from ripplet.sources import tables
 
 
@@ -46,6 +47,7 @@ class Parsed:
 
 
 def parse(spark: SparkSession, directory: str, cache: str | None = None) -> Parsed:
+    ship(spark)
     rows = materialize(parse_directory(spark, directory, ParseCache(spark, cache) if cache else None), "parsed")
     if rows.isEmpty():
         raise NoSourceFiles(directory)
