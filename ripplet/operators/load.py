@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ripplet.plans.schemas import EDGE_ENDS, VERTEX_TYPES
+from ripplet.plans.schemas import EDGE_ENDS, VERTEX_TYPES, VERTICES
+
+_LOADED_VERTICES = VERTICES + ", load_seq bigint"
+_LOADED_EDGES = "source string, target string, source_type string, target_type string, type string"
 
 
 def map_vertex_types(vertices: DataFrame) -> DataFrame:
@@ -48,8 +51,8 @@ def load_graph(spark: SparkSession, vertices: DataFrame, edges: DataFrame, path:
     own = map_vertex_types(vertices).withColumn("load_seq", seq.cast("bigint"))
     links = typed_edges(edges).select("source", "target", "type", "source_type", "target_type")
     if now is not None and mode == "append":
-        own = own.unionByName(spark.read.parquet(f"{path}/v{now}/vertices"))
-        links = links.unionByName(spark.read.parquet(f"{path}/v{now}/edges"))
+        own = own.unionByName(spark.read.schema(_LOADED_VERTICES).parquet(f"{path}/v{now}/vertices"))
+        links = links.unionByName(spark.read.schema(_LOADED_EDGES).parquet(f"{path}/v{now}/edges"))
     version = 0 if now is None else now + 1
     upsert(own, "id", "load_seq").write.mode("overwrite").parquet(f"{path}/v{version}/vertices")
     links.distinct().write.mode("overwrite").partitionBy("type").parquet(f"{path}/v{version}/edges")
@@ -69,4 +72,4 @@ def graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     now = current(spark, path)
     if now is None:
         raise FileNotFoundError(f"no graph at {path}")
-    return spark.read.parquet(f"{path}/v{now}/vertices").drop("load_seq"), spark.read.parquet(f"{path}/v{now}/edges")
+    return spark.read.schema(_LOADED_VERTICES).parquet(f"{path}/v{now}/vertices").drop("load_seq"), spark.read.schema(_LOADED_EDGES).parquet(f"{path}/v{now}/edges")

@@ -51,7 +51,11 @@ def candidate_tables(preferred: str | None, data_dir: str = "data") -> list[str]
     """Vertex CSVs to look in: the given one, the environment's, the default one, then nested ones, newest first."""
     nested = sorted(glob.glob(os.path.join(data_dir, "**", "vertices.csv"), recursive=True), key=lambda p: -os.stat(p).st_mtime)
     named = [preferred, os.environ.get("VERTICES_CSV", "").strip(), os.path.join(data_dir, "vertices.csv"), *nested]
-    return list({os.path.realpath(p): p for p in reversed([p for p in named if p and os.path.exists(p)])}.values())[::-1]
+    found: dict[str, str] = {}
+    for path in named:
+        if path and os.path.exists(path):
+            found.setdefault(os.path.realpath(path), path)
+    return list(found.values())
 
 
 def ranked_vertices(spark: SparkSession, tables: list[DataFrame]) -> DataFrame:

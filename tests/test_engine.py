@@ -1,0 +1,177 @@
+import json
+import os
+import zipfile
+from pathlib import Path
+
+import pytest
+from pyspark.sql import functions as F
+
+from ripplet import api
+from ripplet.functions import scalars
+from ripplet.operators import cache, registry, report, resolve
+from ripplet.plans.schemas import MODELS, PROJECTS, SESSIONS, VERTICES
+from ripplet.sources import tables
+from ripplet.sources.pytree import source_files
+from ripplet.streaming.incremental import stream_load, stream_vertices
+
+
+@pytest.fixture
+def project(tmp_path):
+    root = tmp_path / "app"
+    (root / "lib").mkdir(parents=True)
+    (root / "base.py").write_text("def connect():\n    pass\ndef save(x):\n    connect()\n")
+    (root / "lib" / "__init__.py").write_text("")
+    (root / "lib" / "auth.py").write_text("from base import save\nimport missing\ndef login(user):\n    save(user)\n    print(user)\n")
+    (root / "lib" / "oauth.py").write_text("import base\ndef grant():\n    login(1)\n")
+    (root / "broken.py").write_text("def f(:\n")
+    return root
+
+
+def test_analyze_end_to_end(spark, project, tmp_path):
+    counts, impact = api.analyze(spark, str(project), str(tmp_path / "graph"), "What breaks if I change login?", depth=3)
+    assert counts == (9, 9)  # 5 files, 4 functions; 4 contained, 3 calls, 2 imports
+    assert (impact.target, impact.target_type) == ("login", "function")
+    assert sorted(n["name"] for n in impact.nodes) == ["connect", "save"] and impact.risk == "Low"
+    engine = api.Engine(spark, str(tmp_path / "graph"))
+    callers = engine.query("Impact of connect", depth=5, direction="in")
+    assert sorted(n["name"] for n in callers.nodes) == ["grant", "login", "save"] and callers.risk == "Medium"
+    nothing = engine.query("change connect")
+    assert nothing.total == 0 and nothing.risk == "None" and "No downstream impact" in nothing.explanation
+    file = engine.query("x", extractor=lambda q: ' "auth.py" ', depth=1)
+    assert file.target_type == "file" and any(n["name"].endswith("auth.py") for n in file.nodes)
+    with pytest.raises(ValueError):
+        engine.query("nothing named here")
+    with pytest.raises(ValueError):
+        engine.query("login", depth=21)
+    nodes, edges = engine.graph_data()
+    assert nodes.columns == ["id", "label", "type", "filepath"] and edges.count() == 9
+
+
+def test_no_files_and_totals(spark, project, tmp_path):
+    (tmp_path / "empty").mkdir()
+    with pytest.raises(api.NoSourceFiles):
+        api.parse(spark, str(tmp_path / "empty"))
+    assert api.parse(spark, str(project)).totals().first().asDict() == {"files": 5, "functions": 4, "imports": 3, "errors": 1}
+
+
+def test_zip(spark, project, tmp_path):
+    archive = tmp_path / "a.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        z.write(project / "base.py", "base.py")
+    assert api.Engine(spark, str(tmp_path / "g")).ingest_zip(str(archive), str(tmp_path / "staging")) == (3, 3)
+    with zipfile.ZipFile(archive, "w") as z:
+        z.writestr("../evil.py", "x = 1")
+    for path, limit in ((archive, 10**6), (archive, 1), (project / "base.py", 10**6)):
+        with pytest.raises(ValueError):
+            tables.unzip(str(path), str(tmp_path / "s2"), limit)
+    assert "def connect" in tables.source_text(str(project), "base.py")
+    with pytest.raises(PermissionError):
+        tables.source_text(str(project), "../a.zip")
+
+
+def test_cache(spark, project, tmp_path):
+    store = cache.ParseCache(spark, str(tmp_path / "cache"))
+    assert cache.parse_directory(spark, str(project), store).count() == 5
+    (project / "base.py").write_text("def other():\n    pass\n")
+    (project / "broken.py").unlink()
+    files = source_files(spark, str(project))
+    assert cache.cache_counts(files, store.load()).first().asDict() == {"hits": 3, "misses": 1}
+    again = cache.parse_directory(spark, str(project), store)
+    assert again.count() == 4 and [r.functions[0].name for r in again.where("path_id like '%base.py'").collect()] == ["other"]
+    assert store.load().count() == 5  # the deleted file stays
+    assert store.clear() and store.load().count() == 0
+
+
+def vertices(spark, rows):
+    return spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], VERTICES + ", row_ord bigint")
+
+
+def test_target_lookup(spark):
+    v = vertices(spark, [("file::x/oauth.py", "File", "oauth.py", "x/oauth.py"), ("file::x/auth.py", "File", "auth.py", "x/auth.py"), ("func::a::g", "Function", "f", "a"), ("f", "Function", "h", "a"), ("func::b::g", "Function", "g", "b"), ("func::c::g", "Function", "g", "c")])
+    assert resolve.resolve_target(v, "auth.py", "file") == "file::x/auth.py"
+    assert resolve.resolve_target(v, "x/auth.py", "file") == "file::x/auth.py"
+    assert resolve.resolve_target(v, "uth.py", "file") == "file::x/oauth.py"  # endings need not begin at a segment
+    assert resolve.resolve_target(v, "f", "function") == "f"  # an id before an earlier name
+    assert resolve.resolve_target(v, "g", "function") == "func::b::g"
+    assert resolve.resolve_target(v, "g", "unknown") is None and resolve.resolve_target(v, "nope", "function") is None
+    older = vertices(spark, [("func::z::g", "Function", "g", "z")])
+    assert resolve.resolve_target(resolve.ranked_vertices(spark, [older, v]), "g", "function") == "func::z::g"
+
+
+def test_candidates(tmp_path, monkeypatch):
+    for p, t in (("d/vertices.csv", 5), ("d/old/vertices.csv", 10), ("d/new/vertices.csv", 20), ("own.csv", 1)):
+        (tmp_path / p).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / p).write_text("id\n")
+        os.utime(tmp_path / p, (t, t))
+    monkeypatch.delenv("VERTICES_CSV", raising=False)
+    got = resolve.candidate_tables(str(tmp_path / "own.csv"), str(tmp_path / "d"))
+    assert [str(Path(p).relative_to(tmp_path)) for p in got] == ["own.csv", "d/vertices.csv", "d/new/vertices.csv", "d/old/vertices.csv"]
+
+
+def test_classification_and_risk(spark):
+    raws = [' "login"\n', "'utils.py'", "[Error] x", "UNKNOWN", "", '""', "a.py.txt"]
+    got = [(r.target, r.type) for r in resolve.classify(spark.createDataFrame([(x,) for x in raws], "raw string")).collect()]
+    assert got == [("login", "function"), ("utils.py", "file"), ("UNKNOWN", "unknown"), ("UNKNOWN", "unknown"), ("", "unknown"), ("", "unknown"), ("a.py.txt", "function")]
+    risks = report.risk_levels(spark.createDataFrame([(n,) for n in (0, 1, 2, 3, 5, 6)], "n_affected int")).collect()
+    assert [r.risk for r in risks] == ["None", "Low", "Low", "Medium", "Medium", "High"]
+
+
+def test_scalars(spark):
+    df = spark.createDataFrame([("func::a/b.py::f", r"C:\x\y\z.py"), ("plain", "z.py")], "id string, path string")
+    got = df.select(scalars.display_name(F.col("id")), scalars.node_type(F.col("id")), scalars.path_tail(F.col("path")), scalars.truncated(F.col("id"), 5)).collect()
+    assert [tuple(r) for r in got] == [("f", "Function", "x/y/z.py", "func:…"), ("plain", "File", "z.py", "plain")]
+
+
+def test_reports(spark):
+    v = vertices(spark, [("a", "File", "Alpha", "a"), ("b", "Function", "beta", "b"), ("c", "Function", "c", "c")])
+    e = spark.createDataFrame([("a", "b", "CONTAINS"), ("a", "b", "CONTAINS"), ("b", "b", "CALLS")], "source string, target string, type string")
+    got = {r.id: (r.in_degree, r.out_degree, r.in_types, r.out_types, r.connections) for r in report.degrees(v, e).collect()}
+    assert got == {"a": (0, 2, "", "CONTAINS", 1), "b": (3, 1, "CALLS,CONTAINS", "CALLS", 2), "c": (0, 0, "", "", 0)}
+    assert report.graph_stats(v, e).first().asDict() == {"nodes": 3, "files": 1, "functions": 2, "edges": 3}
+    assert [r.name for r in report.search(v, "ALPH").collect()] == ["Alpha"]
+    assert {r.neighbour for r in report.neighbours(e, "a").collect()} == {"b"}
+    assert report.visible_edges(e, ["CALLS"]).count() == 1
+    assert {r.type: r.n for r in report.counts_by_type(e, ["CALLS", "IMPORTS"]).collect()} == {"CALLS": 1, "IMPORTS": 0}
+    assert report.explanation("q", "t", ["x"], lambda p: p[:9]) == "Question:"
+
+
+def test_csv_with_awkward_paths(spark, tmp_path):
+    v = spark.createDataFrame([('a,"b"\nc', "File", "n", None), ("d", "File", "n", "p")], VERTICES)
+    tables.write_csv(v.coalesce(1), str(tmp_path / "v"))
+    assert sorted(tuple(r)[:3] for r in tables.read_csv(spark, str(tmp_path / "v"), VERTICES).collect()) == sorted(tuple(r)[:3] for r in v.collect())
+    assert tables.edges_csv(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_registries(spark, tmp_path):
+    first = registry.register_project(spark.createDataFrame([], PROJECTS), "/x/../app", None, 1, 2, 3)
+    one = spark.createDataFrame(first.collect(), PROJECTS)  # the id is drawn once
+    row = one.first()
+    assert (row.path, row.name, row.vertices, len(row.id)) == ("/app", "app", 1, 8)
+    two = registry.register_project(one, "/app", "other", 9, 9, 9).first()
+    assert (two.id, two.name, two.created, two.vertices) == (row.id, "app", row.created, 9)
+    assert registry.rename(one, row.id, "n").first().name == "n" and registry.delete(one, row.id).count() == 0 and registry.lookup(one, row.id).count() == 1
+    sessions = spark.createDataFrame([("s", "n", "2024-01-01T0", "2024-01-02T0", []), ("t", "n", "x", "2024-01-03T0", [("q1", "t", "function", ["a"], "e", "Low", "now")])], SESSIONS)
+    assert [r.id for r in registry.sessions_by_update(sessions).collect()] == ["t", "s"]
+    assert [(r.n_queries, r.last_question) for r in registry.session_summaries(sessions).orderBy("id").collect()] == [(0, None), (1, "q1")]
+    grown = registry.add_entry(sessions, "s", sessions.where("id = 't'").select(F.col("entries")[0].alias("e")).select("e.*"))
+    assert {r.id: len(r.entries) for r in grown.collect()} == {"s": 1, "t": 1}
+    models = spark.createDataFrame([("a", "A", "p", "u", "", "llama", True, None, {}, "c", None), ("b", "B", "p", "u", "", "Qwen-Coder", False, None, {}, "c", None)], MODELS)
+    assert {r.id: r.is_active for r in registry.set_active(models, "b").collect()} == {"a": False, "b": True}
+    assert registry.mark_used(models, "a").where("last_used is not null").count() == 1
+    assert registry.preferred(models.withColumn("ord", F.when(F.col("id") == "a", 0).otherwise(1))).first().id == "b"
+    (tmp_path / "s").mkdir()
+    (tmp_path / "s" / "1.json").write_text(json.dumps({"id": "k", "name": "n", "entries": [{"question": "q"}], "unknown": 1}))
+    (tmp_path / "s" / "2.json").write_text("{broken")
+    assert [(r.id, len(r.entries)) for r in tables.sessions(spark, str(tmp_path / "s")).collect()] == [("k", 1)]
+
+
+def test_stream(spark, tmp_path):
+    rows = spark.createDataFrame([("a", "File", "old", "p")], VERTICES)
+    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
+    run = lambda: stream_load(spark, stream_vertices(spark, str(tmp_path / "in")), str(tmp_path / "g"), str(tmp_path / "c")).awaitTermination()
+    run()
+    rows.withColumn("name", F.lit("new")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    run()
+    from ripplet.operators.load import graph
+
+    assert [(r.id, r.name) for r in graph(spark, str(tmp_path / "g"))[0].collect()] == [("a", "new")]
