@@ -14,16 +14,13 @@ one lookup; only 32-byte digests are shuffled, never texts.
 Cases: null and empty texts count as empty and equal one another, as do texts
 of white space only (they are one space; empty text is another class). An empty table gives an empty result. Rows
 with a null doc_id have their class's keep_id and never stay unless the whole class has none (keep_id
-null, kept false). Rows that repeat a doc_id and text are flagged alike;
-``keep_one`` leaves one of them.
+null, kept false). Rows that repeat a doc_id and text are flagged alike; ``keep_one`` leaves one of them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +32,8 @@ GAMMA = 1.7
 MAX_LEVELS = 60
 INDEX = "shard int, slots long, levels array<binary>, digests binary, winners binary, sizes binary"
 GROUPS = "digest binary, keep_id long, group_size long"
+_INDEX_ARROW = pa.schema([("shard", pa.int32()), ("slots", pa.int64()), ("levels", pa.list_(pa.binary())), ("digests", pa.binary()), ("winners", pa.binary()), ("sizes", pa.binary())])
+_GROUPS_ARROW = pa.schema([("digest", pa.binary()), ("keep_id", pa.int64()), ("group_size", pa.int64())])
 
 
 def normalised(text: str = "text") -> F.Column:
@@ -93,46 +92,46 @@ class PerfectHash:
         return out
 
 
-def _matrix(column: pd.Series) -> np.ndarray:
-    return np.frombuffer(b"".join(column), dtype=np.uint8).reshape(-1, 32)
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(-1, 32)
 
 
-def _build(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+def _build(key: tuple, rows: pa.Table) -> pa.Table:
     keys = _matrix(rows["digest"])
     table = PerfectHash.build(keys)
     order = np.argsort(table.slots(keys))
     levels = [len(x).to_bytes(8, "little") + np.packbits(x).tobytes() for x in table.levels]
-    winners, sizes = (rows[c].to_numpy()[order] for c in ("first", "n"))
-    return pd.DataFrame([(key[0], len(keys), levels, keys[order].tobytes(), winners.astype(np.int64).tobytes(), sizes.astype(np.int64).tobytes())], columns=[x.split()[0] for x in INDEX.split(", ")])
+    winners, sizes = (rows[c].to_numpy().astype(np.int64)[order].tobytes() for c in ("first", "n"))
+    found = {"shard": key[0].as_py(), "slots": len(keys), "levels": levels, "digests": keys[order].tobytes(), "winners": winners, "sizes": sizes}
+    return pa.Table.from_pylist([found], schema=_INDEX_ARROW)
 
 
 def build_index(grouped: DataFrame, shards: int) -> DataFrame:
     """Index over (digest, first, n): one row a shard."""
-    return grouped.withColumn("shard", _shard(shards)).groupBy("shard").applyInPandas(_build, INDEX)
+    return grouped.withColumn("shard", _shard(shards)).groupBy("shard").applyInArrow(_build, INDEX)
 
 
 def _shard(shards: int) -> F.Column:
     return F.pmod(F.xxhash64("digest"), F.lit(shards)).cast("int")
 
 
-def _lookup(index: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
+def _lookup(index: pa.Table, new: pa.Table) -> pa.Table:
     """Every group of one shard: the slots with what was matched to them, then the nonmembers."""
-    out = []
-    member = np.zeros(len(new), dtype=bool)
-    if len(index):
-        row = index.iloc[0]
-        stored = np.frombuffer(row["digests"], dtype=np.uint8).reshape(-1, 32)
-        winners, sizes = np.frombuffer(row["winners"], dtype=np.int64), np.frombuffer(row["sizes"], dtype=np.int64).copy()
-        if len(new):
-            levels = [np.unpackbits(np.frombuffer(x[8:], dtype=np.uint8), count=int.from_bytes(x[:8], "little")).astype(bool) for x in row["levels"]]
-            keys = _matrix(new["digest"])
-            slots = PerfectHash(levels).slots(keys)
-            member = (slots >= 0) & (stored[slots] == keys).all(axis=1)
-            np.add.at(sizes, slots[member], new["n"].to_numpy()[member])
-        out.append(pd.DataFrame({"digest": [x.tobytes() for x in stored], "keep_id": winners, "group_size": sizes}))
-    rest = new[~member]
-    out.append(pd.DataFrame({"digest": rest["digest"], "keep_id": rest["first"].astype("Int64"), "group_size": rest["n"]}))
-    return pd.concat([x.astype({"keep_id": "Int64"}) for x in out if len(x)] or [out[-1]], ignore_index=True)
+    rest = new.select(["digest", "first", "n"]).rename_columns(["digest", "keep_id", "group_size"]).cast(_GROUPS_ARROW)
+    if not index.num_rows:
+        return rest
+    row = index.to_pylist()[0]
+    stored = np.frombuffer(row["digests"], dtype=np.uint8).reshape(-1, 32)
+    sizes = np.frombuffer(row["sizes"], dtype=np.int64).copy()
+    if new.num_rows:
+        levels = [np.unpackbits(np.frombuffer(x[8:], dtype=np.uint8), count=int.from_bytes(x[:8], "little")).astype(bool) for x in row["levels"]]
+        keys = _matrix(new["digest"])
+        slots = PerfectHash(levels).slots(keys)
+        member = (slots >= 0) & (stored[slots] == keys).all(axis=1)  # every byte of the slot's digest
+        np.add.at(sizes, slots[member], new["n"].to_numpy()[member])
+        rest = rest.filter(pa.array(~member))
+    known = pa.table([pa.array([x.tobytes() for x in stored], pa.binary()), pa.array(np.frombuffer(row["winners"], dtype=np.int64)), pa.array(sizes)], schema=_GROUPS_ARROW)
+    return pa.concat_tables([known, rest])
 
 
 def exact_dedup(docs: DataFrame, history: DataFrame | None = None) -> DataFrame:
@@ -155,7 +154,7 @@ def exact_dedup(docs: DataFrame, history: DataFrame | None = None) -> DataFrame:
     shards = max(4 * partitions(spark), -(-grouped.count() // SHARD_ROWS))
     index = materialize(build_index(grouped, shards), "index")
     new = _grouped(later).withColumn("shard", _shard(shards))
-    groups = index.groupBy("shard").cogroup(new.groupBy("shard")).applyInPandas(_lookup, GROUPS)
+    groups = index.groupBy("shard").cogroup(new.groupBy("shard")).applyInArrow(_lookup, GROUPS)
     flagged = own.join(groups, "digest")
     return flagged.select("doc_id", "keep_id", "group_size", F.coalesce(F.col("doc_id") == F.col("keep_id"), F.lit(False)).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
@@ -167,17 +166,17 @@ def _grouped(rows: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows that stay, with all their columns: one for each text.
 
-    A text whose rows all lack a doc_id has no winner; those rows all stay, since none can be told from another.
+    Rows are told by doc_id and digest, so a doc_id that stands for several texts loses none of them. Of rows
+    that repeat both, and of rows without a doc_id in a class that has none, one is left; the texts
+    are shuffled for that only if there are such rows.
     """
-    spark = docs.sparkSession
-    flags = exact_dedup(docs)
-    lost = materialize(flags.where("not kept and doc_id is not null").select("doc_id", "keep_id").distinct(), "lost")
-    kept = docs.join(lost.select("doc_id").distinct(), "doc_id", "left_anti")
-    repeats = docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").limit(1).count()
-    if not repeats:
-        return kept
-    spare = kept.where("doc_id is not null").dropDuplicates(["doc_id"])
-    return spare.unionByName(kept.where("doc_id is null")) if spark else kept
+    flags = materialize(exact_dedup(docs), "flags")
+    lost = flags.where("not kept and keep_id is not null").select(F.col("doc_id").alias("_lost_id"), F.col("text_sha256").alias("_lost_sha")).distinct()
+    own = docs.withColumn("_own_sha", F.sha2(normalised(), 256))
+    kept = own.join(lost, F.col("doc_id").eqNullSafe(F.col("_lost_id")) & (F.col("_own_sha") == F.col("_lost_sha")), "left_anti")
+    if not flags.groupBy("doc_id", "text_sha256").count().where("count > 1").isEmpty():
+        kept = kept.dropDuplicates(["doc_id", "_own_sha"])
+    return kept.drop("_own_sha")
 
 
 ORACLE = r"""

@@ -19,8 +19,8 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -111,10 +111,10 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end
     cut = materialize(pieces(docs, path, capacity, end), "pieces")
     groups = max(1, -(-cut.count() // GROUP_ROWS))
 
-    def place(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["length", "doc_id", "piece", "ids_crc32"], ascending=[False, True, True, True], kind="stable")
+    def place(key: tuple, rows: pa.Table) -> pa.Table:
+        rows = rows.take(pc.sort_indices(rows, [("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")]))
         bins, offsets = sum_of_squares(rows["length"].to_numpy(), capacity)
-        return rows.drop(columns="pack_group").assign(sequence_id=(int(key[0]) << 32) + bins, offset=offsets)
+        return rows.drop_columns("pack_group").append_column("sequence_id", pa.array((key[0].as_py() << 32) + bins)).append_column("offset", pa.array(offsets))
 
     dealt = cut.withColumn("pack_group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)))
-    return dealt.groupBy("pack_group").applyInPandas(place, PACKED)
+    return dealt.groupBy("pack_group").applyInArrow(place, PACKED)

@@ -21,7 +21,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -186,24 +185,9 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: int = THRESH
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each component, the one with the smallest doc_id, with all its columns."""
-    lost = near_duplicates(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(materialize(lost, "near"), "doc_id", "left_anti")
-
-
-def brute_components(rows: pd.DataFrame, threshold: int = THRESHOLD) -> dict[int, int]:
-    """For tests: doc_id to component over (doc_id, fp), by comparing every pair."""
-    parent = {int(x): int(x) for x in rows["doc_id"]}
-
-    def top(x: int) -> int:
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    items = sorted(zip(rows["doc_id"].astype(int), rows["fp"].astype(int), strict=True))
-    for i, (a, x) in enumerate(items):
-        for b, y in items[i + 1 :]:
-            if ((x ^ y) & 0xFFFFFFFFFFFFFFFF).bit_count() <= threshold:
-                p, q = sorted((top(a), top(b)))
-                parent[q] = p
-    return {x: top(x) for x in parent}
+    """One document of each component, the one with the smallest doc_id, with all its columns.
+
+    A doc_id that stands for several texts goes only if none of them is the first of its component; rows without a doc_id stay.
+    """
+    ids = near_duplicates(docs).where("doc_id is not null").groupBy("doc_id").agg(F.bool_and(F.col("doc_id") != F.col("component_id")).alias("lost"))
+    return docs.join(materialize(ids.where("lost").select("doc_id"), "near"), "doc_id", "left_anti")

@@ -20,7 +20,6 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 
 import ahocorasick
 import numpy as np
@@ -117,6 +116,9 @@ class Restorer:
         self.cost = -np.log(p3)
         self.known: dict[str, str] = {}
 
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"known": {}}
+
     @staticmethod
     def options(seen: str, before: str, run: int) -> list[tuple[str, float]]:
         """What a character may stand for, with costs; the empty string drops it. ``run``: how often it stands in a row."""
@@ -260,13 +262,6 @@ def fit(docs: DataFrame, labels: DataFrame) -> Classifier:
     return Classifier(samples, counts, character_counts(docs))
 
 
-@lru_cache(maxsize=1)
-def _unpickled(data: bytes) -> Classifier:
-    import pickle
-
-    return pickle.loads(data)  # noqa: S301  (our own model, from the driver)
-
-
 def score(docs: DataFrame, model: Classifier) -> DataFrame:
     """doc_id, held_out, score, predicted of every document. A null doc_id is never learnt from: held out."""
     small_batches(docs.sparkSession)
