@@ -37,6 +37,7 @@ FOLDS = 3
 LEAST, PURE = 3, 0.9
 #: A mark beside the cover needs this share of the toxic training texts.
 COMMON = 0.02
+RIDGE = 1e-4
 #: Letters that a sign imitates, with the cost of the disguise.
 IMITATES = {
     "0": {"o": 1.0, "u": 2.5}, "1": {"i": 1.0, "l": 1.2}, "2": {"z": 1.5}, "3": {"e": 1.0}, "4": {"a": 1.0}, "5": {"s": 1.0}, "6": {"g": 1.5}, "7": {"t": 1.0},
@@ -191,7 +192,7 @@ class Classifier:
         x = self.evidence_restored([t for y in (0, 1) for t in samples[y]])
         y = np.repeat([0, 1], [len(samples[0]), len(samples[1])])
         weights = np.where(y == 1, self.share / (y == 1).mean(), (1 - self.share) / (y == 0).mean())
-        self.calibrate = Logistic(x, y, weights)
+        self.calibrate = Logistic(x, y, weights, RIDGE)
 
     def _cover(self, samples: dict[int, list[str]]) -> dict[str, float]:
         toxic = [features(t) for t in samples[1]]
@@ -216,8 +217,9 @@ class Classifier:
                 holds[f] = holds[f] - got
                 if not holds[f]:
                     del holds[f]
-        for f in sorted(pure, key=lambda f: (len(f.rstrip("$")), f)):  # what the cover did not need, and is as telling
-            if seen[f] >= max(LEAST + 1, COMMON * len(toxic)) and not any(f[:n] in marks for n in range(4, len(f))):
+        for f in sorted(pure, key=lambda f: (clean[f] > 0, len(f.rstrip("$")), f)):  # what the cover did not need, and is as telling
+            kin = (m for m in marks if f.startswith(m) or m.startswith(f.rstrip("$")) and 2 * seen[m] > seen[f])  # says nearly the same
+            if seen[f] >= max(LEAST + 1, COMMON * len(toxic)) and next(kin, None) is None:
                 marks[f] = odds(f)
         return marks
 
