@@ -64,14 +64,23 @@ def connected_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     return found.union(alone.select("node", F.col("node").alias("component"))).groupBy("node").agg(F.min("component").alias("component"))
 
 
+def _anew(name: str, rows: DataFrame) -> F.Column:
+    """The same values, as a column that no longer counts as partitioned.
+
+    A join on it shuffles both of its sides itself, and only then does AQE split the edges of a hub.
+    """
+    if rows.schema[name].dataType.typeName() == "string":
+        return F.reverse(F.reverse(name))
+    return F.col(name).cast("decimal(20,0)").cast(rows.schema[name].dataType)
+
+
 def _star(pairs: DataFrame, large: bool) -> DataFrame:
     """One contraction of distinct pairs u > v.
 
     The large star hangs every larger neighbour on the node's smallest one; the
     small star does so with the smaller neighbours and the node itself.
     """
-    # The smallest neighbour is keyed anew, so that the join shuffles both sides itself and AQE can split a hub's edges.
-    key = (F.col("u") + F.lit(0)).alias("k")
+    key = _anew("u", pairs).alias("k")
     if large:
         both = pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select(key, F.least("u", "m").alias("m"))
