@@ -166,17 +166,18 @@ def _grouped(rows: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows that stay, with all their columns: one for each text.
 
-    Rows are told by doc_id and digest, so a doc_id that stands for several texts loses none of them. Of rows
-    that repeat both, and of rows without a doc_id in a class that has none, one is left; the texts
-    are shuffled for that only if there are such rows.
+    Where doc_ids are unique, the ids of the rows that go are all that is joined. Else rows are told by doc_id and
+    digest, so a doc_id that stands for several texts loses none of them; of rows that repeat both, and of
+    rows without a doc_id in a class that has none, one is left.
     """
     flags = materialize(exact_dedup(docs), "flags")
-    lost = flags.where("not kept and keep_id is not null").select(F.col("doc_id").alias("_lost_id"), F.col("text_sha256").alias("_lost_sha")).distinct()
+    lost = flags.where("not kept and keep_id is not null").select(F.col("doc_id").alias("_lost_id"), F.col("text_sha256").alias("_lost_sha"))
+    same_id = F.col("doc_id").eqNullSafe(F.col("_lost_id"))
+    if flags.groupBy("doc_id").count().where("count > 1").isEmpty():
+        return docs.join(lost.select("_lost_id"), same_id, "left_anti")
     own = docs.withColumn("_own_sha", F.sha2(normalised(), 256))
-    kept = own.join(lost, F.col("doc_id").eqNullSafe(F.col("_lost_id")) & (F.col("_own_sha") == F.col("_lost_sha")), "left_anti")
-    if not flags.groupBy("doc_id", "text_sha256").count().where("count > 1").isEmpty():
-        kept = kept.dropDuplicates(["doc_id", "_own_sha"])
-    return kept.drop("_own_sha")
+    kept = own.join(lost.distinct(), same_id & (F.col("_own_sha") == F.col("_lost_sha")), "left_anti")
+    return kept.dropDuplicates(["doc_id", "_own_sha"]).drop("_own_sha")
 
 
 ORACLE = r"""
