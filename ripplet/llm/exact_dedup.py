@@ -174,7 +174,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     lost = flags.where("not kept and keep_id is not null").select(F.col("doc_id").alias("_lost_id"), F.col("text_sha256").alias("_lost_sha"))
     same_id = F.col("doc_id").eqNullSafe(F.col("_lost_id"))
     if flags.groupBy("doc_id").count().where("count > 1").isEmpty():
-        return docs.join(lost.select("_lost_id"), same_id, "left_anti")
+        return docs.join(materialize(lost.select("_lost_id"), "lost"), same_id, "left_anti")
     own = docs.withColumn("_own_sha", F.sha2(normalised(), 256))
     kept = own.join(lost.distinct(), same_id & (F.col("_own_sha") == F.col("_lost_sha")), "left_anti")
     return kept.dropDuplicates(["doc_id", "_own_sha"]).drop("_own_sha")
