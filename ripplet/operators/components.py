@@ -32,12 +32,30 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def _place(spark: SparkSession, path: str):  # noqa: ANN202
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: a cut in the lineage that survives lost executors."""
+    """Write a table to the shared folder and read it back: a cut in the lineage that survives lost executors.
+
+    The table goes when the application ends.
+    """
     spark = df.sparkSession
     path = os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    fs, place = _place(spark, path)
+    fs.deleteOnExit(place)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a materialized table that nothing reads any more."""
+    fs, place = _place(df.sparkSession, df._written_to)
+    fs.delete(place, True)
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
@@ -52,7 +70,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     pairs = materialize(pairs, "edges")
     before = None
     for _ in range(max_rounds):
-        pairs = materialize(_star(_star(pairs, large=True), large=False), "stars")
+        older, pairs = pairs, materialize(_star(_star(pairs, large=True), large=False), "stars")
+        discard(older)
         now = tuple(pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before:
             break

@@ -44,8 +44,12 @@ def counts_by_type(rows: DataFrame, types: list[str], name: str = "n") -> DataFr
 
 
 def graph_stats(vertices: DataFrame, edges: DataFrame) -> DataFrame:
-    nodes = vertices.agg(F.count("*").alias("nodes"), F.count_if(F.col("type") == "File").alias("files"), F.count_if(F.col("type") == "Function").alias("functions"))
-    return nodes.crossJoin(edges.agg(F.count("*").alias("edges")))  # one row each
+    both = vertices.select(F.lit("node").alias("what"), "type").union(edges.select(F.lit("edge"), "type"))
+    nodes = F.col("what") == "node"
+    return both.agg(
+        F.count_if(nodes).alias("nodes"), F.count_if(nodes & (F.col("type") == "File")).alias("files"),
+        F.count_if(nodes & (F.col("type") == "Function")).alias("functions"), F.count_if(~nodes).alias("edges"),
+    )
 
 
 def degrees(vertices: DataFrame, edges: DataFrame, visible: DataFrame | None = None) -> DataFrame:
