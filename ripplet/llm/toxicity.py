@@ -48,7 +48,7 @@ _SEPARATES = " .-_*"
 _SIGNS = r"0-9@$!|+€£*#"
 DISGUISED = re.compile(
     rf"(?<![^\W_])[^\W\d_](?:[ .\-_*][^\W\d_]){{3,}}(?![^\W_])"  # letters drawn apart
-    rf"|[^\W_]*(?:[^\W\d_][{_SIGNS}]{{1,3}}(?=[^\W\d_])|(?<![\w@$!])[0-9@$!|+]{{1,2}}(?=[^\W\d_]{{2}}))[^\W_]*(?:[@$!|*+]?[^\W_]+)*"  # signs among letters
+    rf"|(?<![^\W_])[^\W_]*(?:[^\W\d_][{_SIGNS}]{{1,3}}(?=[^\W\d_])|(?<![\w@$!])[0-9@$!|+]{{1,2}}(?=[^\W\d_]{{2}}))[^\W_]*(?:[@$!|*+]?[^\W_]+)*"  # signs among letters
     r"|\b[^\W_]*([^\W\d_])\1\1[^\W_]*"  # letters repeated
 )
 _LONGEST = 64
