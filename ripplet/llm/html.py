@@ -146,6 +146,7 @@ class _Page:
     def read(self, page: str) -> list[tuple]:
         at, n = 0, len(page)
         low = ""
+        endless: set[str] = set()  # elements whose end tag was looked for in vain
         while at < n:
             m = TOKEN.search(page, at)
             if not m:
@@ -161,8 +162,9 @@ class _Page:
                 self.end(name)
             elif name in SKIPPED and not m[3].endswith("/"):
                 low = low or page.lower()
-                over = re.compile(rf"</{name}(?=[\s/>]|\Z)").search(low if len(low) == n else page, at)
+                over = None if name in endless else re.compile(rf"</{name}(?=[\s/>]|\Z)").search(low if len(low) == n else page, at)
                 if over is None and name not in RAW:
+                    endless.add(name)
                     continue  # never closed: only its tag goes
                 at = over.start() if over else n
             else:
