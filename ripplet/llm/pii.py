@@ -27,6 +27,8 @@ from ripplet.llm.common import texts
 CONTEXT = 40
 #: Spans of the added kinds need this score.
 THRESHOLD = 0.5
+#: Candidates whose places are counted together.
+BLOCK = 128
 _LOCAL = "[A-Za-z0-9._%+-]"
 SPAN = "struct<start:bigint,kind_no:int,end:bigint,kind:string,score:double>"
 
@@ -107,8 +109,9 @@ def _alternating(kind: Kind, text: Column) -> Column:
 
 
 def kind_spans(kind: Kind, number: int, text: Column) -> Column:
-    none = F.array().cast(f"array<{SPAN}>")
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), none.alias("out"))
+    """Spans of one kind. Places run within blocks of ``BLOCK`` candidates first, and block after block then, as an array that grows by one is copied each time."""
+    none, size = F.array().cast(f"array<{SPAN}>"), F.lit(BLOCK)
+    at = F.lit(0).cast("bigint").alias("at")
 
     def step(state: Column, x: Column) -> Column:
         begin = state["at"] + F.length(x["before"])
@@ -117,7 +120,16 @@ def kind_spans(kind: Kind, number: int, text: Column) -> Column:
         own = F.struct(begin.cast("bigint").alias("start"), F.lit(number).alias("kind_no"), end.cast("bigint").alias("end"), F.lit(kind.name).alias("kind"), score.alias("score"))
         return F.struct(end.cast("bigint").alias("at"), F.when(x["m"].isNotNull() & (score > 0), F.concat(state["out"], F.array(own))).otherwise(state["out"]).alias("out"))
 
-    found = F.aggregate(_alternating(kind, text), start, step, lambda state: state["out"])
+    def follow(state: Column, block: Column) -> Column:
+        moved = F.transform(block["out"], lambda x: F.struct((x["start"] + state["at"]).alias("start"), x["kind_no"].alias("kind_no"), (x["end"] + state["at"]).alias("end"), x["kind"].alias("kind"), x["score"].alias("score")))
+        return F.struct((state["at"] + block["at"]).alias("at"), F.concat(state["out"], F.array(moved)).alias("out"))
+
+    def placed(parts: Column) -> Column:
+        numbers = F.sequence(F.lit(0), ((F.size(parts) - 1) / size).cast("int"))
+        blocks = F.transform(numbers, lambda k: F.aggregate(F.slice(parts, k * size + 1, size), F.struct(at, none.alias("out")), step))
+        return F.flatten(F.aggregate(blocks, F.struct(at, F.array().cast(f"array<array<{SPAN}>>").alias("out")), follow, lambda state: state["out"]))
+
+    found = F.transform(F.array(_alternating(kind, text)), placed)[0]  # binds the candidates, which are used in each block
     return F.when(kind.may(text), found).otherwise(none)
 
 

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import pytest
@@ -165,7 +166,7 @@ def pii_want(i, t):
 def test_pii(spark, odd, none, docs):
     rng = random.Random(9)
     parts = ["a@b.c", "@", ".", "..", "x@y", "@z.com", "1.2.3.4", "256.1.1.1", "0001.2.3.4.5.6.7", "4111 1111 1111 1111", "4111-1111-1111-1112", "5500005555555559", "+49 (30) 123-4567", "+1", "-", " ", "é", "🙂", "12", "9999", "+", "a.b%c"]
-    noisy = spark.createDataFrame([(k, "".join(rng.choice(parts) for _ in range(rng.randrange(1, 14)))) for k in range(800)] + [(900, "1" * 50_000), (901, "a" * 50_000 + "@"), (902, "1." * 30_000), (903, "a@b" + ".c" * 30_000), (904, "1 " * 30_000)], "doc_id long, text string")
+    noisy = spark.createDataFrame([(k, "".join(rng.choice(parts) for _ in range(rng.randrange(1, 14)))) for k in range(800)] + [(900, "1" * 50_000), (901, "a" * 50_000 + "@"), (902, "1." * 30_000), (903, "a@b" + ".c" * 30_000), (904, "1 " * 30_000), (905, "é a@b.co 1.2.3.4 " * 1_000)], "doc_id long, text string")
     for table in (noisy, odd, docs):
         got = [tuple(r)[:6] for r in pii.pii_report(table).collect()]
         assert sorted(map(repr, got)) == sorted(repr(pii_want(r.doc_id, r.text or "")) for r in table.collect())
@@ -351,6 +352,15 @@ def test_restoration(docs):
         assert toxicity.may_disguise(t) or not toxicity.DISGUISED.search(t)
 
 
+@pytest.mark.parametrize("run", ["ab", "1", "AKIA"])
+def test_restoration_of_very_long_runs(run):
+    """A run of 200,000 letters or digits beside a disguised word takes linear time."""
+    restorer = toxicity.Restorer(toxicity.np.ones(27**3))
+    text = run * (200_000 // len(run)) + " 1d10t"
+    began = time.monotonic()
+    assert restorer.restore(text).startswith(run.lower()) and time.monotonic() - began < 20
+
+
 def test_character_counts_cover_every_text(spark):
     two = spark.createDataFrame([(1, "ab"), (2, "ab")], "doc_id long, text string").repartition(2)
     counts = toxicity.character_counts(two)
@@ -373,6 +383,11 @@ def test_html(spark):
     assert html.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_html_with_many_unclosed_elements():
+    began = time.monotonic()
+    assert html.main_text("<article><p>Some words</p>" + "<button>" * 100_000) == "Some words" and time.monotonic() - began < 20
+
+
 def test_html_without_article_mark():
     para = "These words make a paragraph that is long enough to look like an article. " * 3
     page = f"<div><a href=1>One</a> <a href=2>Two</a></div><div><p>{para}</p><p>{para}</p></div><div><a>About</a></div>"
