@@ -10,6 +10,9 @@ brings every linked pair together at some anchor: the radius plus the half of th
 Fingerprints are made distinct first. At an anchor a search from member to member over those
 not yet reached emits one link for each member found, never all pairs. Anchors with more than
 ``TILE`` members are dealt out as pairs of tiles, so no task holds an unbounded group, and no link is lost.
+Where that would copy a fingerprint to more tiles than there are points within half the threshold of it (2,081),
+it goes to these points instead: any two that are linked share a midpoint, and no point has more
+than 2,081 distinct fingerprints. So the copies of a fingerprint are bounded, however many share its anchor.
 
 Cases: null and empty texts have fingerprint zero and are linked like any other; fewer words than a shingle
 make one shingle; an empty table gives an empty result. Rows with a null doc_id pass links on only through
@@ -19,6 +22,7 @@ their fingerprint's other rows; their component_id is null if that fingerprint h
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -77,6 +81,11 @@ def anchor_masks(reach: int) -> list[np.ndarray]:
     return [np.array(sorted(x), dtype=np.uint64) for x in found]
 
 
+def midpoint_masks(threshold: int) -> np.ndarray:
+    """All patterns of up to half the threshold (rounded up) of 64 bits."""
+    return np.array([sum(1 << b for b in bits) for k in range(-(-threshold // 2) + 1) for bits in combinations(range(64), k)], dtype=np.uint64)
+
+
 def syndromes(half: np.ndarray) -> np.ndarray:
     out = np.zeros(len(half), dtype=np.int64)
     for bit in range(31):
@@ -150,9 +159,13 @@ def _scan(threshold: int):  # noqa: ANN202
     return run
 
 
-def links(distinct: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """(src, dst) among the rep of ``distinct(fp, rep)``, enough to connect all at most ``threshold`` bits apart."""
+def links(distinct: DataFrame, threshold: int = THRESHOLD, most_tiles: int | None = None) -> DataFrame:
+    """(src, dst) among the rep of ``distinct(fp, rep)``, enough to connect all at most ``threshold`` bits apart.
+
+    Anchors of over ``most_tiles`` tiles (by default, the number of midpoints) are compared by midpoints.
+    """
     spark = distinct.sparkSession
+    small_batches(spark)
     masks = anchor_masks(1 + -(-(threshold // 2) // 2))
 
     def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,6 +174,15 @@ def links(distinct: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
             row, cell = anchors(fp, masks)
             yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(fp[row].view(np.int64)), pa.array(rep[row])], ["cell", "fp", "rep"])
 
+    around = midpoint_masks(threshold)
+    most_tiles = len(around) if most_tiles is None else most_tiles
+
+    def halfway(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fp, rep = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            cell = (fp.view(np.uint64)[:, None] ^ around[None, :]).ravel().view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(np.full(len(cell), -1)), pa.array(np.repeat(fp, len(around))), pa.array(np.repeat(rep, len(around)))], ["cell", "tile", "fp", "rep"])
+
     n = partitions(spark)
     placed = distinct.select("fp", "rep").where("rep is not null").mapInArrow(replicate, "cell long, fp long, rep long")
     hot = materialize(placed.groupBy("cell").count().where(F.col("count") > TILE).select("cell", F.ceil(F.col("count") / (TILE // 2)).cast("int").alias("tiles")), "hot")
@@ -170,7 +192,11 @@ def links(distinct: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
         own = F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("long")
         pair = F.transform(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1), lambda x: F.least(x, F.col("own")) * F.col("tiles") + F.greatest(x, F.col("own")))
         both = placed.join(hot, "cell", "left").withColumn("own", own)
-        dealt = both.withColumn("tile", F.explode(F.when(F.col("tiles").isNull(), F.array(F.lit(0).cast("long"))).otherwise(pair)))
+        tiled = both.where(F.col("tiles").isNull() | (F.col("tiles") <= most_tiles))
+        dealt = tiled.withColumn("tile", F.explode(F.when(F.col("tiles").isNull(), F.array(F.lit(0).cast("long"))).otherwise(pair)))
+        if not (dense := hot.where(F.col("tiles") > most_tiles)).isEmpty():
+            crowd = placed.join(dense.select("cell"), "cell").select("fp", "rep").distinct()
+            dealt = dealt.select("cell", "tile", "fp", "rep").union(crowd.mapInArrow(halfway, "cell long, tile long, fp long, rep long"))
     dealt = dealt.select("cell", "tile", "fp", "rep").repartition(n, "cell", "tile").sortWithinPartitions("cell", "tile")
     return dealt.mapInArrow(_scan(threshold), "src long, dst long")
 

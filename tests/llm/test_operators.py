@@ -227,9 +227,9 @@ def test_simhash(spark, odd, odd_rows, none, docs):
     assert simhash.near_duplicates(none).count() == 0 and simhash.keep_one(odd).columns == odd.columns
 
 
-@pytest.mark.parametrize("tile", [simhash.TILE, 16])
-def test_links_lose_nothing(spark, monkeypatch, tile):
-    """Random clusters of fingerprints, with and without tiles: the components are those of all pairs."""
+@pytest.mark.parametrize(("tile", "most"), [(simhash.TILE, None), (16, None), (16, 2), (4, 0)])
+def test_links_lose_nothing(spark, monkeypatch, tile, most):
+    """Random clusters of fingerprints, with and without tiles and midpoints: the components are those of all pairs."""
     from ripplet.operators.components import connected_components
 
     monkeypatch.setattr(simhash, "TILE", tile)
@@ -244,7 +244,7 @@ def test_links_lose_nothing(spark, monkeypatch, tile):
             fps.add(f)
     rows = list(enumerate(sorted(fps)))
     signed = [(f - (1 << 64) if f >> 63 else f, k) for k, f in rows]
-    links = simhash.links(spark.createDataFrame(signed, "fp long, rep long"))
+    links = simhash.links(spark.createDataFrame(signed, "fp long, rep long"), most_tiles=most)
     got = {r.node: r.component for r in connected_components(links).collect()}
     want = brute_components(rows)
     assert {k: got.get(k, k) for k in want} == want
