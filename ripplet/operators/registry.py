@@ -7,6 +7,7 @@ import os
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ripplet.functions.scalars import truncated
 
 def now() -> F.Column:
     return F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'")
@@ -45,6 +46,16 @@ def sessions_by_update(sessions: DataFrame) -> DataFrame:
     return sessions.orderBy(F.desc("updated_at"), "id")
 
 
+def session_listing(sessions: DataFrame, n: int = 15, width: int = 40) -> DataFrame:
+    """The ``n`` sessions updated last, numbered from 1, with the last question cut to ``width`` characters."""
+    from pyspark.sql import Window
+
+    last = truncated(F.try_element_at("entries", F.lit(-1))["question"], width).alias("last_question")
+    top = sessions_by_update(sessions).limit(n)
+    number = F.row_number().over(Window.orderBy(F.desc("updated_at"), "id")).cast("bigint")  # over n rows
+    return top.select(number.alias("row"), "id", "name", F.split_part("updated_at", F.lit("T"), F.lit(1)).alias("day"), last)
+
+
 def session_summaries(sessions: DataFrame) -> DataFrame:
     return sessions.select("id", "name", F.size("entries").alias("n_queries"), F.try_element_at("entries", F.lit(-1))["question"].alias("last_question"), F.split_part("updated_at", F.lit("T"), F.lit(1)).alias("day"))
 

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import os
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ripplet.functions import scalars
+from ripplet.functions import extract, scalars
 from ripplet.operators import build, cache, components, load, registry, report, resolve, traverse
 from ripplet.plans import derived
 from ripplet.plans.derived import table
+from ripplet.plans.schemas import FUNCTION, IMPORT, VERTICES
+from ripplet.sources import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -119,6 +123,53 @@ def name_index(s: SparkSession, d: str) -> DataFrame:
     return build.name_index(derived.functions(s, d)).select("name", F.array_join("func_ids", ",").alias("func_ids"))
 
 
+# ---- extraction from source text
+_SOURCE = """with called as (
+  select a.l_suppkey as file_ord, a.l_partkey as part, a.l_orderkey, a.l_linenumber, b.l_partkey as next from lineitem a
+  left join lineitem b on b.l_orderkey = a.l_orderkey and b.l_linenumber = a.l_linenumber + 1),
+defs as (select file_ord, part, count(next) as n_calls from called group by all),
+placed as (
+  select *, row_number() over w - 1 as func_ord, sum(1 + greatest(1, n_calls)) over w as last from defs window w as (partition by file_ord order by part))
+"""
+
+
+def _parsed(s: SparkSession, d: str) -> DataFrame:
+    return extract.parsed_files(derived.source_files(s, d))
+
+
+query(_SOURCE + "select file_ord, func_ord, 'part_' || part as name, (last + 2 - greatest(1, n_calls))::int as start_line, (last + 2)::int as end_line, n_calls::int as n_calls from placed", base=False, name="ast_functions")(
+    lambda s, d: extract.functions_of(_parsed(s, d)).select("file_ord", "func_ord", "name", "start_line", "end_line", F.size("calls").alias("n_calls"))
+)
+query(_SOURCE + "select file_ord, func_ord, row_number() over (partition by file_ord, func_ord order by l_orderkey, l_linenumber, next) - 1 as call_ord, 'part_' || next as callee from called join placed using (file_ord, part) where next is not null", base=False, name="ast_calls")(
+    lambda s, d: extract.calls_of(_parsed(s, d))
+)
+query(
+    "select s_suppkey as file_ord, 0 as imp_ord, 'nation_' || s_nationkey as module, 'nation_' || s_nationkey as names, 1 as line from supplier union all select s_suppkey, 1, 'ledger', 's_' || s_suppkey || ',total', 2 from supplier", base=False, name="ast_imports"
+)(lambda s, d: extract.imports_of(_parsed(s, d)).select("file_ord", "imp_ord", "module", F.array_join("names", ",").alias("names"), "line"))
+
+
+def _folder(s: SparkSession, name: str) -> str:
+    return os.path.join(components.shared_dir(s), f"{name}-{uuid.uuid4().hex}")
+
+
+@query("select id, type, name, filepath from vertices")
+def vertices_csv_roundtrip(s: SparkSession, d: str) -> DataFrame:
+    """The vertices, written as CSV and read again."""
+    path = _folder(s, "vertices")
+    tables.write_csv(_vertices(s, d), path)
+    return tables.read_csv(s, path, VERTICES)
+
+
+@query(_SOURCE + "select 's_' || s_suppkey || '.py' as file, coalesce(n, 0)::int as n_functions, coalesce(c, 0)::int as n_calls, 2::int as n_imports from supplier left join (select file_ord, count(*) as n, sum(n_calls) as c from defs group by file_ord) on s_suppkey = file_ord", base=False)
+def nested_json_roundtrip(s: SparkSession, d: str) -> DataFrame:
+    """Parsed files, written as nested JSON and read again."""
+    path = _folder(s, "parsed")
+    tables.write_nested_json(_parsed(s, d), path)
+    read = s.read.schema(f"file string, functions array<struct<{FUNCTION}>>, imports array<struct<{IMPORT}>>, error string").json(path)
+    n_calls = F.aggregate("functions", F.lit(0), lambda n, f: n + F.size(f["calls"]))
+    return read.where("error is null").select("file", F.size("functions").alias("n_functions"), n_calls.alias("n_calls"), F.size("imports").alias("n_imports"))
+
+
 # ---- target resolution
 @query("select name as target, 'function' as type, arg_min(id, row_ord) as id from vertices where type = 'Function' group by name union all select id, 'function', id from vertices where type = 'Function'")
 def resolve_function_target(s: SparkSession, d: str) -> DataFrame:
@@ -153,7 +204,25 @@ def classify_target(s: SparkSession, d: str) -> DataFrame:
     return resolve.classify(table(s, d, "events").select(raw.alias("raw")))
 
 
+@query("""with asked as (select distinct l_partkey as a, l_suppkey as b from lineitem),
+said as (select 'What if fn_' || a || ' or fn_' || b || ' changes?' as question, case when a in (select p_partkey from part) and a % 2 = 0 then 'fn_' || a end as x, case when b in (select p_partkey from part) and b % 2 = 0 then 'fn_' || b end as y from asked)
+select question, case when x is null and y is null then 'UNKNOWN' when y is null or length(x) >= length(y) then x else y end as raw from said""", base=False)
+def mentioned_targets(s: SparkSession, d: str) -> DataFrame:
+    """Which part of even number each question about a line's part and supplier names."""
+    name = lambda c: F.concat(F.lit("fn_"), F.col(c).cast("string"))
+    asked = table(s, d, "lineitem").select(F.concat(F.lit("What if "), name("l_partkey"), F.lit(" or "), name("l_suppkey"), F.lit(" changes?")).alias("question"))
+    return resolve.mentioned_targets(table(s, d, "part").where("p_partkey % 2 = 0").select(name("p_partkey").alias("name")), asked)
+
+
+@query(", kept as (select distinct source as src, target as dst from calls_e), walk(id, distance) as (select min(src), 0 from kept union select dst, distance + 1 from walk join kept on id = src where distance < 5) select id, min(distance) as distance from walk group by id having min(distance) >= 1")
+def affected_functions(s: SparkSession, d: str) -> DataFrame:
+    """What a change of the first calling function reaches, dispatched by the type of the target."""
+    calls = build.call_edges(derived.calls(s, d), derived.functions(s, d)).distinct()
+    return traverse.affected(calls, calls.agg(F.min("source").alias("id")), "function", 5)
+
+
 # ---- reports
+query("select id, name as label, type, filepath from vertices", name="graph_payload")(lambda s, d: report.graph_payload(_vertices(s, d), _edges(s, d))[0])
 @query(", one as (select distinct source as src, target as dst from part_graph where type = 'CALLS'), n as (select src as id, count(*) as n_affected from one where src <> dst group by src) select id, n_affected, case when n_affected = 0 then 'None' when n_affected <= 2 then 'Low' when n_affected <= 5 then 'Medium' else 'High' end as risk from n")
 def risk_levels(s: SparkSession, d: str) -> DataFrame:
     """For every part that calls: how many others one step affects."""
@@ -204,6 +273,7 @@ query("select * from (select source, target, case when type = 'CONTAINS' and sou
     lambda s, d: load.allowed_edges(derived.part_graph(s, d).withColumn("type", F.when((F.col("type") == "CONTAINS") & (F.col("source") % 2 == 0), "OTHER").otherwise(F.col("type"))))
 )
 query("select *, case type when 'CALLS' then 'CodeFunction' else 'CodeFile' end as source_type, case type when 'IMPORTS' then 'CodeFile' else 'CodeFunction' end as target_type from edges", name="endpoint_types")(lambda s, d: load.typed_edges(_edges(s, d)))
+query("select distinct source, target, type, case type when 'CALLS' then 'CodeFunction' else 'CodeFile' end as source_type, case type when 'IMPORTS' then 'CodeFile' else 'CodeFunction' end as target_type from edges", name="edge_upsert_set")(lambda s, d: load.typed_edges(_edges(s, d)).distinct())
 query("select id, case type when 'File' then 'CodeFile' else 'CodeFunction' end as type, name, filepath from vertices", name="vertex_type_map")(lambda s, d: load.map_vertex_types(_vertices(s, d)))
 query("select distinct name, filepath from vertices", name="vertex_attributes")(lambda s, d: load.attributes(_vertices(s, d)).distinct())
 
@@ -229,6 +299,9 @@ def _sessions(s: SparkSession, d: str) -> DataFrame:
 
 _SESSIONS = "select conv_id::varchar as id, 's' || conv_id as name, lpad((conv_id * 7919 % 1000)::varchar, 4, '0') || 'T0' as updated_at, count(*) filter (where role = 'user') as n_queries, arg_max(text, (turn, text)) filter (where role = 'user') as last_question from conversations group by conv_id"
 query(f"select id, name, n_queries::int as n_queries, last_question, string_split(updated_at, 'T')[1] as day from ({_SESSIONS})", base=False, name="session_summaries")(lambda s, d: registry.session_summaries(_sessions(s, d)))
+query(f"select row_number() over (order by updated_at desc, id) as row, id, name, string_split(updated_at, 'T')[1] as day, case when length(last_question) > 40 then substr(last_question, 1, 40) || '…' else last_question end as last_question from (select * from ({_SESSIONS}) order by updated_at desc, id limit 15)", base=False, name="session_listing")(
+    lambda s, d: registry.session_listing(_sessions(s, d))
+)
 query(f"select id, name, updated_at from ({_SESSIONS}) order by updated_at desc, id limit 15", base=False, name="recent_sessions_topk")(lambda s, d: registry.sessions_by_update(_sessions(s, d).select("id", "name", "updated_at")).limit(15))
 query("select event_id, user_id, event_type from (select *, lag(event_type) over (partition by user_id order by event_id) as before from events) where before is null or before <> event_type", base=False, name="status_change_points")(
     lambda s, d: registry.status_changes(table(s, d, "events").select("event_id", "user_id", "event_type"), "user_id", "event_type", "event_id")
@@ -239,6 +312,16 @@ query("select arg_min({'p_partkey': p_partkey, 'm': p_name}, (case when contains
 query("select s_suppkey as id, 'renamed' as name from supplier where s_suppkey = 3 union all select s_suppkey, s_name from supplier where s_suppkey not in (3, 5)", base=False, name="registry_rename_delete")(
     lambda s, d: registry.delete(registry.rename(table(s, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name")), 3, "renamed"), 5)
 )
+@query("select 'p' || s_suppkey as id, s_name as name, '/src/' || s_suppkey as path, case s_suppkey when 3 then 30 else 1 end as vertices, case s_suppkey when 3 then 40 else 2 end as edges, case s_suppkey when 3 then 50 else 3 end as files from supplier union all select 'new', 'fresh', '/src/fresh', 7, 8, 9", base=False)
+def project_upsert(s: SparkSession, d: str) -> DataFrame:
+    """One known project analysed again, under a path to be normalised, and one new."""
+    key = F.col("s_suppkey").cast("string")
+    numbers = [F.lit(k).cast("bigint").alias(n) for k, n in ((1, "vertices"), (2, "edges"), (3, "files"))]
+    known = table(s, d, "supplier").select(F.concat(F.lit("p"), key).alias("id"), F.col("s_name").alias("name"), F.concat(F.lit("/src/"), key).alias("path"), F.lit("c").alias("created"), F.lit("t").alias("last_analyzed"), *numbers)
+    both = registry.register_project(registry.register_project(known, "/src/x/../3", "other", 30, 40, 50), "/src/fresh", None, 7, 8, 9)
+    return both.select(F.when(F.col("path") == "/src/fresh", "new").otherwise(F.col("id")).alias("id"), "name", "path", "vertices", "edges", "files")
+
+
 query("select s_suppkey as id, s_suppkey = 2 as is_active from supplier", base=False, name="single_active")(lambda s, d: registry.set_active(table(s, d, "supplier").select(F.col("s_suppkey").alias("id")), 2))
 
 # ---- scalar functions

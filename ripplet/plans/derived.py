@@ -59,3 +59,23 @@ def part_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
 def first_part(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first part that calls another."""
     return part_graph(spark, sf_dir).where("type = 'CALLS'").agg(F.min("source").alias("id"))
+
+
+def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Python source text for every supplier: two imports, and for every part a function that calls the parts after it in orders."""
+    lines = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey", "l_orderkey", "l_linenumber")
+    follows = lines.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("l_partkey").alias("next_partkey"))
+    order = F.struct("l_orderkey", "l_linenumber", "next_partkey")
+    bodies = lines.join(follows, ["l_orderkey", "l_linenumber"], "left").groupBy("l_suppkey", "l_partkey").agg(F.sort_array(F.collect_list(F.when(F.col("next_partkey").isNotNull(), order))).alias("c"))
+    called = F.transform("c", lambda x: F.concat(F.lit("    part_"), x["next_partkey"].cast("string"), F.lit("()")))
+    body = F.when(F.size("c") == 0, "    pass").otherwise(F.array_join(called, "\n"))
+    code = bodies.select("l_suppkey", F.struct("l_partkey", F.concat(F.lit("def part_"), F.col("l_partkey").cast("string"), F.lit("():\n"), body).alias("code")).alias("f"))
+    defined = code.groupBy("l_suppkey").agg(F.array_join(F.sort_array(F.collect_list("f"))["code"], "\n").alias("defs"))
+    suppliers = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
+    key = lambda c: F.col(c).cast("string")
+    head = F.concat(F.lit("import nation_"), key("s_nationkey"), F.lit("\nfrom ledger import s_"), key("s_suppkey"), F.lit(", total\n"))
+    path = F.concat(F.lit("s_"), key("s_suppkey"), F.lit(".py"))
+    text = F.concat(head, F.coalesce("defs", F.lit("")), F.lit("\n"))
+    return suppliers.join(defined, F.col("s_suppkey") == F.col("l_suppkey"), "left").select(
+        F.col("s_suppkey").cast("int").alias("file_ord"), path.alias("filepath"), path.alias("path_id"), F.lit(0).cast("bigint").alias("mtime_ns"), F.length(text).cast("bigint").alias("size"), F.encode(text, "UTF-8").alias("content")
+    )
