@@ -137,14 +137,14 @@ def _parsed(s: SparkSession, d: str) -> DataFrame:
     return extract.parsed_files(derived.source_files(s, d))
 
 
-query(_SOURCE + "select file_ord, func_ord, 'part_' || part as name, (last + 2 - greatest(1, n_calls))::int as start_line, (last + 2)::int as end_line, n_calls::int as n_calls from placed", base=False, name="ast_functions")(
+query(_SOURCE + "select file_ord::int as file_ord, func_ord::int as func_ord, 'part_' || part as name, (last + 2 - greatest(1, n_calls))::int as start_line, (last + 2)::int as end_line, n_calls::int as n_calls from placed", base=False, name="ast_functions")(
     lambda s, d: extract.functions_of(_parsed(s, d)).select("file_ord", "func_ord", "name", "start_line", "end_line", F.size("calls").alias("n_calls"))
 )
-query(_SOURCE + "select file_ord, func_ord, row_number() over (partition by file_ord, func_ord order by l_orderkey, l_linenumber, next) - 1 as call_ord, 'part_' || next as callee from called join placed using (file_ord, part) where next is not null", base=False, name="ast_calls")(
+query(_SOURCE + "select file_ord::int as file_ord, func_ord::int as func_ord, (row_number() over (partition by file_ord, func_ord order by l_orderkey, l_linenumber, next) - 1)::int as call_ord, 'part_' || next as callee from called join placed using (file_ord, part) where next is not null", base=False, name="ast_calls")(
     lambda s, d: extract.calls_of(_parsed(s, d))
 )
 query(
-    "select s_suppkey as file_ord, 0 as imp_ord, 'nation_' || s_nationkey as module, 'nation_' || s_nationkey as names, 1 as line from supplier union all select s_suppkey, 1, 'ledger', 's_' || s_suppkey || ',total', 2 from supplier", base=False, name="ast_imports"
+    "select s_suppkey::int as file_ord, 0 as imp_ord, 'nation_' || s_nationkey as module, 'nation_' || s_nationkey as names, 1 as line from supplier union all select s_suppkey::int, 1, 'ledger', 's_' || s_suppkey || ',total', 2 from supplier", base=False, name="ast_imports"
 )(lambda s, d: extract.imports_of(_parsed(s, d)).select("file_ord", "imp_ord", "module", F.array_join("names", ",").alias("names"), "line"))
 
 
@@ -312,7 +312,7 @@ query("select arg_min({'p_partkey': p_partkey, 'm': p_name}, (case when contains
 query("select s_suppkey as id, 'renamed' as name from supplier where s_suppkey = 3 union all select s_suppkey, s_name from supplier where s_suppkey not in (3, 5)", base=False, name="registry_rename_delete")(
     lambda s, d: registry.delete(registry.rename(table(s, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name")), 3, "renamed"), 5)
 )
-@query("select 'p' || s_suppkey as id, s_name as name, '/src/' || s_suppkey as path, case s_suppkey when 3 then 30 else 1 end as vertices, case s_suppkey when 3 then 40 else 2 end as edges, case s_suppkey when 3 then 50 else 3 end as files from supplier union all select 'new', 'fresh', '/src/fresh', 7, 8, 9", base=False)
+@query("select 'p' || s_suppkey as id, s_name as name, '/src/' || s_suppkey as path, (case s_suppkey when 3 then 30 else 1 end)::bigint as vertices, (case s_suppkey when 3 then 40 else 2 end)::bigint as edges, (case s_suppkey when 3 then 50 else 3 end)::bigint as files from supplier union all select 'new', 'fresh', '/src/fresh', 7, 8, 9", base=False)
 def project_upsert(s: SparkSession, d: str) -> DataFrame:
     """One known project analysed again, under a path to be normalised, and one new."""
     key = F.col("s_suppkey").cast("string")
