@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -37,6 +37,17 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 APART = frozenset("nav aside footer form menu dialog fieldset search".split())
 MAIN = frozenset(["article", "main"])
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+_SECTIONS, _TABLE = ("tbody", "thead", "tfoot"), frozenset(["table"])
+#: What a start tag closes without an end tag, and what keeps elements around it open, as in the HTML standard.
+CLOSED = (
+    {"li": (("li",), BLOCKS - {"address", "div", "p", "li"})}
+    | dict.fromkeys(("dt", "dd"), (("dt", "dd"), BLOCKS - {"address", "div", "p", "dt", "dd"}))
+    | dict.fromkeys(("td", "th"), (("td", "th"), _TABLE))
+    | {"tr": (("tr", "td", "th"), _TABLE)}
+    | dict.fromkeys(_SECTIONS, ((*_SECTIONS, "tr", "td", "th"), _TABLE))
+)
+#: What an end tag does not reach beyond.
+SCOPE = {"li": frozenset("ul ol table td th caption".split())} | dict.fromkeys(("td", "th", "tr", *_SECTIONS), _TABLE)
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 HINTS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice alert popup modal newsletter subscribe "
@@ -90,6 +101,7 @@ class _Page:
     def __init__(self) -> None:
         self.blocks: list[tuple] = []
         self.open: list[tuple[str, int, int, int]] = []  # element, in main, set apart, hinted
+        self.places: dict[str, list[int]] = {}  # of the open elements, by name
         self.text: list[str] = []
         self.linked: list[bool] = []
         self.link = 0
@@ -109,11 +121,26 @@ class _Page:
             self.text.append(text)
             self.linked.append(self.link > 0)
 
+    def last(self, names: Iterable[str]) -> int:
+        """Place of the innermost open element of these names, or -1."""
+        return max((self.places[x][-1] for x in names if self.places.get(x)), default=-1)
+
+    def close(self, k: int) -> None:
+        """Close the open elements from place ``k`` on; each is closed once."""
+        for x in self.open[k:]:
+            self.places[x[0]].pop()
+        del self.open[k:]
+
     def start(self, name: str, attributes: str) -> None:
         own = {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(attributes)} if attributes.strip("/ \t\n\r") else {}
         if name in BLOCKS:
             self.flush()
             self.heading = int(name in HEADINGS)
+            closed, around = CLOSED.get(name, ((), ()))
+            if found := [self.places[x][-1] for x in closed if self.places.get(x)]:
+                bound = self.last(around)
+                if found := [k for k in found if k > bound]:
+                    self.close(min(found))
         elif name == "br":
             self.put(" ")
             return
@@ -129,6 +156,7 @@ class _Page:
         if name not in {"html", "body", "main", "article"}:
             hint |= int(not HINTS.isdisjoint(re.split(r"[^a-z]+", f"{own.get('class', '')} {own.get('id', '')}".lower())))
         if name in BLOCKS or (main, apart, hint) != (self.open[-1][1:] if self.open else (0, 0, 0)):
+            self.places.setdefault(name, []).append(len(self.open))
             self.open.append((name, main, apart, hint))
 
     def end(self, name: str) -> None:
@@ -137,11 +165,10 @@ class _Page:
             self.heading = 0
         if name == "a":
             self.link = 0
-        for k in range(len(self.open) - 1, max(-1, len(self.open) - 65), -1):
-            if self.open[k][0] == name:
-                self.flush()
-                del self.open[k:]
-                break
+        k = self.last((name,))
+        if k > self.last(SCOPE.get(name, ())):
+            self.flush()
+            self.close(k)
 
     def read(self, page: str) -> list[tuple]:
         at, n = 0, len(page)

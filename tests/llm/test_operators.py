@@ -388,6 +388,30 @@ def test_html_with_many_unclosed_elements():
     assert html.main_text("<article><p>Some words</p>" + "<button>" * 100_000) == "Some words" and time.monotonic() - began < 20
 
 
+def test_html_closes_elements_at_any_depth():
+    body = "<article><h1>Head</h1><p>Some words of the text</p></article>"
+    want = "Head\n\nSome words of the text"
+    for unclosed in ("<li>Item", "<dt>Item<dd>Item", "<div>Item", "<table><tr><td>Item", "<div><li>Item"):
+        assert html.main_text(f"<nav><ul>{unclosed * 200}</ul></nav>{body}") == want
+    page = html.blocks(f"<article><p>In</p>{'<section>' * 200}</article><p>Out</p>")
+    assert [(b[0], b[3]) for b in page] == [("In", 1), ("Out", 0)]
+
+
+def test_html_closes_items_and_cells_implicitly():
+    hinted = lambda page: {b[0]: b[5] for b in html.blocks(page)}
+    assert hinted("<ul><li class=ad>A<li>B<ul><li class=ad>C</ul>D</li><li class=ad><ul><li>E</ul><li>F</ul>") == {"A": 1, "B": 0, "C": 1, "D": 0, "E": 1, "F": 0}
+    assert hinted("<table><tr><td class=ad>A<td>B<tr class=ad><td>C<table><tr><td>D</table>E<tr><td>F<tbody class=ad><tr><td>G<tbody><tr><td>H</table>") == {"A": 1, "B": 0, "C": 1, "D": 1, "E": 1, "F": 0, "G": 1, "H": 0}
+    assert hinted("<dl><dt class=ad>A<dd>B<dd class=ad><dl><dt>C</dl>D<dt>E</dl>") == {"A": 1, "B": 0, "C": 1, "D": 1, "E": 0}
+    assert hinted("<ul><li class=ad>A<ul></li><li>B</ul></li><li>C</ul>") == {"A": 1, "B": 1, "C": 0}
+
+
+def test_html_with_many_end_tags_takes_linear_time():
+    began = time.monotonic()
+    for page in ("<div>" * 100_000 + "</section>" * 100_000, "<ul>" + "<div>" * 50_000 + "<li>x</li>" * 50_000, "<li>x<table>" * 50_000 + "</li>" * 50_000, "<div><li>" * 50_000 + "</div>" * 50_000):
+        html.blocks(page)
+    assert time.monotonic() - began < 20
+
+
 def test_html_without_article_mark():
     para = "These words make a paragraph that is long enough to look like an article. " * 3
     page = f"<div><a href=1>One</a> <a href=2>Two</a></div><div><p>{para}</p><p>{para}</p></div><div><a>About</a></div>"
