@@ -7,8 +7,8 @@ the squared count of open sequences becomes smallest; ties take the smallest gap
 no open sequence can hold opens a new one: with falling lengths this needs about 1 % fewer sequences
 than weighing a new one against the open ones each time. A group leaves few sequences open, so the loss falls with its size.
 
-Cases: null and empty texts are one piece that holds the end token alone; an
-empty table gives an empty result; repeated rows are packed each for itself.
+Cases: null and empty texts are one piece that holds the end token alone; white space of any
+length is encoded whole; an empty table gives an empty result; repeated rows are packed each for itself.
 """
 
 from __future__ import annotations
@@ -36,9 +36,20 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long"
 
 
+@lru_cache(maxsize=2)
+def whole_encoder(path: str):  # noqa: ANN201
+    """The tokenizers library, which has no limit to a run."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
 @lru_cache(maxsize=2)
 def fast_encoder(path: str):  # noqa: ANN201
-    """Ids of a text as a numpy array: the vocabulary of the tokenizers file, merged by tiktoken."""
+    """Ids of a text as a numpy array: the vocabulary of the tokenizers file, merged by tiktoken.
+
+    The regular expressions of tiktoken refuse white space of about a million characters in a row; such texts go to the tokenizers library.
+    """
     import tiktoken
 
     with open(path, encoding="utf-8") as f:
@@ -50,9 +61,12 @@ def fast_encoder(path: str):  # noqa: ANN201
     found = regex.compile("|".join(map(regex.escape, special))) if special else None
 
     def encode(text: str) -> np.ndarray:
-        if found and found.search(text):
-            return np.array(own.encode(text, allowed_special="all"), dtype=np.uint32)
-        return np.asarray(own.encode_to_numpy(text, disallowed_special=()), dtype=np.uint32)
+        try:
+            if found and found.search(text):
+                return np.array(own.encode(text, allowed_special="all"), dtype=np.uint32)
+            return np.asarray(own.encode_to_numpy(text, disallowed_special=()), dtype=np.uint32)
+        except ValueError:
+            return np.array(whole_encoder(path).encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
     return encode
 

@@ -292,6 +292,16 @@ def test_packing(spark, odd, odd_rows, none, docs):
     assert packing.pack(none).count() == 0
 
 
+def test_packing_of_very_long_white_space(spark):
+    """Runs that tiktoken refuses have the ids of the plain coder."""
+    encode, plain = packing.fast_encoder(bpe.vocabulary_path()), bpe.coder(bpe.vocabulary_path())
+    n = 1_100_000
+    for t in ("x" + " " * n + "a", "x" + "\n" * n, "é \u3000" + "\u3000" * n + " b", "a<|endoftext|>" + " " * n + "<|endoftext|>b 1"):
+        assert encode(t).tolist() == plain.encode(t)
+    got = packing.pack(spark.createDataFrame([(1, "x" + " " * n + "a"), (2, "b")], "doc_id long, text string")).collect()
+    assert sum(r.length for r in got if r.doc_id == 1) == n + 2 and sum(r.doc_id == 2 for r in got) == 1
+
+
 def test_sum_of_squares_against_plain():
     import numpy as np
 
