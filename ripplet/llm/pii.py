@@ -3,7 +3,7 @@
 Regular expressions propose candidates, left to right without overlap for each kind; checks confirm them
 (Luhn for cards, mod 97 for IBANs, ranges and digit counts for addresses and phone numbers); words in the
 ``CONTEXT`` characters before a candidate, back to the candidate before it, adjust its score. What a pattern matches and a check
-refuses is dropped without another try inside it.
+refuses is dropped without another try inside it. An IBAN ends at its country's length, so words and numbers after it are not taken in.
 
 The text between candidates and the candidates alternate, so places follow from running lengths; all work is
 linear in the text. Patterns are possessive and may not start inside a run that a
@@ -83,7 +83,15 @@ class Kind:
 
 _CARD = "[0-9](?:[ -]?+[0-9]){11,}+"
 _IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}"
-_IBAN = "(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?+[A-Z0-9]){11,30}+"
+#: Countries by the length of their IBANs.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR",
+    27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+#: Of the country's length, if neither capital nor digit follows without a space; else the longest run, up to where an IBAN of its country's length begins.
+_IBAN_SIZED = "(?:" + "|".join(f"(?:{c.replace(' ', '|')})[0-9]{{2}}(?: ?+[A-Z0-9]){{{n - 4}}}+" for n, c in IBAN_LENGTHS.items()) + ")(?![A-Z0-9])"
+_IBAN = f"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?:{_IBAN_SIZED}|[A-Z]{{2}}[0-9]{{2}}(?:(?: (?!{_IBAN_SIZED}))?+[A-Z0-9]){{11,30}}+)"
 _SSN = "(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 #: Fixed order of kinds: that of the contract, then the added ones.
 KINDS = (

@@ -183,6 +183,17 @@ def test_pii_added_kinds_and_scores(spark):
     assert near > bare
 
 
+def test_ibans_end_at_their_length(spark):
+    ibans = ["DE89 3704 0044 0532 0130 00", "DE89370400440532013000", "GB82 WEST 1234 5698 7654 32", "FR1420041010050500013M02606", "NO93 8601 1117 947", "MT84 MALT 0110 0001 2345 MTLC AST0 01S"]
+    rows = [x + end for x in ibans for end in (" Thanks", " Before", " B", " 2024", " 12 EUR", " " + ibans[0], "", ";", "x")]
+    rows += [f"AB12 3456 7890 1234 {ibans[0]} Thanks", f"{ibans[0]}BEFORE"]
+    got = [[t[s.start : s.end] for s in spans if s.kind == "iban"] for t, spans in ((r.text, r.spans) for r in pii.pii_spans(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).join(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), "doc_id").orderBy("doc_id").collect())]
+    want = [[x, ibans[0]] if t == f"{x} {ibans[0]}" else [x] for t, x in zip(rows, [x for x in ibans for _ in range(9)], strict=False)] + [[ibans[0]], []]
+    assert got == want
+    out = [r.text for r in pii.redact(spark.createDataFrame([(1, f"to {ibans[0]} Thanks"), (2, f"{ibans[1]} 2024")], "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert out == ["to [IBAN] Thanks", "[IBAN] 2024"]
+
+
 def test_redaction(spark, odd, docs):
     t = "mail a.b@c.de or +1 (555) 123-4567, card 4111 1111 1111 1111, host 10.0.0.1 v1.2.3"
     out = pii.redact(spark.createDataFrame([(1, t, 5), (2, None, 0)], "doc_id long, text string, n_chars long")).orderBy("doc_id").collect()
