@@ -136,29 +136,37 @@ class Restorer:
         return out or [(" ", 0.0)]
 
     def decode(self, segment: str) -> str:
-        """The likeliest reading; segments of over ``_LONGEST`` characters are read in parts of that size."""
+        """The likeliest reading. Paths hold the text of the last ``_LONGEST`` characters at most, and from which path of the part before they come, so a segment of any length takes linear time."""
         segment = segment.lower()
-        if len(segment) > _LONGEST:
-            return "".join(self.decode(segment[i : i + _LONGEST]) for i in range(0, len(segment), _LONGEST))
         if segment in self.known:
             return self.known[segment]
         code = lambda c: int(_FOLD[ord(c)]) if ord(c) < 256 else 0
-        paths: dict[tuple[int, int, str], tuple[float, str]] = {(0, 0, ""): (0.0, "")}
+        paths: dict[tuple[int, int, str], tuple[float, str, tuple[int, int, str]]] = {(0, 0, ""): (0.0, "", (0, 0, ""))}
         before = ""
+        parts: list[dict[tuple[int, int, str], tuple[str, tuple[int, int, str]]]] = []  # text of each path in a part, and its path before
         runs = [len(m[0]) for m in re.finditer(r"(.)\1*", segment, re.S) for _ in m[0]]
-        for seen, run in zip(segment, runs, strict=True):
-            grown: dict[tuple[int, int, str], tuple[float, str]] = {}
-            for (a, b, last), (cost, text) in paths.items():
+        for at, (seen, run) in enumerate(zip(segment, runs, strict=True)):
+            if at and at % _LONGEST == 0:
+                parts.append({key: (text, come) for key, (_, text, come) in paths.items()})
+                paths = {key: (cost, "", key) for key, (cost, _, _) in paths.items()}
+            grown: dict[tuple[int, int, str], tuple[float, str, tuple[int, int, str]]] = {}
+            for (a, b, last), (cost, text, come) in paths.items():
                 for c, more in self.options(seen, before, run):
                     if c == "":
-                        key, found = (a, b, last), (cost + more, text)
+                        key, found = (a, b, last), (cost + more, text, come)
                     else:
                         k = code(c)
-                        key, found = (b, k, c), (cost + more + self.cost[a, b, k], text + c)
+                        key, found = (b, k, c), (cost + more + self.cost[a, b, k], text + c, come)
                     if key not in grown or found < grown[key]:
                         grown[key] = found
             paths, before = grown, seen
-        best = min((cost + self.cost[a, b, 0], text) for (a, b, _), (cost, text) in paths.items())[1]
+        _, best, come = min((cost + self.cost[a, b, 0], text, come) for (a, b, _), (cost, text, come) in paths.items())
+        if parts:
+            read = [best]
+            for part in reversed(parts):
+                text, come = part[come]
+                read.append(text)
+            return "".join(reversed(read))
         if len(self.known) > 100_000:
             self.known.clear()
         self.known[segment] = best

@@ -382,6 +382,17 @@ def test_restoration_of_very_long_runs(run):
     assert restorer.restore(text).startswith(run.lower()) and time.monotonic() - began < 20
 
 
+def test_restoration_across_parts(docs, monkeypatch):
+    """Long segments are read as a whole: runs and letters drawn apart go on over the seams."""
+    restorer = toxicity.Restorer(toxicity.character_counts(docs))
+    assert restorer.decode("st" + "u" * 71 + "pid") == "stupid" and restorer.restore("a st" + "u" * 1000 + "pid b") == "a stupid b"
+    rng = random.Random(7)
+    segments = ["".join(rng.choice("idtos1@$.- 0") for _ in range(rng.randrange(65, 200))) for _ in range(40)] + [" ".join("what an idiot you are to say that of others here".replace(" ", ""))]
+    got = [restorer.decode(x) for x in segments]
+    monkeypatch.setattr(toxicity, "_LONGEST", 10_000)
+    assert got == list(map(restorer.decode, segments))
+
+
 def test_character_counts_cover_every_text(spark):
     two = spark.createDataFrame([(1, "ab"), (2, "ab")], "doc_id long, text string").repartition(2)
     counts = toxicity.character_counts(two)
