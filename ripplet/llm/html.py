@@ -37,6 +37,10 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 APART = frozenset("nav aside footer form menu dialog fieldset search".split())
 MAIN = frozenset(["article", "main"])
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Names as has-sidebar or sidebar-layout say how a page is laid out.
+LAYOUT = re.compile(r"(?:has|with|without|no)[-_].*|.*[-_]layout", re.S)
+#: Words that leave the id of a section a hint: related-posts, but not related-work.
+BESIDE = frozenset("area articles bar block box buttons container content form links list news posts section stories thread us wrap wrapper".split())
 _SECTIONS, _TABLE = ("tbody", "thead", "tfoot"), frozenset(["table"])
 #: What a start tag closes without an end tag, and what keeps elements around it open, as in the HTML standard.
 CLOSED = (
@@ -95,6 +99,19 @@ def tree() -> DecisionTree:
     return DecisionTree(table[:, :-1], table[:, -1])
 
 
+def _hinted(name: str, classes: str, own_id: str) -> bool:
+    """Whether class or id hint at what is no article. Ids of headings are anchors, and those of sections are, if they have other words as well."""
+    if not classes and not own_id:
+        return False
+    words = set(re.split(r"[^a-z]+", own_id)) - {""}
+    if name in HEADINGS or name == "section" and not words <= HINTS | BESIDE:
+        words = set()
+    for c in classes.split():
+        if not LAYOUT.fullmatch(c):
+            words.update(re.split(r"[^a-z]+", c))
+    return not HINTS.isdisjoint(words)
+
+
 class _Page:
     """Reads one page into blocks: (text, words, link words, in main, set apart, hinted, heading)."""
 
@@ -153,8 +170,10 @@ class _Page:
         if name in MAIN or role in {"main", "article"}:
             main = 1
         apart |= int(name in APART or role in ROLES or name == "header" and not main or "hidden" in own or own.get("aria-hidden") == "true" or "display:none" in own.get("style", "").replace(" ", "").lower())
-        if name not in {"html", "body", "main", "article"}:
-            hint |= int(not HINTS.isdisjoint(re.split(r"[^a-z]+", f"{own.get('class', '')} {own.get('id', '')}".lower())))
+        if name == "main" or role == "main":
+            hint = 0
+        elif name not in {"html", "body", "article"}:
+            hint |= int(_hinted(name, own.get("class", "").lower(), own.get("id", "").lower()))
         if name in BLOCKS or (main, apart, hint) != (self.open[-1][1:] if self.open else (0, 0, 0)):
             self.places.setdefault(name, []).append(len(self.open))
             self.open.append((name, main, apart, hint))

@@ -444,6 +444,13 @@ def test_html_with_many_end_tags_takes_linear_time():
     assert time.monotonic() - began < 20
 
 
+def test_html_hints_of_layout_and_anchors():
+    for a, b in (('<div class="layout has-sidebar"><article>', "</article></div>"), ('<div class="sidebar-layout"><article>', "</article></div>"), ('<div class="widget"><main>', "</main></div>"), ("<article>", "</article>")):
+        page = f'{a}<h2 id="related-work">Related work</h2><section id="legal-background"><p>Words of law</p></section><section id="related-posts"><p>Read this</p></section><section id="comments"><p>Well said</p></section>{b}'
+        assert html.main_text(page) == "Related work\n\nWords of law"
+    assert html.main_text('<article>Text</article><div class="related has-image"><article>Other</article></div><div id="sidebar">Side</div>') == "Text"
+
+
 def test_html_without_article_mark():
     para = "These words make a paragraph that is long enough to look like an article. " * 3
     page = f"<div><a href=1>One</a> <a href=2>Two</a></div><div><p>{para}</p><p>{para}</p></div><div><a>About</a></div>"
