@@ -2,15 +2,32 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ripplet.operators.components import materialize, shared_dir  # noqa: F401
+from ripplet.operators.components import discard, materialize, shared_dir  # noqa: F401
 
 #: Rows in an Arrow batch: bounds what a Python worker holds at once, as texts may be very long.
 BATCH_ROWS = 256
 
 
+class Memory(dict):
+    """Remembers what ``make`` gives: at most ``most`` keys, then it starts anew, and none longer than ``longest`` characters, so its size is bounded."""
+
+    def __init__(self, make: Callable, most: int, longest: int) -> None:
+        self.make, self.most, self.longest = make, most, longest
+
+    def __missing__(self, key: str):  # noqa: ANN204
+        found = self.make(key)
+        if len(key) <= self.longest:
+            if len(self) >= self.most:
+                self.clear()
+            self[key] = found
+        return found
+
+
 def texts(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id and the whole text (null: empty), and the named further columns; clashing extras are left behind."""
     return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)

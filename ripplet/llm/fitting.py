@@ -6,8 +6,10 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: A labelled text longer than this is left out of a fit (never out of scoring).
-MAX_FIT_CHARS = 200_000
+from ripplet.llm.common import discard, materialize
+
+#: Bytes of labelled text that a fit takes of each class at most; a documented parameter of every ``fit``.
+MOST_BYTES = 32 << 20
 
 
 def remainder(mod: int) -> F.Column:
@@ -15,30 +17,37 @@ def remainder(mod: int) -> F.Column:
     return F.pmod(F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")), F.lit(mod))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: F.Column, per_class: dict[int, int]) -> tuple[dict[int, list[str]], dict[int, int]]:
-    """Texts by class, and how many labelled rows each class has.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: F.Column, per_class: dict[int, int], most_bytes: int = MOST_BYTES) -> tuple[dict[int, list[str]], dict[int, int]]:
+    """Distinct texts by class, and how many labelled rows each class has.
 
-    At most ``per_class`` rows of each class are taken, in the order of a hash of their ids; a doc_id with
-    several labels counts once for each distinct label. Rows with null ids or labels are ignored.
+    Rows come in the order of a hash of their ids, at most ``per_class`` of a class and as many as ``most_bytes`` hold; the first
+    that does not fit ends the sample, and a single text over ``most_bytes`` is passed over. A doc_id with
+    several labels counts once for each distinct label, and rows that repeat id and text count once. Rows with null ids or
+    labels are ignored.
     """
-    known = labels.select("doc_id", F.col(label).alias("y")).where(learn).where(F.col("y").isin(*per_class)).distinct()
+    known = labels.select("doc_id", F.col(label).alias("y")).where(learn & F.col("doc_id").isNotNull()).where(F.col("y").isin(*per_class)).distinct()
     counts = {int(r.y): int(r["count"]) for r in known.groupBy("y").count().collect()}
     chosen = None
     for y, most in per_class.items():
         part = known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
         chosen = part if chosen is None else chosen.union(part)
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.length("text") <= MAX_FIT_CHARS)
-    found = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "text").collect()  # as many rows as ``per_class`` allows
+    found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")  # as many ids as ``per_class`` allows
+    found = materialize(found.select("doc_id", "y", "text", F.xxhash64("doc_id").alias("place"), F.sha2("text", 256).alias("sha"), F.octet_length("text").alias("size")), "labelled")
+    picked: list[tuple[int, str]] = []
+    for y, most in per_class.items():
+        rows = found.where((F.col("y") == y) & (F.col("size") <= most_bytes)).select("place", "doc_id", "sha", "size").distinct().orderBy("place", "doc_id", "sha").limit(most).collect()
+        fits = np.cumsum([r["size"] for r in rows]) <= most_bytes
+        picked += [(y, r.doc_id, r.sha) for r, fit in zip(rows, fits, strict=True) if fit]
+    take = found.sparkSession.createDataFrame(picked, "y int, doc_id long, sha string")
+    own = found.withColumn("y", F.col("y").cast("int")).join(F.broadcast(take), ["y", "doc_id", "sha"])  # as many rows as ``per_class`` allows
+    texts = own.dropDuplicates(["y", "doc_id", "sha"]).select("y", "place", "doc_id", "sha", "text").collect()
+    discard(found)
     out: dict[int, list[str]] = {y: [] for y in per_class}
-    for r in sorted(found, key=lambda r: (r.y, hash_order(r.doc_id), r.text)):
+    for r in sorted(texts, key=lambda r: (r.y, r.place, r.doc_id, r.sha)):
         out[int(r.y)].append(r.text)
     return out, {y: counts.get(y, 0) for y in per_class}
 
 
-def hash_order(x: int) -> int:
-    return (x * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF) >> 11
-
-
 class Logistic:
     """Logistic regression by Newton steps on standardised features."""
 

@@ -1,15 +1,18 @@
 """Compression classifier of quality.
 
 Two zstandard dictionaries are built, one from texts labelled good and one from
-texts labelled bad. A text is compressed with each; the difference of the two
-sizes, normalised by the length and by the sizes, is the evidence. A logistic calibration, fitted on labelled texts
-that the dictionaries have not seen, turns it into a probability, with the compressed share of the length beside
-it, since a text that repeats itself shrinks under either dictionary.
+texts labelled bad. A text is compressed with each, piece by piece of ``PIECE`` bytes, so that a long text, or one that repeats itself,
+is measured against the dictionaries all the way and not against its own beginning. The difference of the
+two sizes over the length is the evidence. Text that the good dictionary does not shrink further than the bad one, as words
+repeated over and over, has none for it, whatever the difference is. A logistic calibration, fitted on labelled texts
+that the dictionaries have not seen, turns it into a probability; the logarithm of the length stands beside it only
+because a short text has an uncertain difference.
 
-The fit takes at most ``PER_CLASS`` labelled texts of each class; the class shares come from all labels.
+The fit takes at most ``per_class`` labelled texts and ``most_bytes`` bytes of each class; the class shares come from all labels.
 
 Cases: null and empty texts are scored like any text of length zero; with no labels of one class, every score
-is the smoothed share of the other; repeated rows get equal scores; an empty table gives an empty result.
+is the smoothed share of the other; repeated rows get equal scores; equal scores need no order, as each row is judged by itself; columns
+beside doc_id and text are not read, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,15 +27,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ripplet.llm.common import small_batches, texts
-from ripplet.llm.fitting import Logistic, labelled_sample, remainder
+from ripplet.llm.fitting import MOST_BYTES, Logistic, labelled_sample, remainder
 
-#: Bound of the labelled sample, for each class.
+#: Bound of the labelled sample, for each class: the default of ``fit``.
 PER_CLASS = 2000
+#: Bytes that are compressed at a time.
+PIECE = 1024
+#: Bytes saved for each byte of text beyond which the evidence no longer grows.
+MOST = 0.2
 DICTIONARY_BYTES = 112_640
 LEVEL = 3
 THRESHOLD = 0.3
 FOLDS = 5
-_SLICE = 2048
+_SLICE = 512
 
 
 def dictionary(samples: list[bytes]) -> tuple[bytes, int]:
@@ -65,10 +72,13 @@ class Classifier:
         self.calibrate = Logistic(self.features([t for t, _ in rest]), y, weights)
 
     def features(self, data: list[bytes]) -> np.ndarray:
-        bad, good = (np.array([len(compressor(*self.dictionaries[y]).compress(t)) for t in data], dtype=float) for y in (0, 1))
-        n = np.array([len(t) for t in data], dtype=float) + 1
-        share = (bad + good) / (2 * n)
-        return np.c_[np.clip(bad - good, -40, 40), (bad - good) / n, share, share * share, np.log(n), (bad - good) / (bad + good)]
+        n = np.array([len(t) + 1 for t in data], dtype=float)
+        return np.c_[np.clip((self.sizes(data, 0) - self.sizes(data, 1)) / n, 0.0, MOST), np.log(n)]
+
+    def sizes(self, data: list[bytes], y: int) -> np.ndarray:
+        """Bytes that the texts take under the dictionary of class ``y``."""
+        small = compressor(*self.dictionaries[y]).compress
+        return np.array([sum(len(small(t[i : i + PIECE])) for i in range(0, len(t), PIECE)) for t in data], dtype=float)
 
     def scores(self, data: list[str]) -> np.ndarray:
         if self.calibrate is None or not data:
@@ -76,8 +86,8 @@ class Classifier:
         return self.calibrate(self.features([t.encode() for t in data]))
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Classifier:
-    return Classifier(*labelled_sample(docs, labels, "quality", remainder(FOLDS) != 0, {0: per_class, 1: per_class}))
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, most_bytes: int = MOST_BYTES) -> Classifier:
+    return Classifier(*labelled_sample(docs, labels, "quality", remainder(FOLDS) != 0, {0: per_class, 1: per_class}, most_bytes))
 
 
 def score(docs: DataFrame, model: Classifier) -> DataFrame:
