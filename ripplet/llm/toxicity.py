@@ -1,112 +1,158 @@
 """Toxicity by noisy-channel deobfuscation.
 
-Segments that look disguised (digits or signs among letters, letters drawn apart,
-letters repeated) are read as a lattice: each character may stand for itself, for
-the letters that it imitates, or, if it separates or repeats, for nothing. The Viterbi path under a character trigram model, counted
-over all documents, restores the segment; the restored text is scored.
-
-The score rests on marks: words and beginnings of words of the restored text that a greedy cover of
-toxic training texts selects. The log-odds of a text's distinct marks are calibrated into a probability.
-The fit takes at most ``POSITIVE`` and ``NEGATIVE`` labelled texts; class shares come from all labels, and the character
-counts from all documents.
-
-Cases: null and empty texts have no marks and the score of such texts; with no labels of one class every score is the
-smoothed share of the other; repeated rows get equal scores; an empty table gives an empty result.
+Every token is a lattice: each character may stand for itself, for the letters that it imitates
+(leetspeak, look-alikes of other alphabets), or, if it separates, repeats or can't be seen, for nothing. Single characters that
+white space draws apart are one token. The Viterbi path under a character trigram model, counted over all documents,
+is the restored token: the channel prices what is disguised, the token as a whole and each character, the model what is written, digits and foreign letters included, so
+that numbers, digests and other alphabets are read as themselves. A token with one path needs no search.
+
+The restored text is scored by a model of words and their beginnings. Their log-odds are lower confidence bounds over labelled texts;
+a beginning counts only what its commonest continuation does not explain, and a few rounds of reestimation leave each toxic text to the words that
+explain it. The strongest words of a text are calibrated into a probability on evidence from texts that the model has not seen (``PARTS`` parts,
+each judged by the model of the others).
+
+The fit takes at most ``positives`` and ``negatives`` labelled texts, and ``most_bytes`` bytes of each class; class shares come from all labels, and the
+character counts from all documents.
+
+A blank inside a word whose parts have several letters ("stu pid") is read as it stands, and so is a token without any Latin letter.
+
+Cases: null and empty texts have no words and the score of such texts; with no labels of one class every score is the
+smoothed share of the other; repeated rows get equal scores; of equally likely readings the one found first stays, characters as they stand before imitations; columns beside doc_id and text are not read,
+whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
-import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ripplet.llm.common import small_batches, texts
-from ripplet.llm.fitting import Logistic, labelled_sample, remainder
+from ripplet.llm.common import Memory, small_batches, texts
+from ripplet.llm.fitting import MOST_BYTES, Logistic, labelled_sample, remainder
 
+#: Bounds of the labelled sample: the defaults of ``fit``.
 POSITIVE, NEGATIVE = 1500, 3000
 THRESHOLD = 0.7
 FOLDS = 3
-#: A mark needs so many training texts, and so large a share of toxic ones among them.
-LEAST, PURE = 3, 0.9
-#: A mark beside the cover needs this share of the toxic training texts.
-COMMON = 0.02
-RIDGE = 1e-4
 #: Letters that a sign imitates, with the cost of the disguise.
 IMITATES = {
     "0": {"o": 1.0, "u": 2.5}, "1": {"i": 1.0, "l": 1.2}, "2": {"z": 1.5}, "3": {"e": 1.0}, "4": {"a": 1.0}, "5": {"s": 1.0}, "6": {"g": 1.5}, "7": {"t": 1.0},
     "8": {"b": 1.0}, "9": {"g": 1.2}, "@": {"a": 1.0}, "$": {"s": 1.0}, "!": {"i": 1.0, "l": 1.5}, "|": {"l": 1.0, "i": 1.0}, "+": {"t": 1.0},
     "(": {"c": 1.5}, "*": {v: 1.6 for v in "aeiou"}, "#": {"h": 2.0}, "€": {"e": 1.0}, "£": {"l": 1.5},
 }
-_SEPARATES = " .-_*"
-_SIGNS = r"0-9@$!|+€£*#"
-DISGUISED = re.compile(
-    rf"(?<![^\W_])[^\W\d_](?:[ .\-_*][^\W\d_]){{3,}}(?![^\W_])"  # letters drawn apart
-    rf"|(?<![^\W_])[^\W_]*(?:[^\W\d_][{_SIGNS}]{{1,3}}(?=[^\W\d_])|(?<![\w@$!])[0-9@$!|+]{{1,2}}(?=[^\W\d_]{{2}}))[^\W_]*(?:[@$!|*+]?[^\W_]+)*"  # signs among letters
-    r"|\b[^\W_]*([^\W\d_])\1\1[^\W_]*"  # letters repeated
-)
-_LONGEST = 64
-
-# ---- character model: 26 letters, accents folded, and one class for all else
-_FOLD = np.zeros(256, dtype=np.int32)
-for _k in range(26):
-    _FOLD[97 + _k] = _k + 1
-for _c, _as in {"a": "àáâãäå", "c": "ç", "e": "èéêë", "i": "ìíîï", "n": "ñ", "o": "òóôõöø", "u": "ùúûü", "y": "ýÿ", "s": "ß"}.items():
-    for _x in _as:
-        _FOLD[ord(_x)] = ord(_c) - 96
-A = 27
+#: Letters of other alphabets by the Latin letter that they look like.
+LOOKALIKES = {
+    "a": "аα", "b": "вβ", "c": "сς", "d": "ԁ", "e": "еεє", "g": "ɡ", "h": "нһ", "i": "іιı", "j": "ј", "k": "кκ", "l": "ӏ", "m": "м", "n": "пη", "o": "оοσօ", "p": "рρ",
+    "q": "ԛ", "r": "гᴦ", "s": "ѕ", "t": "тτ", "u": "υս", "v": "νѵ", "w": "ԝω", "x": "хχ", "y": "уγ", "z": "ᴢ",
+}
+IMITATES |= {seen: {latin: 1.0} for latin, all_ in LOOKALIKES.items() for seen in all_}
+#: What may stand between the letters of a word.
+SEPARATES = " .-_*'~/,·•:"
+#: Costs: of a token that is disguised at all; of a separator, a blank between letters drawn apart, a repeated letter, one in a run of three, a repeated sign that stands for nothing.
+DISGUISED, DROP, CLOSE, REPEAT, RUN, SIGN_AGAIN = 3.0, 0.7, 0.3, 2.5, 0.3, 0.4
+#: Cost of a blank that is one, between letters drawn apart.
+BLANK = 1.5
+#: Cost of a digit or sign that is one, in a token that is disguised elsewhere.
+KEPT = 2.0
+_UNSEEN = "\u00ad\u200b\u200c\u200d\u2060\ufeff"
+#: Positions between which the texts of all paths are set down: bounds what a step copies, and changes no reading.
+_PART = 64
+#: Tokens that a worker remembers, none longer than ``_KNOWN_CHARS``.
+_KNOWN, _KNOWN_CHARS = 200_000, 64
+
+# ---- character classes: 0 for what ends a word, 26 letters with accents folded, digits and signs, other letters
+DIGIT, FOREIGN, A = 27, 28, 29
+
+
+@lru_cache(maxsize=1)
+def _classes() -> np.ndarray:
+    """Class of every code point up to 65,536; those above are one, and end a word."""
+    out = np.zeros(65_537, dtype=np.int32)
+    for k in range(65_536):
+        c = chr(k)
+        if c.isalpha():
+            plain = unicodedata.normalize("NFD", c)[0].lower()
+            out[k] = ord(plain) - 96 if "a" <= plain <= "z" else FOREIGN
+        elif c.isdigit() or c in "@$#€£+*|":
+            out[k] = DIGIT
+    out[ord("ß")], out[ord("ø")] = 19, 15
+    return out
+
+
+def _class(c: str) -> int:
+    return int(_classes()[min(ord(c), 65_536)])
 
 
 def codes(text: str) -> np.ndarray:
-    return _FOLD[np.frombuffer(text.lower().encode("latin-1", "replace"), dtype=np.uint8)]
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    return _classes()[np.minimum(points, 65_536)]
 
 
 def character_counts(docs: DataFrame) -> np.ndarray:
-    """Counts of all 27^3 character triples over every whole text; each task sends its sums only."""
+    """Counts of all triples of character classes over every whole text; each task sends its sums only."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(A**3, dtype=np.int64)
+
+        def add(held: list[str]) -> None:
+            joined = codes("  ".join(["", *held, ""]))
+            for at in range(0, len(joined) - 2, 1 << 20):
+                own = joined[at : at + (1 << 20) + 2]
+                total[:] += np.bincount((own[:-2] * A + own[1:-1]) * A + own[2:], minlength=A**3)
+
         for batch in batches:
-            joined = codes("  ".join(["", *batch.column(0).to_pylist(), ""]))
-            total += np.bincount((joined[:-2] * A + joined[1:-1]) * A + joined[2:], minlength=A**3)
+            held, size = [], 0
+            for text in batch.column(0).to_pylist():
+                held.append(text)
+                size += len(text)
+                if size > 1 << 20:
+                    add(held)
+                    held, size = [], 0
+            add(held)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["triple", "n"])
 
     found = texts(docs).select("text").mapInArrow(run, "triple int, n long").groupBy("triple").agg(F.sum("n").alias("n"))
     out = np.zeros(A**3, dtype=np.float64)
-    for r in found.collect():  # 27^3 rows at most
+    for r in found.collect():  # 29^3 rows at most
         out[r.triple] = r.n
     return out
 
 
-_LETTER = np.array([chr(k).isalpha() for k in range(256)])
-_SIGN = np.array([bool(re.match(f"[{_SIGNS}]", chr(k))) for k in range(256)])
+_SIGNS = re.escape("".join(IMITATES) + _UNSEEN)
+#: A token in which this is found has several paths, if it has a letter.
+_MANY = re.compile(rf"[{_SIGNS}\u0300-\u036f]|(.)\1|[^\W\d_][{re.escape(SEPARATES)}][^\W\d_]", re.S)
+_LATIN = re.compile(r"[a-z\u00df-\u024f]")
+#: Three or more single characters with single blanks between.
+_APART = re.compile(r"(?<!\S)\S(?:\s\S(?!\S)){2,}")
 
 
-def may_disguise(text: str) -> bool:
-    """False only if ``DISGUISED`` matches nowhere: a quick look at neighbouring characters."""
-    try:
-        b = np.frombuffer(text.encode("latin-1"), dtype=np.uint8)
-    except UnicodeEncodeError:
-        return True
-    letter = _LETTER[b]
-    if (_SIGN[b[:-1]] & letter[1:]).any() or ((b[2:] == b[1:-1]) & (b[1:-1] == b[:-2]) & letter[2:]).any():
-        return True
-    lone = letter.copy()
-    lone[1:] &= ~letter[:-1]
-    lone[:-1] &= ~letter[1:]
-    return bool(len(b) > 6 and (lone[6:] & lone[4:-2] & lone[2:-4] & lone[:-6]).any())
+@lru_cache(maxsize=10_000)
+def options(seen: str, again: bool, run: bool) -> list[tuple[str, float, int]]:
+    """What a character may stand for, its cost and its class; the empty string drops it. ``again``: it stands before itself too; ``run``: in a row of three or more."""
+    if seen in _UNSEEN or unicodedata.combining(seen):
+        return [("", 0.0, -1)]
+    if seen.isspace():
+        return [(" ", BLANK, 0), ("", CLOSE, -1)]
+    out = [(seen, KEPT if _class(seen) == DIGIT else 0.0), *IMITATES.get(seen, {}).items()]
+    if seen in SEPARATES:
+        out.append(("", DROP))
+    elif again:
+        out.append(("", SIGN_AGAIN if not seen.isalpha() and seen not in IMITATES else RUN if run else REPEAT))
+    return [(c, more, _class(c) if c else -1) for c, more in out]
 
 
 class Restorer:
-    """Viterbi decoding of disguised segments under the character model."""
+    """Viterbi decoding of tokens under the character model."""
 
     def __init__(self, counts: np.ndarray) -> None:
         three = counts.reshape(A, A, A)
@@ -115,160 +161,214 @@ class Restorer:
         p2 = (two + 20 * p1) / (two.sum(axis=1, keepdims=True) + 20)
         p3 = (three + 20 * p2[None, :, :]) / (three.sum(axis=2, keepdims=True) + 20)
         self.cost = -np.log(p3)
-        self.known: dict[str, str] = {}
+        self._prepare()
 
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"known": {}}
+    def _prepare(self) -> None:
+        self.known = Memory(self.decode, _KNOWN, _KNOWN_CHARS)
+        self._costs = self.cost.tolist()
 
-    @staticmethod
-    def options(seen: str, before: str, run: int) -> list[tuple[str, float]]:
-        """What a character may stand for, with costs; the empty string drops it. ``run``: how often it stands in a row."""
-        if seen.isalpha():
-            out = [(seen, 0.0)]
-            if seen == before:
-                out.append(("", 0.3 if run > 2 else 2.5))
-            return out
-        out = [(c, cost) for c, cost in IMITATES.get(seen, {}).items()]
-        if seen in _SEPARATES:
-            out += [("", 0.3), (" ", 2.0)]
-        elif seen == before:
-            out.append(("", 0.4))
-        return out or [(" ", 0.0)]
-
-    def decode(self, segment: str) -> str:
-        """The likeliest reading. Paths hold the text of the last ``_LONGEST`` characters at most, and from which path of the part before they come, so a segment of any length takes linear time."""
-        segment = segment.lower()
-        if segment in self.known:
-            return self.known[segment]
-        code = lambda c: int(_FOLD[ord(c)]) if ord(c) < 256 else 0
-        paths: dict[tuple[int, int, str], tuple[float, str, tuple[int, int, str]]] = {(0, 0, ""): (0.0, "", (0, 0, ""))}
-        before = ""
-        parts: list[dict[tuple[int, int, str], tuple[str, tuple[int, int, str]]]] = []  # text of each path in a part, and its path before
-        runs = [len(m[0]) for m in re.finditer(r"(.)\1*", segment, re.S) for _ in m[0]]
-        for at, (seen, run) in enumerate(zip(segment, runs, strict=True)):
-            if at and at % _LONGEST == 0:
-                parts.append({key: (text, come) for key, (_, text, come) in paths.items()})
-                paths = {key: (cost, "", key) for key, (cost, _, _) in paths.items()}
-            grown: dict[tuple[int, int, str], tuple[float, str, tuple[int, int, str]]] = {}
-            for (a, b, last), (cost, text, come) in paths.items():
-                for c, more in self.options(seen, before, run):
-                    if c == "":
-                        key, found = (a, b, last), (cost + more, text, come)
-                    else:
-                        k = code(c)
-                        key, found = (b, k, c), (cost + more + self.cost[a, b, k], text + c, come)
-                    if key not in grown or found < grown[key]:
-                        grown[key] = found
-            paths, before = grown, seen
-        _, best, come = min((cost + self.cost[a, b, 0], text, come) for (a, b, _), (cost, text, come) in paths.items())
-        if parts:
-            read = [best]
-            for part in reversed(parts):
-                text, come = part[come]
-                read.append(text)
-            return "".join(reversed(read))
-        if len(self.known) > 100_000:
-            self.known.clear()
-        self.known[segment] = best
-        return best
+    def __getstate__(self) -> dict:
+        return {"cost": self.cost}
+
+    def __setstate__(self, state: dict) -> None:
+        self.cost = state["cost"]
+        self._prepare()
+
+    def decode(self, token: str) -> str:
+        """The likeliest reading. Paths hold the text of the last ``_PART`` characters at most, and from which path of the part before they come, so a token of any length takes linear time."""
+        if not token.isascii():
+            token = unicodedata.normalize("NFKC", token).lower()
+        if not (_MANY.search(token) or _APART.search(token)) or not _LATIN.search(token):
+            return token  # one path
+        costs = self._costs
+        bound = self._plain_cost(token) - DISGUISED  # what a reading must cost less than; costs only grow along a path
+        paths: dict[tuple[int, int], tuple[float, str, tuple[int, int]]] = {(0, 0): (0.0, "", (0, 0))}
+        parts: list[dict[tuple[int, int], tuple[str, tuple[int, int]]]] = []  # text of each path in a part, and its path before
+        at = 0
+        for m in re.finditer(r"(.)\1*", token, re.S):
+            size = m.end() - m.start()
+            for nth in range(size):
+                if at and at % _PART == 0:
+                    parts.append({key: (text, come) for key, (_, text, come) in paths.items()})
+                    paths = {key: (cost, "", key) for key, (cost, _, _) in paths.items()}
+                at += 1
+                grown: dict[tuple[int, int], tuple[float, str, tuple[int, int]]] = {}
+                choices = options(m[1], nth > 0, size > 2)
+                for (a, b), (cost, text, come) in paths.items():
+                    own = costs[a][b]
+                    for c, more, k in choices:
+                        if k < 0:
+                            key, found = (a, b), (cost + more, text, come)
+                        else:
+                            key, found = (b, k), (cost + more + own[k], text + c, come)
+                        if found[0] < bound and (key not in grown or found[0] < grown[key][0]):
+                            grown[key] = found
+                if not grown:
+                    return token
+                paths = grown
+        least, best, come = min(((cost + costs[a][b][0], text, come) for (a, b), (cost, text, come) in paths.items()), key=lambda x: x[0])
+        if least >= bound:
+            return token
+        read = [best]
+        for part in reversed(parts):
+            text, come = part[come]
+            read.append(text)
+        return "".join(reversed(read))
+
+    def _plain_cost(self, token: str) -> float:
+        """Of a token that is read as it stands; letters drawn apart, and what can't be seen, are no reading."""
+        a = b = 0
+        total = 0.0
+        for c in token:
+            if c in _UNSEEN or c.isspace():
+                return math.inf
+            k = options(c, False, False)[0][2]
+            if k >= 0:
+                total += self._costs[a][b][k]
+                a, b = b, k
+        return total + self._costs[a][b][0]
+
+    def tokens(self, text: str) -> list[str]:
+        """The tokens of a text, in lowercase: those of white space, and the ones drawn apart as one each."""
+        out, at, text = [], 0, text.lower()
+        for m in _APART.finditer(text):
+            out += text[at : m.start()].split()
+            out.append(m[0])
+            at = m.end()
+        return out + text[at:].split()
 
     def restore(self, text: str) -> str:
-        """Lowercase text, disguised segments read."""
-        text = text.lower()
-        return DISGUISED.sub(lambda m: self.decode(m[0]), text) if may_disguise(text) else text
+        """The restored text: lowercase, its tokens read, one blank between."""
+        return " ".join(map(self.known.__getitem__, self.tokens(text)))
 
 
+# ---- model of the restored text
 _WORD = re.compile(r"[^\W\d_]+")
+_ACCENTS = str.maketrans("àáâãäåçèéêëìíîïñòóôõöøùúûüýÿ", "aaaaaaceeeeiiiinoooooouuuuyy")
+#: A feature needs so many toxic texts.
+LEAST = 3
+#: Standard errors that are taken off log-odds.
+ERRORS = 1.5
+ROUNDS, SLACK = 2, 1.0
+PARTS, STRONGEST = 4, 4
+RIDGE = 1e-4
+
+
+def words(restored: str) -> list[str]:
+    return _WORD.findall(restored.translate(_ACCENTS))
+
 
+def features(word: str) -> list[str]:
+    """The word, as ``word$``, and its beginnings of 4 to 8 letters."""
+    return [f"{word}$", *(word[:n] for n in range(4, 9) if len(word) > n)] if len(word) >= 4 else []
 
-def features(restored: str) -> set[str]:
-    """Words, as ``word$``, and beginnings of 4 to 8 letters."""
-    words = set(_WORD.findall(restored))
-    return {f"{w}$" for w in words if len(w) >= 4} | {w[:n] for w in words for n in range(4, 9) if len(w) > n}
+
+Text = list[list[str]]  # features of the distinct words
+
+
+class Odds:
+    """Log-odds of features: how much surer a text is toxic if a word has one."""
+
+    def __init__(self, toxic: list[Text], clean: list[Text]) -> None:
+        seen = Counter(f for t in toxic for f in {f for word in t for f in word})
+        usable = {f for f, n in seen.items() if n >= LEAST}
+        toxic = [[[f for f in word if f in usable] for word in t] for t in toxic]
+        others = Counter(f for t in clean for f in {f for word in t for f in word if f in usable})
+        counts = {f: float(seen[f]) for f in usable}
+        for _ in range(ROUNDS):
+            self.values = self._bounds(counts, others, len(toxic), len(clean))
+            counts = self._explained(toxic)
+        self.values = self._bounds(counts, others, len(toxic), len(clean))
+
+    @staticmethod
+    def _bounds(counts: dict[str, float], others: Counter, toxic: int, clean: int) -> dict[str, float]:
+        follows: dict[str, float] = {}  # of a beginning, the count of its commonest continuation
+        for f, n in counts.items():
+            for shorter in (f[:-1], f[:-2]) if f.endswith("$") else (f[:-1],):
+                follows[shorter] = max(follows.get(shorter, 0.0), n)
+        out = {}
+        for f, n in counts.items():
+            own = n - follows.get(f, 0.0) if 2 * follows.get(f, 0.0) > n else n
+            if own >= LEAST:
+                a, b = own + 0.5, others[f] + 0.5
+                bound = math.log(a / (toxic + 1)) - math.log(b / (clean + 1)) - ERRORS * math.sqrt(1 / a + 1 / b)
+                if bound > 0:
+                    out[f] = bound
+        return out
+
+    def _explained(self, toxic: list[Text]) -> dict[str, float]:
+        """In how many texts a feature is of a word that explains the text, counted by how near the word comes to the strongest one."""
+        out: dict[str, float] = {}
+        for t in toxic:
+            strength = [max((self.values[f] for f in word if f in self.values), default=0.0) for word in t]
+            most, own = max(strength, default=0.0), {}
+            for word, x in zip(t, strength, strict=True):
+                if x > 0:
+                    part = math.exp(min(0.0, x - most + SLACK))
+                    own.update((f, max(part, own.get(f, 0.0))) for f in word)
+            for f, part in own.items():
+                out[f] = out.get(f, 0.0) + part
+        return out
+
+    def strongest(self, word: list[str]) -> tuple[float, str] | None:
+        return max(((self.values[f], f) for f in word if f in self.values), default=None)
+
+
+def evidence(hits: Iterable[tuple[float, str]], size: int) -> list[float]:
+    """Of a text, by the features that its words hit, each once, and the number of its distinct tokens."""
+    top = sorted((x for x, _ in set(hits)), reverse=True)
+    return [*(top + [0.0] * STRONGEST)[:STRONGEST], sum(top[: 3 * STRONGEST]), math.log1p(sum(x > ERRORS for x in top)), sum(top) / (1 + math.log1p(size)), math.log1p(size)]
 
 
 class Classifier:
     def __init__(self, samples: dict[int, list[str]], counts: dict[int, int], characters: np.ndarray) -> None:
         self.share = (counts[1] + 1) / (counts[0] + counts[1] + 2)
         self.restorer = Restorer(characters)
-        samples = {y: sorted(set(map(self.restorer.restore, t))) for y, t in samples.items()}
-        self.marks: dict[str, float] = {}
         self.calibrate = None
-        if not (samples[0] and samples[1]):
+        texts_ = {y: [sorted(set(self.restorer.tokens(t))) for t in dict.fromkeys(samples[y])] for y in (0, 1)}
+        if min(map(len, texts_.values())) < 2:
             return
-        self.marks = self._cover(samples)
-        x = self.evidence_restored([t for y in (0, 1) for t in samples[y]])
-        y = np.repeat([0, 1], [len(samples[0]), len(samples[1])])
+        read = {y: [(len(t), [features(w) for w in sorted({w for x in t for w in words(self.restorer.known[x])})]) for t in texts_[y]] for y in (0, 1)}
+        parts = min(PARTS, *map(len, read.values()))
+        x, y = [], []
+        for k in range(parts):
+            odds = Odds(*([t for i, (_, t) in enumerate(read[c]) if i % parts != k] for c in (1, 0)))
+            for c in (0, 1):
+                unseen = [r for i, r in enumerate(read[c]) if i % parts == k]
+                x += [evidence(filter(None, map(odds.strongest, t)), size) for size, t in unseen]
+                y += [c] * len(unseen)
+        y = np.array(y)
         weights = np.where(y == 1, self.share / (y == 1).mean(), (1 - self.share) / (y == 0).mean())
-        self.calibrate = Logistic(x, y, weights, RIDGE)
+        self.calibrate = Logistic(np.array(x), y, weights, RIDGE)
+        self.odds = Odds(*([t for _, t in read[c]] for c in (1, 0)))
+        self._prepare()
 
-    def _cover(self, samples: dict[int, list[str]]) -> dict[str, float]:
-        toxic = [features(t) for t in samples[1]]
-        seen = Counter(f for own in toxic for f in own)
-        usable = {f for f, n in seen.items() if n >= LEAST}
-        clean = Counter(f for t in samples[0] for f in features(t) & usable)
-        rate = len(samples[1]) / len(samples[0])
-        pure = {f for f in usable if seen[f] >= PURE * (seen[f] + clean[f] * rate)}
-        holds: dict[str, set[int]] = {}
-        for k, own in enumerate(toxic):
-            for f in own & pure:
-                holds.setdefault(f, set()).add(k)
-        odds = lambda f: math.log((seen[f] + 0.5) / (len(toxic) + 1)) - math.log((clean[f] + 0.5) / (len(samples[0]) + 1))
-        marks: dict[str, float] = {}
-        while holds:
-            best = max(holds, key=lambda f: (len(holds[f]) * math.log(len(holds[f]) + 1) / (1 + clean[f]), f))
-            got = holds[best]
-            if len(got) < max(LEAST, len(toxic) // 200):
-                break
-            marks[best] = odds(best)
-            for f in list(holds):
-                holds[f] = holds[f] - got
-                if not holds[f]:
-                    del holds[f]
-        for f in sorted(pure, key=lambda f: (clean[f] > 0, len(f.rstrip("$")), f)):  # what the cover did not need, and is as telling
-            kin = (m for m in marks if f.startswith(m) or m.startswith(f.rstrip("$")) and 2 * seen[m] > seen[f])  # says nearly the same
-            if seen[f] >= max(LEAST + 1, COMMON * len(toxic)) and next(kin, None) is None:
-                marks[f] = odds(f)
-        return marks
+    def _prepare(self) -> None:
+        self.hits = Memory(self._hits, _KNOWN, _KNOWN_CHARS)
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k != "_finder"}
-
-    def finder(self):  # noqa: ANN201
-        if "_finder" not in self.__dict__:
-            own = ahocorasick.Automaton()
-            for f in self.marks:
-                own.add_word(f.rstrip("$"), [*own.get(f.rstrip("$"), []), f])
-            if len(own):
-                own.make_automaton()
-            self._finder = own
-        return self._finder
-
-    def evidence_restored(self, restored: list[str]) -> np.ndarray:
-        finder, out = self.finder(), np.zeros((len(restored), 3))
-        for row, text in enumerate(restored):
-            hits: set[str] = set()
-            places = 0
-            if self.marks:
-                for end, found in finder.iter(text):
-                    size = len(found[0].rstrip("$"))
-                    if end - size >= 0 and text[end - size].isalpha():
-                        continue
-                    ends = end + 1 == len(text) or not text[end + 1].isalpha()
-                    own = [f for f in found if f.endswith("$") == ends]
-                    hits.update(own)
-                    places += bool(own)
-            out[row] = sum(max(0.0, self.marks[f]) for f in hits), min(places, 3), math.log1p(places)
-        return out
+        return {k: v for k, v in self.__dict__.items() if k != "hits"}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__ |= state
+        self._prepare()
+
+    def _hits(self, token: str) -> tuple[tuple[float, str], ...]:
+        """The strongest feature of each word of a token's reading."""
+        return tuple(filter(None, (self.odds.strongest(features(w)) for w in words(self.restorer.decode(token)))))
 
     def scores(self, data: list[str]) -> np.ndarray:
         if self.calibrate is None or not data:
             return np.full(len(data), self.share)
-        return self.calibrate(self.evidence_restored([self.restorer.restore(t) for t in data]))
+        rows = []
+        for text in data:
+            own = set(self.restorer.tokens(text))
+            rows.append(evidence([h for x in own for h in self.hits[x]], len(own)))
+        return self.calibrate(np.array(rows))
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> Classifier:
-    samples, counts = labelled_sample(docs, labels, "toxic", remainder(FOLDS) != 1, {0: NEGATIVE, 1: POSITIVE})
+def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVE, negatives: int = NEGATIVE, most_bytes: int = MOST_BYTES) -> Classifier:
+    samples, counts = labelled_sample(docs, labels, "toxic", remainder(FOLDS) != 1, {0: negatives, 1: positives}, most_bytes)
     return Classifier(samples, counts, character_counts(docs))
 
 

@@ -9,7 +9,7 @@ import zlib
 import pytest
 from plain_components import brute_components
 
-from ripplet.llm import bpe, entries, exact_dedup, fingerprint, html, packing, pii, quality, secrets, simhash, toxicity
+from ripplet.llm import bpe, entries, exact_dedup, fingerprint, fitting, html, packing, pii, quality, secrets, simhash, toxicity
 
 SCHEMA = "doc_id bigint, text string, lang string, digest int, fp string, part string, count int, keep_id int"
 BIG = (1 << 60) + 1
@@ -366,17 +366,44 @@ def test_folds(spark):
 def test_restoration(docs):
     restorer = toxicity.Restorer(toxicity.character_counts(docs))
     assert restorer.decode("i d i o t") == "idiot" and restorer.decode("1d10t") == "idiot" and restorer.decode("idiiiot") == "idiot"
-    rng = random.Random(3)
-    pool = "ab 1@$.-_ é!\n"
-    for _ in range(3000):
-        t = "".join(rng.choice(pool) for _ in range(12))
-        assert toxicity.may_disguise(t) or not toxicity.DISGUISED.search(t)
+    for disguised in ("i-d-1-0-t", "i.d.i.o.t", "1D10T", "idіоt", "і d і о t", "id\u200biot", "ｉｄｉｏｔ", "i_d_i_o_t"):
+        assert restorer.restore(f"an {disguised} said") == "an idiot said"
+    for plain in ("2024-05-01", "well-known", "and/or", "the!!", "привет мир", "a@b.co", "1,000", "10.0.0.1", ""):
+        assert restorer.restore(plain) == plain
+
+
+def plain_reading(restorer, token):
+    """The likeliest of all paths of a token, one by one."""
+    found = []
+
+    def go(at, text, cost, a, b):
+        if at == len(token):
+            found.append((cost + restorer.cost[a, b, 0], text))
+            return
+        c = token[at]
+        for read, more, k in toxicity.options(c, at > 0 and token[at - 1] == c, len(next(m[0] for m in re.finditer(r"(.)\1*", token, re.S) if m.start() <= at < m.end())) > 2):
+            go(at + 1, text + read, cost + more + (restorer.cost[a, b, k] if k >= 0 else 0), *((b, k) if k >= 0 else (a, b)))
+
+    go(0, "", 0.0, 0, 0)
+    k = [0, 0, *toxicity.codes(token).tolist(), 0]
+    stands = sum(restorer.cost[x, y, z] for x, y, z in zip(k, k[1:], k[2:], strict=False))
+    least = min(found)[0]
+    return {text for cost, text in found if cost < least + 1e-9} if least + toxicity.DISGUISED < stands else {token}
+
+
+def test_restoration_against_all_paths(docs):
+    restorer = toxicity.Restorer(toxicity.character_counts(docs))
+    rng = random.Random(11)
+    for _ in range(400):
+        token = "".join(rng.choice("aidtos10$!-._й") for _ in range(rng.randrange(1, 8)))
+        want = plain_reading(restorer, token) if toxicity._MANY.search(token) and toxicity._LATIN.search(token) else {token}
+        assert restorer.decode(token) in want
 
 
 @pytest.mark.parametrize("run", ["ab", "1", "AKIA"])
 def test_restoration_of_very_long_runs(run):
     """A run of 200,000 letters or digits beside a disguised word takes linear time."""
-    restorer = toxicity.Restorer(toxicity.np.ones(27**3))
+    restorer = toxicity.Restorer(toxicity.np.ones(toxicity.A**3))
     text = run * (200_000 // len(run)) + " 1d10t"
     began = time.monotonic()
     assert restorer.restore(text).startswith(run.lower()) and time.monotonic() - began < 20
@@ -389,14 +416,113 @@ def test_restoration_across_parts(docs, monkeypatch):
     rng = random.Random(7)
     segments = ["".join(rng.choice("idtos1@$.- 0") for _ in range(rng.randrange(65, 200))) for _ in range(40)] + [" ".join("what an idiot you are to say that of others here".replace(" ", ""))]
     got = [restorer.decode(x) for x in segments]
-    monkeypatch.setattr(toxicity, "_LONGEST", 10_000)
-    assert got == list(map(restorer.decode, segments))
+    monkeypatch.setattr(toxicity, "_PART", 10_000)
+    assert got == list(map(restorer.decode, segments)) and any("idiot" in x for x in got)
 
 
 def test_character_counts_cover_every_text(spark):
     two = spark.createDataFrame([(1, "ab"), (2, "ab")], "doc_id long, text string").repartition(2)
     counts = toxicity.character_counts(two)
-    assert counts[(0 * 27 + 1) * 27 + 2] == 2 and counts[(1 * 27 + 2) * 27 + 0] == 2
+    size = toxicity.A
+    assert counts[(0 * size + 1) * size + 2] == 2 and counts[(1 * size + 2) * size + 0] == 2
+    for text in ("a" * 1_200_000, "aé1й " * 300_000):
+        counts = toxicity.character_counts(spark.createDataFrame([(1, text)], "doc_id long, text string"))
+        assert counts.sum() == len(text) + 2
+
+
+def disguise(word, rng):
+    """One of the ways in which people hide a word."""
+    signs = {"a": "@4а", "e": "3е", "i": "1!і", "o": "0о", "s": "$5ѕ", "t": "7+", "c": "с", "l": "1|", "h": "һ", "m": "м", "r": "г", "u": "υ", "p": "р"}
+    match rng.randrange(4):
+        case 0:
+            return "".join(rng.choice(signs[c]) if c in signs and rng.random() < 0.6 else c for c in word)
+        case 1:
+            return " ".join(word)
+        case 2:
+            return rng.choice(".-_*").join(word)
+        case _:
+            at = rng.randrange(len(word))
+            return word[:at] + word[at] * rng.randrange(3, 7) + word[at + 1 :]
+
+
+def test_restoration_finds_disguised_insults(spark):
+    """Of held-out toxic texts whose telling words are all disguised, far more are found with the restored text than with the text as it stands."""
+    import os
+
+    path = "/root/testdata/sf0.1"
+    if not os.path.isdir(path):
+        pytest.skip("no test data")
+    docs, labels = (spark.read.parquet(f"{path}/{x}.parquet") for x in ("documents", "labels"))
+    model = toxicity.fit(docs, labels)
+    for plain in ("04dbeb9f3a11c2d4", "sha256:9f86d081884c7d65", "mp3", "r2d2 x64"):  # a model of more text knows digests
+        assert model.restorer.restore(plain) == plain
+    rng = random.Random(12)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    toxic = [texts[r.doc_id] for r in labels.collect() if r.toxic == 1 and zlib.crc32(str(r.doc_id).encode()) % 3 == 1]
+    telling = lambda w: model.odds.strongest(toxicity.features(w.lower().translate(toxicity._ACCENTS))) is not None
+    open_, hidden = [], []
+    for t in toxic:
+        if model.scores([t])[0] >= toxicity.THRESHOLD and t.isascii():
+            open_.append(t)
+            hidden.append(re.sub(r"[^\W\d_]+", lambda m: disguise(m[0].lower(), rng) if telling(m[0]) else m[0], t))
+    restored = model.scores(hidden) >= toxicity.THRESHOLD
+    model.restorer.decode = lambda token: token  # as it stands
+    model.hits.clear()
+    standing = model.scores(hidden) >= toxicity.THRESHOLD
+    assert len(open_) > 50 and restored.mean() > 0.9 and standing.mean() < 0.2
+
+
+def labels_of(spark, rows):
+    return spark.createDataFrame(rows, "doc_id long, toxic int")
+
+
+def test_labelled_sample_is_bounded(spark):
+    """Repeats count once, bytes are bounded by the number of rows, and a text over the bound is passed over."""
+    docs = spark.createDataFrame([(1, "a" * 100)] * 5000 + [(2, "b" * 100), (3, "c" * 5000), (4, None), (5, "d" * 100), (None, "e")], "doc_id long, text string")
+    rows = [(k, 1) for k in (1, 2, 3, 4, 5)] + [(1, 1), (6, 1), (None, 1), (2, None)]
+    take = lambda n, size: fitting.labelled_sample(docs, labels_of(spark, rows), "toxic", fitting.F.lit(True), {0: n, 1: n}, size)
+    texts, counts = take(10, 1 << 20)
+    assert sorted(texts[1]) == sorted(["a" * 100, "b" * 100, "c" * 5000, "", "d" * 100]) and texts[0] == [] and counts == {0: 0, 1: 6}
+    texts, _ = take(10, 1000)
+    assert sorted(texts[1]) == sorted(["a" * 100, "b" * 100, "", "d" * 100])
+    texts, _ = take(10, 250)
+    assert sum(map(len, texts[1])) <= 250 and len([t for t in texts[1] if t]) == 2
+    assert len(take(3, 1 << 20)[0][1]) <= 3
+
+
+def test_quality_difference_alone(spark):
+    """The normalised difference of sizes alone drops nine of ten bad held-out texts and keeps 98 of 100 good ones."""
+    import os
+
+    path = "/root/testdata/sf0.1"
+    if not os.path.isdir(path):
+        pytest.skip("no test data")
+    docs, labels = (spark.read.parquet(f"{path}/{x}.parquet") for x in ("documents", "labels"))
+    model = quality.fit(docs, labels)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    held = [(model.features([texts[r.doc_id].encode()])[0][0], r.quality) for r in labels.collect() if zlib.crc32(str(r.doc_id).encode()) % 5 == 0]
+    good, bad = sorted(x for x, y in held if y == 1), [x for x, y in held if y == 0]
+    least = good[len(good) // 50]
+    assert sum(x < least for x in bad) > 0.9 * len(bad) > 50
+
+
+def test_quality_features_against_plain():
+    """Sizes, piece by piece, by compressing each piece afresh."""
+    import zstandard
+
+    rng = random.Random(13)
+    words = lambda pool: " ".join(rng.choice(pool) for _ in range(300))
+    good, bad = [words(["tree", "river", "stone", "cloud"]) for _ in range(40)], [words(["$$$", "!!", "buy", "|"]) for _ in range(40)]
+    model = quality.Classifier({1: good, 0: bad}, {1: 40, 0: 40})
+    texts = [*good[:3], *bad[:3], "", "x", "tree " * 5000, "é" * 3000]
+    for t, row in zip(texts, model.features([t.encode() for t in texts]), strict=True):
+        data, sizes = t.encode(), []
+        for y in (0, 1):
+            own = zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=zstandard.ZstdCompressionDict(model.dictionaries[y][0], dict_type=model.dictionaries[y][1]), write_content_size=False, write_checksum=False, write_dict_id=False)
+            sizes.append(sum(len(own.compress(data[i : i + 1024])) for i in range(0, len(data), 1024)))
+        assert row[0] == pytest.approx(min(max((sizes[0] - sizes[1]) / (len(data) + 1), 0), quality.MOST))
+    scores = model.scores(texts)
+    assert min(scores[:3]) > 0.5 > max(scores[3:6])
 
 
 PAGE = """<!doctype html><html><head><title>T</title><style>p{}</style></head><body><nav><ul><li><a href="/">Home</a></li></ul></nav>
