@@ -583,6 +583,75 @@ def test_html_without_article_mark():
     assert html.main_text(page) == "\n\n".join([para.strip()] * 2)
 
 
+def pages_at(spark, scale):
+    import os
+
+    path = f"/root/testdata/{scale}/pages.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no test data")
+    return spark.read.parquet(path)
+
+
+def test_html_against_plain_cutting(spark):
+    """The article element of every page, cut by regular expressions alone."""
+    import html as entities
+
+    def plain(page):
+        body = "".join(re.findall(r"(?s)<article[^>]*>(.*?)(?:</article>|\Z)", re.sub(r"(?s)<(script|style)\b.*?</\1>|<!--.*?-->", "", page)))
+        parts = re.split(r"</?(?:p|h[1-6]|div|ul|ol|li|blockquote|table|tr|td|th|section|pre|header|footer|nav|aside)\b[^>]*>", body)
+        blocks = [" ".join(entities.unescape(re.sub(r"<[^>]*>", "", re.sub(r"<br[^>]*>", " ", x))).split()) for x in parts]
+        return "\n\n".join(x for x in blocks if x)
+
+    pages = pages_at(spark, "sf0.01")
+    assert {r.page_id: r.text for r in html.extract(pages).collect()} == {r.page_id: plain(r.html or "") for r in pages.collect()}
+
+
+def neutral(page):
+    """The page with plain containers for all that says what it is, and without classes, ids and roles."""
+    page = re.sub(r"(</?)(?:article|main|nav|footer|header|aside)\b", r"\1div", page)
+    return re.sub(r"\s(?:class|id|role)=(?:\"[^\"]*\"|'[^']*'|[^\s>]+)", "", page)
+
+
+@pytest.mark.parametrize("strip", ["marks", "classes"])
+def test_html_by_words_and_densities(spark, strip):
+    """With the article's marks gone, and with all tags and classes that help gone too, words and densities still find it."""
+    from collections import Counter
+
+    unmark = (lambda x: re.sub(r"(</?)(?:article|main)\b", r"\1div", x)) if strip == "marks" else neutral
+    same = got = want = 0
+    for r in pages_at(spark, "sf0.01").collect():
+        a, b = Counter(html.main_text(unmark(r.html)).split()), Counter(html.main_text(r.html).split())
+        same, got, want = same + (a & b).total(), got + a.total(), want + b.total()
+    assert 2 * same / (got + want) >= 0.95
+
+
+def test_html_neighbours_decide():
+    """The same block, kept between paragraphs and dropped between links and a heading."""
+    block, para = "<div>Ten words stand here and they say nothing much</div>", f"<p>{'These words make a paragraph. ' * 12}</p>"
+    links = "".join(f"<div><a href={k}>Link</a></div>" for k in range(5))
+    assert "Ten words" in html.main_text(f"{links}<h1>A heading of the page</h1>{para}{block}{para}{para}")
+    assert "Ten words" not in html.main_text(f"{links}{block}<h1>A heading of the page</h1>{para}{para}{para}")
+    assert {"link before"} <= {("words", "link", "words before", "link before", "words after", "link after", "heading", "main")[k] for k in splits(html.tree().root)}
+
+
+def splits(node):
+    return {node[0]} | splits(node[2]) | splits(node[3]) if isinstance(node, tuple) else set()
+
+
+def test_html_with_clashing_columns(spark):
+    rows = spark.createDataFrame([(1, "u", PAGE, "x", 5, "y", "z")] * 2, "page_id long, url string, html string, text string, n_chars int, doc_id string, words string")
+    got = html.extract(rows).collect()
+    assert len(got) == 2 and got[0] == got[1] and got[0].n_chars == len(got[0].text) > 0
+
+
+@pytest.mark.parametrize("n", [1, 64, 1_000, 100_000])
+def test_html_with_unclosed_elements_before_the_article(n):
+    began = time.monotonic()
+    for unclosed in ("<li>Item", "<table><tr><td>Item" if n < 100_000 else "<td>Item", "<dd>Item", "<div>Item"):
+        assert html.main_text(f"<nav><ul>{unclosed * n}</ul></nav><article><h1>Head</h1><p>Some words</p></article>") == "Head\n\nSome words"
+    assert time.monotonic() - began < 60
+
+
 def secret_base(t):
     assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
     return sorted(
