@@ -1,12 +1,15 @@
 """Secrets by lexing assignments.
 
-Source and configuration syntax is lexed into pairs of a name and a value; a value is a chain
-of literals and names. Names that were given literals stand for them (constants propagate, through several
-steps), so a literal is scored by the most sensitive name that it reaches and by its own look. Literals that score ``THRESHOLD`` or more are
+Source and configuration syntax is lexed into pairs of a name and a value. A value is an expression: its literals and the names in it, through
+brackets, calls and conditions, up to the end of the statement; pairs in its brackets (named arguments) are pairs of their own. Types between a name and
+its value are passed over, subscripts name what they stand for, XML elements and attributes are pairs, and a ``name`` followed by a ``value`` is one.
+Each pair is a definition that refers to the latest definitions of the names in it before. Sensitivity flows back along these references, newest
+first, so constants propagate through any number of steps in time linear in the pairs; a literal is scored by the most sensitive name that
+it reaches and by its own look. Literals that score ``THRESHOLD`` or more are
 added to the spans of fixed shape: keyword assignments, access keys, hex runs. Private key blocks are added too.
 
-Cases: null and empty texts have no spans; repeated rows have equal spans; texts without any sensitive word are not
-lexed, since no literal can score there; an empty table gives an empty result; places count code points.
+Cases: null and empty texts have no spans; repeated rows have equal spans; spans that tie in start come by kind and end; texts without any sensitive word are not
+lexed, since no literal can score there; columns beside doc_id and text are not read, whatever their names; an empty table gives an empty result; places count code points.
 """
 
 from __future__ import annotations
@@ -32,23 +35,35 @@ PEM = re.compile(r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----(?:(?!-----BEGIN )[\s\
 THRESHOLD = 0.6
 #: Sensitivity of a name that contains such a word.
 SENSITIVE = {"password": 1.0, "passwd": 1.0, "passphrase": 1.0, "pwd": 0.9, "secret": 1.0, "token": 0.9, "apikey": 1.0, "privatekey": 1.0, "accesskey": 1.0, "credential": 0.9, "signingkey": 0.9, "encryptionkey": 0.9}
+#: Of a name that has such a word as one of its own.
+SENSITIVE_WORD = {"pass": 0.9}
 _STEMS = ("pass", "pwd", "secret", "token", "key", "credential")
 _PLACEHOLDER = re.compile(r"(?i)^(?:x+|\*+|\.+|<.*>|\$\{.*|%.*%|\{\{.*|(?:your|my|example|sample|dummy|change|todo|none|null|true|false|test|placeholder|redacted)[\w .-]*)$")
+#: What a call or a subscript asks for by name is no value.
+_ASKED = re.compile(r"[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)+|https?://[^@\s]*|[a-z]+(?:[._-][a-z]+)*")
+_DECLARES = frozenset("var let const val final static".split())
+_LABELS, _VALUES = frozenset("name key id".split()), frozenset("value default content".split())
 LEX = re.compile(
-    r"""(?P<name>[A-Za-z_$][\w$]*(?:[.\-][\w$]+)*)"""
+    r"""<(?P<element>[A-Za-z_][\w.-]*)[^<>]*>(?P<body>[^<>]+)</(?P=element)>"""
+    r"""|(?P<name>[A-Za-z_$][\w$]*(?:[.\-][\w$]+)*)"""
+    r"""|(?P<block>\"\"\"(?:[^\\]|\\.)*?\"\"\"|'''(?:[^\\]|\\.)*?''')"""
     r"""|(?P<quoted>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\\n]|\\.)*`)"""
     r"""|(?P<number>[0-9][\w.+/=-]*)"""
     r"""|(?P<gives>:=|=>|(?<![=!<>])=(?!=)|:(?!:))"""
     r"""|(?P<joins>\+|\.\.)"""
+    r"""|(?P<opens>[(\[])"""
+    r"""|(?P<shuts>[)\]])"""
+    r"""|(?P<blank>\n[ \t]*(?=\n))"""
     r"""|(?P<ends>[;,\n{}])"""
     r"""|(?P<other>[^\s])""",
-    re.ASCII,
+    re.ASCII | re.S,
 )
 
 
 def sensitivity(name: str) -> float:
     plain = re.sub(r"[^a-z0-9]", "", name.lower())
-    return max((v for k, v in SENSITIVE.items() if k in plain), default=0.0)
+    whole = max((v for k, v in SENSITIVE.items() if k in plain), default=0.0)
+    return whole or max((SENSITIVE_WORD.get(w.lower(), 0.0) for w in re.findall(r"[A-Z]?[a-z]+|[A-Z]+", name)), default=0.0)
 
 
 def strength(literal: str) -> float:
@@ -64,58 +79,136 @@ def strength(literal: str) -> float:
 Token = tuple[str, int, int]
 
 
-def pairs(text: str) -> Iterator[tuple[str, list[Token], list[Token]]]:
-    """Assignments: the name, its literals as (content, start, end), and the names that its value holds, likewise."""
-    name, key, value, literals, names = None, None, False, [], []
-    joined = True
+class Pair:
+    """A name with what its value holds: literals and other names, as (content, start, end); ``depth``: of brackets where it stands."""
+
+    __slots__ = ("also", "depth", "joined", "literals", "name", "names", "typed")
+
+    def __init__(self, name: str, also: str | None, depth: int, typed: bool) -> None:
+        self.name, self.also, self.depth, self.typed, self.joined = name, also, depth, typed, True
+        self.literals: list[Token] = []
+        self.names: list[tuple[str, int, int, bool]] = []  # whether it stands where a bare value does
+
+
+def pairs(text: str) -> Iterator[Pair]:
+    """The assignments of a text, each when it ends; every token belongs to the innermost one that is open."""
+    open_: list[Pair] = []
+    depth = 0
+    brackets: list[bool] = []  # of what is open: whether it asks by name
+    key: str | None = None  # what a gives would assign to
+    before: list[str] = []  # names in a row up to here
+    newest: Token | None = None  # the last literal or name that was put into a value
+    waits: str | None = None  # the first name of a declaration
+
+    def close(least: int) -> Iterator[Pair]:
+        while open_ and open_[-1].depth >= least:
+            yield open_.pop()
+
     for m in LEX.finditer(text):
         kind, own = m.lastgroup, m[0]
-        if value and kind in {"quoted", "number", "name"} and joined:
-            if kind == "name":
-                names.append((own, m.start(), m.end()))
-            if kind == "quoted":
-                literals.append((own[1:-1], m.start() + 1, m.end() - 1))
-            elif kind == "number":
-                literals.append((own, m.start(), m.end()))
-            joined = False
-            key = own if kind == "name" else own[1:-1] if kind == "quoted" else None
+        if kind == "body":
+            pair = Pair(m["element"], None, depth, False)
+            start, end = m.span("body")
+            body = m["body"].strip()
+            if body:
+                at = text.index(body, start, end)
+                pair.literals.append((body, at, at + len(body)))
+                yield pair
+            key, before = None, []
+            continue
+        now = open_[-1] if open_ else None
+        asks = bool(brackets and brackets[-1])
+        if kind == "name":
+            before.append(own)
+            waits = before[1] if len(before) == 3 and before[0] in _DECLARES else None
+            if now:
+                newest = (own, m.start(), m.end())
+                now.names.append((*newest, now.joined and now.depth == depth))
+                now.joined = False
+            key = own
+            continue
+        if kind in {"quoted", "block", "number"}:
+            edge = 3 if kind == "block" else kind == "quoted"
+            literal = (own[edge : len(own) - edge], m.start() + edge, m.end() - edge)
+            if now and (kind != "number" or now.joined) and not (asks and _ASKED.fullmatch(literal[0])):
+                newest = literal
+                now.literals.append(literal)
+                now.joined = False
+            key = literal[0] if kind == "quoted" and re.fullmatch(r"[\w.$-]+", literal[0]) else None
+            before, waits = [], None
+            continue
+        if kind == "gives" and key is not None and not (now and now.joined and now.depth == depth):
+            if now and now.depth == depth and now.typed and own in {"=", ":="} and not now.literals:
+                now.names, now.typed, now.joined = [], False, True  # what stood there was a type
+            else:
+                if now and newest and newest[0] == key:  # it was the next name, not a value
+                    if now.literals and now.literals[-1] == newest:
+                        now.literals.pop()
+                    elif now.names and now.names[-1][:3] == newest:
+                        now.names.pop()
+                yield from close(depth)
+                open_.append(Pair(key, waits, depth, own == ":"))
+            key, before, waits, newest = None, [], None, None
+            continue
+        before, waits = [], None
+        if kind == "joins":
+            if now:
+                now.joined = True
             continue
-        if value and kind == "joins" and not joined:
-            joined = True
+        if kind == "opens":
+            brackets.append(own == "[" and key is not None or own == "(" and bool(key) and bool(re.search(r"(?i)(?:^|[._])(?:get\w*|env\w*|lookup|fetch|read\w*|load\w*)$", key)))
+            depth += 1
+            if now and own == "(" and key is None:
+                now.joined = True
+            key = None
             continue
-        if kind == "gives" and key and not (value and joined):
-            if value and name and names and names[-1][0] == key:
-                names.pop()  # it was the next name, not a value
-            if value and name and literals and literals[-1][0] == key:
-                literals.pop()
-            if value and name and (literals or names):
-                yield name, literals, names
-            name, key, value, joined, literals, names = key, None, True, True, [], []
+        if kind == "shuts":
+            named = key if own == "]" else None  # a subscript names what is assigned
+            if depth:
+                yield from close(depth)
+                depth -= 1
+                brackets.pop()
+            key = named
             continue
-        if value:
-            if name and (literals or names):
-                yield name, literals, names
-            value, literals, names = False, [], []
-        key = own if kind == "name" else own[1:-1] if kind == "quoted" and re.fullmatch(r"[\w.$-]+", own[1:-1]) else None
-    if value and name and (literals or names):
-        yield name, literals, names
+        key = None
+        if kind == "blank" or own in ";{}":
+            yield from close(0)
+            depth, brackets = 0, []
+        elif kind == "ends":
+            yield from close(depth)
+    yield from close(0)
 
 
 def literal_spans(text: str) -> list[tuple[int, int, float]]:
     """(start, end, score) of literals that reach a sensitive name."""
-    holds: dict[str, set[Token]] = {}
+    found: list[tuple[float, list[Token], list[int]]] = []  # sensitivity, literals, and earlier definitions, of each definition
+    latest: dict[str, int] = {}
+    label: str | None = None
+    for pair in pairs(text):
+        own = max(sensitivity(pair.name), sensitivity(pair.also) if pair.also else 0.0)
+        low = pair.name.lower()
+        if low in _VALUES and label:
+            own = max(own, sensitivity(label))
+        literals = list(pair.literals)
+        used = []
+        for name, start, end, bare in pair.names:
+            if name in latest:
+                used.append(latest[name])
+            elif bare and own > 0 and re.search("[0-9]", name):
+                literals.append((name, start, end))  # a bare word, as configuration files have them
+        said = [x[0] for x in pair.literals] or [x[0] for x in pair.names]
+        label = said[0] if low in _LABELS and len(said) == 1 else None
+        for name in {pair.name, pair.also} - {None}:
+            latest[name] = len(found)
+        found.append((own, literals, used))
+    reach = [own for own, _, _ in found]
     scored: dict[Token, float] = {}
-    for name, literals, names in pairs(text):
-        reached = set(literals)
-        for other in names:
-            if other[0] in holds:
-                reached |= holds[other[0]]
-            elif re.search("[0-9]", other[0]) and sensitivity(name) > 0:
-                reached.add(other)  # a bare word, as configuration files have them
-        holds[name] = reached
-        if (s := sensitivity(name)) > 0:
-            for x in reached:
-                scored[x] = max(scored.get(x, 0.0), s * strength(x[0]))
+    for k in range(len(found) - 1, -1, -1):
+        if reach[k] > 0:
+            for other in found[k][2]:
+                reach[other] = max(reach[other], reach[k])
+            for x in found[k][1]:
+                scored[x] = max(scored.get(x, 0.0), reach[k] * strength(x[0]))
     return sorted((a, b, s) for (_, a, b), s in scored.items() if s >= THRESHOLD)
 
 
@@ -137,7 +230,7 @@ def spans(text: str) -> list[tuple[int, int, int]]:
     extra = []
     if "-----BEGIN " in text:
         extra += [(m.start(), 4, m.end()) for m in PEM.finditer(text)]
-    if any(k in low for k in _STEMS) and ("=" in text or ":" in text):
+    if any(k in low for k in _STEMS) and any(c in text for c in "=:<"):
         reach, furthest, most = sorted((a, b) for a, _, b in found), [], 0
         for a, b in reach:
             most = max(most, b)

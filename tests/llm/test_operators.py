@@ -675,6 +675,9 @@ def test_secrets(spark, odd, none, docs):
     assert secrets.scan(none).count() == 0
 
 
+LITERAL = "Zx8$kQ2!vB7p"
+
+
 @pytest.mark.parametrize(
     ("text", "found"),
     [
@@ -682,6 +685,16 @@ def test_secrets(spark, odd, none, docs):
         ('{"db_password": "hunter2Xk9", "user": "hunter2Xk9"}', ["hunter2Xk9"]),
         ("aws:\n  secret_key: abcDEF123456\n", ["abcDEF123456"]),
         ('base = "s3cr3t-Ab9"\nauth_token = base + "Tail99xyz"\n', ["s3cr3t-Ab9", "Tail99xyz"]),
+        *((form % LITERAL, [LITERAL]) for form in (
+            'db_pwd: str = "%s"', 'const dbPwd: string = "%s";', 'var password string = "%s"', 'val secret: String = "%s"', 'pwd: Optional[str] = "%s"', 'String apiToken = "%s";',
+            'os.environ["DB_PWD"] = "%s"', "$cfg['db']['pass'] = '%s';", 'pwd = \"\"\"%s\"\"\"', "secret = b'%s'", 'pwd = ("%s")', 'pwd = x if y else "%s"', 'pwd = f("%s")', 'password := "%s"',
+            '<user name="a" pwd="%s"/>', "<password>%s</password>", '<add key="DbPassword" value="%s" />', "- name: DB_PASSWORD\n  value: '%s'\n", '{"name": "DB_PASSWORD", "value": "%s"}',
+            'connect(user="u1234567", password="%s")', 'conn = connect(host="h.example.com",\n   password="%s", port=1)\nx = "Ab9$kQ2!vB7p"', 'api_key = os.getenv("API_KEY_PROD_1", "%s")', 'keys = ["%s", "b"]\npassword = keys[0]',
+        )),
+        ('api_key = os.environ["API_KEY_PROD_1"]', []),
+        ('if password == "Zx8$kQ2!vB7p": pass', []),
+        ('password = foo(\n\nother = "Zx8$kQ2!vB7p"', []),
+        ('url = "Zx8$kQ2!vB7p"; pwd = other; x = "Q"', []),
         ('password = "changeme"', []),
         ('title = "Zx8$kQ2!vB7p"', []),
         ("The token: is a word of prose, key = value", []),
@@ -689,3 +702,63 @@ def test_secrets(spark, odd, none, docs):
 )
 def test_literals(text, found):
     assert [text[a:b] for a, b, _ in secrets.literal_spans(text)] == found
+
+
+def test_propagation_against_plain():
+    """Random programs: what reaches a sensitive name, by sets of literals that are handed on line by line."""
+    rng = random.Random(14)
+    wraps = ("%s", "(%s)", "f(%s)", "[%s]", "a if b else %s", "new(1, %s)")
+    declares = ("%s = %s", "const %s: string = %s;", "%s := %s", '"%s": %s,', "final String %s = %s;")
+    for _ in range(300):
+        names = ["alpha", "beta", "gamma", "db_password", "delta", "authToken", "eps"]
+        holds, want, lines = {}, set(), []
+        for k in range(rng.randrange(1, 25)):
+            name, reached, parts = rng.choice(names), set(), []
+            for _ in range(rng.randrange(1, 4)):
+                if rng.random() < 0.5:
+                    literal = f"Q{k}x$" + "".join(rng.choice("abcXYZ0189!") for _ in range(12))
+                    reached.add(literal)
+                    parts.append(f'"{literal}"')
+                else:
+                    other = rng.choice(names)
+                    reached |= holds.get(other, set())
+                    parts.append(other)
+            holds[name] = reached
+            if name in {"db_password", "authToken"}:
+                want |= reached
+            lines.append(rng.choice(declares) % (name, rng.choice(wraps) % " + ".join(parts)))
+        text = "\n".join(lines)
+        assert {text[a:b] for a, b, _ in secrets.literal_spans(text)} == want, text
+
+
+def test_propagation_is_linear():
+    """100,000 chained lines in under 200 MB."""
+    import tracemalloc
+
+    n = 100_000
+    text = 'x0 = "Zx8$kQ2!vB7p"\n' + "".join(f'x{k + 1} = x{k} + "Ab{k}$kQ2!v"\n' for k in range(n)) + f"password = x{n}\n"
+    tracemalloc.start()
+    began = time.monotonic()
+    found = secrets.literal_spans(text)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found) == n + 1 and most < 200 << 20 and time.monotonic() - began < 60
+    for odd in ("password = (" * 50_000, '"' * 100_001, "<a" * 100_000, "<a>" * 100_000, "(" * 100_000 + 'pwd="', "key = [" * 50_000, "\n" * 100_000):
+        began = time.monotonic()
+        secrets.spans(odd + " password")
+        assert time.monotonic() - began < 20
+
+
+def test_columns_with_clashing_names_are_left_alone(spark):
+    """Every operator with columns beside its own that bear the names of its result."""
+    row = (1, "text of a@b.co, token = abcDEF123456ghi", "en", 5, "x", "y", "z", 0.5, True, "w", "v")
+    extra = spark.createDataFrame([row, row, (None, None, *row[2:])], "doc_id long, text string, lang string, n_tokens int, spans string, base_sha256 string, fingerprint string, score double, kept boolean, ids string, sequence_id string")
+    empty = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    outs = [pii.pii_report(extra), secrets.scan(extra), bpe.encode_decode(extra), packing.pack(extra), exact_dedup.exact_dedup(extra), simhash.near_duplicates(extra), fingerprint.fingerprint_edits(extra)]
+    outs += [m.score(extra, m.fit(extra, empty)) for m in (toxicity, quality)]
+    plain = extra.select("doc_id", "text")
+    again = [pii.pii_report(plain), secrets.scan(plain), bpe.encode_decode(plain), packing.pack(plain), exact_dedup.exact_dedup(plain), simhash.near_duplicates(plain), fingerprint.fingerprint_edits(plain)]
+    again += [m.score(plain, m.fit(plain, empty)) for m in (toxicity, quality)]
+    for a, b in zip(outs, again, strict=True):
+        rows = a.collect()
+        assert len(rows) == 3 and sorted(map(repr, rows)) == sorted(map(repr, b.collect()))
