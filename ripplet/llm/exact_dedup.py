@@ -14,7 +14,8 @@ one lookup; only 32-byte digests are shuffled, never texts.
 Cases: null and empty texts count as empty and equal one another, as do texts
 of white space only (they are one space; empty text is another class). An empty table gives an empty result. Rows
 with a null doc_id have their class's keep_id and never stay unless the whole class has none (keep_id
-null, kept false). Rows that repeat a doc_id and text are flagged alike; ``keep_one`` leaves one of them.
+null, kept false). Rows that repeat a doc_id and text are flagged alike; ``keep_one`` leaves one of them. Further columns of any name are
+left alone.
 """
 
 from __future__ import annotations
@@ -24,15 +25,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ripplet.llm.common import materialize, partitions, texts
+from ripplet.llm.common import fresh, materialize, partitions, texts
 
 #: Digests in a shard of the index, on average.
 SHARD_ROWS = 16_384
 GAMMA = 1.7
 MAX_LEVELS = 60
-INDEX = "shard int, slots long, levels array<binary>, digests binary, winners binary, sizes binary"
+INDEX = "shard int, slots long, levels array<binary>, digests binary, winners binary, named binary, sizes binary"
 GROUPS = "digest binary, keep_id long, group_size long"
-_INDEX_ARROW = pa.schema([("shard", pa.int32()), ("slots", pa.int64()), ("levels", pa.list_(pa.binary())), ("digests", pa.binary()), ("winners", pa.binary()), ("sizes", pa.binary())])
+_INDEX_ARROW = pa.schema([("shard", pa.int32()), ("slots", pa.int64()), ("levels", pa.list_(pa.binary())), ("digests", pa.binary()), ("winners", pa.binary()), ("named", pa.binary()), ("sizes", pa.binary())])
 _GROUPS_ARROW = pa.schema([("digest", pa.binary()), ("keep_id", pa.int64()), ("group_size", pa.int64())])
 
 
@@ -101,8 +102,9 @@ def _build(key: tuple, rows: pa.Table) -> pa.Table:
     table = PerfectHash.build(keys)
     order = np.argsort(table.slots(keys))
     levels = [len(x).to_bytes(8, "little") + np.packbits(x).tobytes() for x in table.levels]
-    winners, sizes = (rows[c].to_numpy().astype(np.int64)[order].tobytes() for c in ("first", "n"))
-    found = {"shard": key[0].as_py(), "slots": len(keys), "levels": levels, "digests": keys[order].tobytes(), "winners": winners, "sizes": sizes}
+    winners, sizes = (rows[c].combine_chunks().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)[order].tobytes() for c in ("first", "n"))
+    named = rows["first"].combine_chunks().is_valid().to_numpy(zero_copy_only=False)[order].tobytes()
+    found = {"shard": key[0].as_py(), "slots": len(keys), "levels": levels, "digests": keys[order].tobytes(), "winners": winners, "named": named, "sizes": sizes}
     return pa.Table.from_pylist([found], schema=_INDEX_ARROW)
 
 
@@ -123,22 +125,29 @@ def _lookup(index: pa.Table, new: pa.Table) -> pa.Table:
     row = index.to_pylist()[0]
     stored = np.frombuffer(row["digests"], dtype=np.uint8).reshape(-1, 32)
     sizes = np.frombuffer(row["sizes"], dtype=np.int64).copy()
+    winners, named = np.frombuffer(row["winners"], dtype=np.int64).copy(), np.frombuffer(row["named"], dtype=bool).copy()
     if new.num_rows:
         levels = [np.unpackbits(np.frombuffer(x[8:], dtype=np.uint8), count=int.from_bytes(x[:8], "little")).astype(bool) for x in row["levels"]]
         keys = _matrix(new["digest"])
         slots = PerfectHash(levels).slots(keys)
         member = (slots >= 0) & (stored[slots] == keys).all(axis=1)  # every byte of the slot's digest
         np.add.at(sizes, slots[member], new["n"].to_numpy()[member])
+        first = new["first"].combine_chunks()
+        gives = member & first.is_valid().to_numpy(zero_copy_only=False)
+        gives[gives] = ~named[slots[gives]]  # the slot's rows have no id: the smallest new one stays
+        winners[slots[gives]] = first.fill_null(0).to_numpy(zero_copy_only=False)[gives]
+        named[slots[gives]] = True
         rest = rest.filter(pa.array(~member))
-    known = pa.table([pa.array([x.tobytes() for x in stored], pa.binary()), pa.array(np.frombuffer(row["winners"], dtype=np.int64)), pa.array(sizes)], schema=_GROUPS_ARROW)
+    known = pa.table([pa.array([x.tobytes() for x in stored], pa.binary()), pa.array(winners, mask=~named), pa.array(sizes)], schema=_GROUPS_ARROW)
     return pa.concat_tables([known, rest])
 
 
 def exact_dedup(docs: DataFrame, history: DataFrame | None = None) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
 
-    ``history``: earlier documents, whose ids precede those of ``docs``; its rows count in the groups and are
-    not returned. Without it, ``docs`` is taken as two
+    ``history``: earlier documents; all its rows count in the groups, those without an id too, and none is
+    returned. A text that it holds under an id stays there, whatever the ids of ``docs`` are; a row of ``docs`` with that id and text is that document
+    once more. Without history, ``docs`` is taken as two
     deliveries: the ids up to the middle of their range are the earlier one. As these ids are the smaller
     ones, the smallest id of a group is the slot's wherever the text is a member.
     """
@@ -149,7 +158,7 @@ def exact_dedup(docs: DataFrame, history: DataFrame | None = None) -> DataFrame:
         old = F.coalesce(F.col("doc_id") <= F.lit(0 if low is None else low + (high - low) // 2), F.lit(False))
         earlier, later = own.where(old), own.where(~old)
     else:
-        earlier, later = digests(history).where("doc_id is not null"), own
+        earlier, later = digests(history), own
     grouped = materialize(_grouped(earlier), "history")
     shards = max(4 * partitions(spark), -(-grouped.count() // SHARD_ROWS))
     index = materialize(build_index(grouped, shards), "index")
@@ -170,14 +179,15 @@ def keep_one(docs: DataFrame) -> DataFrame:
     digest, so a doc_id that stands for several texts loses none of them; of rows that repeat both, and of
     rows without a doc_id in a class that has none, one is left.
     """
+    lost_id, lost_sha, own_sha = fresh(docs, "lost_id", "lost_sha", "own_sha")
     flags = materialize(exact_dedup(docs), "flags")
-    lost = flags.where("not kept and keep_id is not null").select(F.col("doc_id").alias("_lost_id"), F.col("text_sha256").alias("_lost_sha"))
-    same_id = F.col("doc_id").eqNullSafe(F.col("_lost_id"))
+    lost = flags.where("not kept and keep_id is not null").select(F.col("doc_id").alias(lost_id), F.col("text_sha256").alias(lost_sha))
+    same_id = F.col("doc_id").eqNullSafe(F.col(lost_id))
     if flags.groupBy("doc_id").count().where("count > 1").isEmpty():
-        return docs.join(materialize(lost.select("_lost_id"), "lost"), same_id, "left_anti")
-    own = docs.withColumn("_own_sha", F.sha2(normalised(), 256))
-    kept = own.join(lost.distinct(), same_id & (F.col("_own_sha") == F.col("_lost_sha")), "left_anti")
-    return kept.dropDuplicates(["doc_id", "_own_sha"]).drop("_own_sha")
+        return docs.join(materialize(lost.select(lost_id), "lost"), same_id, "left_anti")
+    own = docs.withColumn(own_sha, F.sha2(normalised(), 256))
+    kept = own.join(lost.distinct(), same_id & (F.col(own_sha) == F.col(lost_sha)), "left_anti")
+    return kept.dropDuplicates(["doc_id", own_sha]).drop(own_sha)
 
 
 ORACLE = r"""
