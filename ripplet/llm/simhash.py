@@ -15,8 +15,9 @@ it goes to these points instead: any two that are linked share a midpoint, and n
 than 2,081 distinct fingerprints. So the copies of a fingerprint are bounded, however many share its anchor.
 
 Cases: null and empty texts have fingerprint zero and are linked like any other; fewer words than a shingle
-make one shingle; an empty table gives an empty result. Rows with a null doc_id pass links on only through
-their fingerprint's other rows; their component_id is null if that fingerprint has no other rows.
+make one shingle; an empty table gives an empty result. Rows with a null doc_id are linked like any other and pass on links; the
+component_id is null only where no row of the component has an id. Rows that repeat a doc_id are rows of their own; further columns of
+any name are left alone.
 """
 
 from __future__ import annotations
@@ -29,8 +30,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ripplet.llm.common import materialize, partitions, small_batches, texts
+from ripplet.llm.common import fresh, materialize, partitions, small_batches, texts
 from ripplet.operators.components import connected_components
 
 WORDS = 4
@@ -201,19 +203,49 @@ def links(distinct: DataFrame, threshold: int = THRESHOLD, most_tiles: int | Non
     return dealt.mapInArrow(_scan(threshold), "src long, dst long")
 
 
+def classes(own: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """(fp, node, component_id) of every distinct fp of ``own(doc_id, fp)``: ``node`` is the component's smallest fp, as a signed number."""
+    distinct = materialize(own.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
+    found = materialize(connected_components(materialize(links(distinct.select("fp", F.col("fp").alias("rep")), threshold).distinct(), "links")), "components")
+    named = found.join(distinct, F.col("node") == F.col("fp")).groupBy("component").agg(F.min("first").alias("least"))
+    linked = found.join(named, "component").select(F.col("node").alias("fp"), F.col("component").alias("joint"), "least")
+    rows = distinct.join(linked, "fp", "left")
+    return rows.select("fp", F.coalesce("joint", "fp").alias("node"), F.when(F.col("joint").isNull(), F.col("first")).otherwise(F.col("least")).alias("component_id"))
+
+
 def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: int = THRESHOLD) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id of every document."""
     own = materialize(fingerprints(docs, words), "fingerprints")
-    distinct = materialize(own.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
-    found = connected_components(materialize(links(distinct, threshold).distinct(), "links"))
-    classes = distinct.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return own.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return own.join(classes(own, threshold), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each component, the one with the smallest doc_id, with all its columns.
+def keep_one(docs: DataFrame, words: int = WORDS, threshold: int = THRESHOLD) -> DataFrame:
+    """One row of each component, with all its columns: that of the smallest doc_id (none comes last), then of the smallest fingerprint and digest of the text.
 
-    A doc_id that stands for several texts goes only if none of them is the first of its component; rows without a doc_id stay.
+    Where doc_ids are unique, the ids of the rows that go are all that is joined.
     """
-    ids = near_duplicates(docs).where("doc_id is not null").groupBy("doc_id").agg(F.bool_and(F.col("doc_id") != F.col("component_id")).alias("lost"))
-    return docs.join(materialize(ids.where("lost").select("doc_id"), "near"), "doc_id", "left_anti")
+    own = materialize(fingerprints(docs, words), "fingerprints")
+    known = classes(own, threshold)
+    if own.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty():
+        (lost_id,) = fresh(docs, "lost_id")
+        lost = own.join(known, "fp").where("doc_id <> component_id").select(F.col("doc_id").alias(lost_id))
+        return docs.join(materialize(lost, "near"), F.col("doc_id") == F.col(lost_id), "left_anti")
+    fp, sha, node, order, least = fresh(docs, "own_fp", "own_sha", "own_node", "own_order", "least_order")
+    told = with_fingerprints(docs, fp, words).withColumn(sha, F.sha2(F.coalesce("text", F.lit("")), 256))
+    told = told.join(known.select(F.col("fp").alias(fp), F.col("node").alias(node)), fp).withColumn(order, F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce(F.col("doc_id"), F.lit(0)).alias("id"), fp, sha))
+    firsts = materialize(told.groupBy(node).agg(F.min(order).alias(least)), "firsts")
+    kept = told.join(firsts, node).where(F.col(order) == F.col(least)).dropDuplicates([node])
+    return kept.select(*docs.columns)
+
+
+def with_fingerprints(docs: DataFrame, name: str, words: int = WORDS) -> DataFrame:
+    """All columns and the fingerprint, as a signed long, under a further name."""
+    small_batches(docs.sparkSession)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = np.array([fingerprint(t or "", words) for t in batch.column(at).to_pylist()], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found)], [*batch.schema.names, name])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())]))
