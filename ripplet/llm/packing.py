@@ -8,7 +8,9 @@ no open sequence can hold opens a new one: with falling lengths this needs about
 than weighing a new one against the open ones each time. A group leaves few sequences open, so the loss falls with its size.
 
 Cases: null and empty texts are one piece that holds the end token alone; white space of any
-length is encoded whole; an empty table gives an empty result; repeated rows are packed each for itself.
+length is encoded whole; an empty table gives an empty result; repeated rows are packed each for itself and dealt to all groups; pieces that
+tie in length come by doc_id, piece and checksum; further columns of any name are left alone. Pieces are the same in every run; which sequence one
+goes to depends on how the rows lie.
 """
 
 from __future__ import annotations
@@ -130,5 +132,6 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end
         bins, offsets = sum_of_squares(rows["length"].to_numpy(), capacity)
         return rows.drop_columns("pack_group").append_column("sequence_id", pa.array((key[0].as_py() << 32) + bins)).append_column("offset", pa.array(offsets))
 
-    dealt = cut.withColumn("pack_group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)))
+    # the row's number in the written table deals rows that repeat everything to all groups alike
+    dealt = cut.withColumn("pack_group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id()), F.lit(groups)))
     return dealt.groupBy("pack_group").applyInArrow(place, PACKED)
