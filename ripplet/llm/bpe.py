@@ -23,12 +23,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from ripplet.llm.common import small_batches, texts
+from ripplet.llm.common import Memory, small_batches, texts
 
 #: Fixed value: how byte-level tokenizers of this kind split a text.
 PRETOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Pretokens that a worker remembers; beyond that it starts anew.
-CACHE = 400_000
+#: Pretokens that a worker remembers, beyond which it starts anew, and the longest of them: together they bound its memory.
+CACHE, CACHED_CHARS = 400_000, 48
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
@@ -49,17 +49,6 @@ def byte_characters() -> list[str]:
     return out
 
 
-class _Memory(dict):
-    def __init__(self, make) -> None:  # noqa: ANN001
-        self.make = make
-
-    def __missing__(self, word: str):  # noqa: ANN204
-        if len(self) >= CACHE:
-            self.clear()
-        ids = self[word] = self.make(word)
-        return ids
-
-
 class BytePairCoder:
     def __init__(self, path: str) -> None:
         with open(path, encoding="utf-8") as f:
@@ -80,7 +69,7 @@ class BytePairCoder:
             self.bytes_of[k] = b"".join(back[c] for c in token) if all(c in back for c in token) else token.encode()
         self.split = regex.compile(PRETOKEN)
         self.split_special = regex.compile("|".join(sorted(map(regex.escape, self.special), key=len, reverse=True))) if self.special else None
-        self.words = _Memory(self.merge)
+        self.words = Memory(self.merge, CACHE, CACHED_CHARS)
 
     def merge(self, word: str) -> tuple[int, ...]:
         """Ids of one pretoken."""
