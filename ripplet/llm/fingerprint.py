@@ -12,6 +12,7 @@ rows are digested each for itself.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import math
 from collections.abc import Iterator
@@ -29,6 +30,8 @@ BUCKETS = 128
 BOUND = 160.0
 _GAP = np.array([0, 1, 3, 6], dtype=np.float64)
 _CHUNK = 1 << 20
+#: Characters of a text that tell the range of rows which share a doc_id.
+LEAD = 64
 
 
 def digest(data: bytes) -> str:
@@ -82,29 +85,33 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     one another by text, and a null doc_id comes first. After the last comes the
     first; a lone document follows itself.
 
-    One shuffle of ids finds where each range of ids begins; one shuffle of texts
-    deals the documents to these ranges, with the first row of each sent to the range before as well.
+    One shuffle of ids and beginnings of texts finds where each range of (id, text) begins; one shuffle of texts
+    deals the documents to these ranges, with the first row of each sent to the range before as well. So rows that share an
+    id, or have none, spread over ranges by their texts; only equal beginnings stay together, and a range is read row by row.
     """
     spark = docs.sparkSession
     small_batches(spark)
     docs = texts(docs)
     n = partitions(spark)
-    heads = [r for r in docs.select("doc_id").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id").mapInArrow(_head, "seen boolean, first long").collect() if r.seen]
-    firsts = sorted((r.first for r in heads), key=lambda x: (x is not None, x or 0))
+    keys = docs.select("doc_id", F.substring("text", 1, LEAD).alias("lead"))
+    heads = [r for r in keys.repartitionByRange(n, "doc_id", "lead").sortWithinPartitions("doc_id", "lead").mapInArrow(_head, "seen boolean, first long, lead string").collect() if r.seen]
+    firsts = sorted({_key(r.first, r.lead) for r in heads})
     if not firsts:
         return spark.createDataFrame([], SCHEMA)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        starts = np.array([np.iinfo(np.int64).min if x is None else x for x in firsts], dtype=np.int64)
         for batch in batches:
             ids, rows = batch.column(0), batch.column(1)
-            known = ids.fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
-            part = np.searchsorted(starts, known, side="right") - 1
-            part[ids.is_null().to_numpy(zero_copy_only=False)] = 0
-            part = np.maximum(part, 0)
-            lead = np.flatnonzero(starts[part] == known)
+            data = rows.to_pylist()
+            own = [_key(i, t[:LEAD]) for i, t in zip(ids.to_pylist(), data, strict=True)]
+            part = np.array([max(0, bisect.bisect_right(firsts, k) - 1) for k in own], dtype=np.int64)
+            first: dict[int, int] = {}  # of each range that begins here, the smallest text
+            for k, x in enumerate(own):
+                if x == firsts[part[k]] and (part[k] not in first or data[k].encode() < data[first[part[k]]].encode()):
+                    first[part[k]] = k
+            lead = np.array(list(first.values()), dtype=np.int64)
             take = pa.array(np.concatenate([np.arange(len(part)), lead]))
-            where = np.concatenate([part, (part[lead] - 1) % len(starts)]).astype(np.int32)
+            where = np.concatenate([part, (part[lead] - 1) % len(firsts)]).astype(np.int32)
             guard = np.concatenate([np.zeros(len(part), bool), np.ones(len(lead), bool)])
             yield pa.RecordBatch.from_arrays([pa.array(where), pa.array(guard), ids.take(take), rows.take(take)], ["part", "guard", "doc_id", "text"])
 
@@ -112,12 +119,17 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     return dealt.sortWithinPartitions("part", "guard", "doc_id", "text").mapInArrow(_edit, SCHEMA)
 
 
+def _key(doc_id: int | None, lead: str) -> tuple[bool, int, bytes]:
+    """In the order of Spark: no id first, texts by their bytes."""
+    return doc_id is not None, doc_id or 0, lead.encode()
+
+
 def _head(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    first, seen = None, False
+    first, lead, seen = None, None, False
     for batch in batches:
         if batch.num_rows and not seen:
-            first, seen = batch.column(0)[0].as_py(), True
-    yield pa.RecordBatch.from_arrays([pa.array([seen]), pa.array([first], pa.int64())], ["seen", "first"])
+            first, lead, seen = batch.column(0)[0].as_py(), batch.column(1)[0].as_py(), True
+    yield pa.RecordBatch.from_arrays([pa.array([seen]), pa.array([first], pa.int64()), pa.array([lead], pa.string())], ["seen", "first", "lead"])
 
 
 def _edit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
