@@ -152,10 +152,10 @@ def _written(spans: Column) -> Column:
 
 
 def pii_report(docs: DataFrame) -> DataFrame:
-    """Counts of the base kinds, digest of the base spans, and all spans as text."""
+    """Counts of the base kinds, digest of the base spans, all spans as text, and their scores in the same order."""
     base = F.filter("spans", lambda x: x["kind_no"] < 4)
     count = lambda n: F.size(F.filter("spans", lambda x: x["kind_no"] == n)).cast("bigint").alias(f"n_{KINDS[n].name}")
-    return pii_spans(docs).select("doc_id", *(count(n) for n in range(4)), F.sha2(_written(base), 256).alias("base_sha256"), _written(F.col("spans")).alias("spans"))
+    return pii_spans(docs).select("doc_id", *(count(n) for n in range(4)), F.sha2(_written(base), 256).alias("base_sha256"), _written(F.col("spans")).alias("spans"), F.array_join(F.transform("spans", lambda x: F.format_number(x["score"], 2)), ",").alias("scores"))
 
 
 def redacted(text: Column, kind: Kind) -> Column:
