@@ -762,3 +762,106 @@ def test_columns_with_clashing_names_are_left_alone(spark):
     for a, b in zip(outs, again, strict=True):
         rows = a.collect()
         assert len(rows) == 3 and sorted(map(repr, rows)) == sorted(map(repr, b.collect()))
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_fingerprint_edits_with_hot_ids(spark, seed):
+    """A third of the rows without an id, a third with one id, equal beginnings and equal rows: each row has its next one."""
+    rng = random.Random(seed)
+    rows = [(rng.choice([None, 5, 5, k]), rng.choice(["", "same beginning " * 6, chr(97 + k % 26)]) + str(rng.randrange(30))) for k in range(400)]
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    try:
+        got = fingerprint.fingerprint_edits(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    rows = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    want = []
+    for k, (i, t) in enumerate(rows):
+        edited = t[: len(t) - len(t) // 2] + rows[(k + 1) % len(rows)][1][: len(t) // 2]
+        want.append((i, hashlib.sha256(edited.encode()).hexdigest()))
+    assert sorted(map(repr, ((r.doc_id, r.edited_sha256) for r in got))) == sorted(map(repr, want))
+
+
+def plain_digest(data):
+    """The digest by its definition, one triplet at a time."""
+    import math
+
+    mask, counts = 0xFFFFFFFF, [0] * 128
+    for a, b, c, d in zip(data, data[1:], data[2:], data[3:], strict=False):
+        for salt, mixed in ((1, a * 0x9E3779B1 + b * 0x85EBCA77 + c * 0x27D4EB2F), (2, a * 0x9E3779B1 + b * 0x85EBCA77 + d * 0x165667B1), (3, a * 0x9E3779B1 + c * 0xC2B2AE3D + d * 0xD3A2646D)):
+            x = mixed & mask
+            counts[((x ^ x >> 15 ^ salt * 0x632BE5AB & mask) * 0x2C1B3C6D & mask) >> 25] += 1
+    q = sorted(counts)
+    q1, q2, q3 = q[31], q[63], q[95]
+    quarters = [(n > q1) + (n > q2) + (n > q3) for n in counts]
+    body = "".join(f"{quarters[k] << 6 | quarters[k + 1] << 4 | quarters[k + 2] << 2 | quarters[k + 3]:02x}" for k in range(0, 128, 4))
+    ratio = (q1 * 15 // q3) << 4 | q2 * 15 // q3 if q3 else 0
+    return f"{min(255, round(12 * math.log1p(len(data)))):02x}{ratio:02x}{body}"
+
+
+def plain_likeness(a, b):
+    apart = 0
+    for k in range(4, 68, 2):
+        x, y = int(a[k : k + 2], 16), int(b[k : k + 2], 16)
+        apart += sum((0, 1, 3, 6)[abs((x >> s & 3) - (y >> s & 3))] for s in (0, 2, 4, 6))
+    apart += max(0, abs(int(a[:2], 16) - int(b[:2], 16)) - 1) + max(0, abs(int(a[2], 16) - int(b[2], 16)) + abs(int(a[3], 16) - int(b[3], 16)) - 1)
+    return 1 - min(160, apart) / 160 if a != b else 1.0
+
+
+def test_digests_against_plain(docs):
+    texts = [(r.text or "")[:4000].encode() for r in docs.collect()[:60]] + [b"", b"a", b"abc", b"abcd", bytes(range(256)) * 3]
+    digests = [fingerprint.digest(t) for t in texts]
+    assert digests == list(map(plain_digest, texts))
+    for a, b in zip(digests, digests[1:], strict=False):
+        assert fingerprint.likeness(a, b) == pytest.approx(plain_likeness(a, b))
+
+
+def test_exact_dedup_keeps_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "a", 1, "x", "p"), (2, "a", 2, "y", "q"), (2, "a", 2, "y", "q"), (2, "b", 3, "z", "r")], "doc_id long, text string, _lost_id int, _own_sha string, own_sha string")
+    for rows in (docs, docs.where("_lost_id <> 3").dropDuplicates()):
+        kept = exact_dedup.keep_one(rows)
+        assert kept.columns == docs.columns
+        assert sorted(map(tuple, kept.collect())) == [(1, "a", 1, "x", "p"), *([(2, "b", 3, "z", "r")] if rows is docs else [])]
+
+
+def test_exact_dedup_with_history_without_ids(spark):
+    """Rows of the history without an id count; a text that only such rows hold stays where its smallest new id is."""
+    old = spark.createDataFrame([(1, "a"), (None, "a"), (None, "b"), (None, "c"), (50, "e"), (None, None)], "doc_id long, text string")
+    new = spark.createDataFrame([(10, "a"), (11, "b"), (12, "b"), (None, "c"), (13, "d"), (14, "e"), (15, "")], "doc_id long, text string")
+    got = sorted(map(repr, ((r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_dedup(new, old).collect())))
+    assert got == sorted(map(repr, [(10, 1, 3, False), (11, 11, 3, True), (12, 11, 3, False), (None, None, 2, False), (13, 13, 1, True), (14, 50, 2, False), (15, 15, 2, True)]))
+
+
+def test_simhash_links_pass_through_rows_without_ids(spark, monkeypatch):
+    """Two rows that are linked only by way of a row without an id are one component; repeats of an id and rows without one leave one row."""
+    bits = {"a": 0, "m": 0b111, "b": 0b111111, "far": (1 << 40) - 1}
+    make = lambda rows: spark.createDataFrame([(i, bits[t], t) for i, t in rows], "doc_id long, fp long, text string")
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs, words=4: docs.select("doc_id", "fp"))
+    monkeypatch.setattr(simhash, "with_fingerprints", lambda docs, name, words=4: docs.withColumn(name, simhash.F.col("fp")))
+    rows = [(1, "a"), (2, "b"), (None, "m"), (3, "far")]
+    assert {r.doc_id: r.component_id for r in simhash.near_duplicates(make(rows)).collect()} == {1: 1, 2: 1, None: 1, 3: 3}
+    assert sorted(r.doc_id for r in simhash.keep_one(make(rows)).collect()) == [1, 3]
+    assert sorted(r.doc_id for r in simhash.keep_one(make([(1, "a"), (2, "b"), (4, "m"), (3, "far")])).collect()) == [1, 3]
+    for rows, want in (([(7, "a")] * 3, [(7, "a")]), ([(None, "a"), (None, "m")], [(None, "a")]), ([(7, "a"), (7, "m"), (8, "far")], [(7, "a"), (8, "far")]), ([(7, "a"), (7, "far"), (5, "m")], [(5, "m"), (7, "far")])):
+        assert sorted(((r.doc_id, r.text) for r in simhash.keep_one(make(rows)).collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_packing_deals_equal_rows_to_all_groups(spark, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP_ROWS", 100)
+    rows = packing.pack(spark.createDataFrame([(1, "same words")] * 2000, "doc_id long, text string")).collect()
+    groups = {}
+    for r in rows:
+        groups[r.sequence_id >> 32] = groups.get(r.sequence_id >> 32, 0) + 1
+    assert len(rows) == 2000 and len(groups) == 20 and max(groups.values()) < 200
+
+
+def test_memory_is_bounded():
+    from ripplet.llm.common import Memory
+
+    known = Memory(str.upper, 3, 5)
+    assert [known[x] for x in ("a", "b", "c", "toolong", "d")] == ["A", "B", "C", "TOOLONG", "D"] and set(known) == {"d"}
+
+
+def test_pii_scores(spark):
+    row = pii.pii_report(spark.createDataFrame([(1, "mail: a@b.de 10.0.0.1"), (2, "")], "doc_id long, text string")).orderBy("doc_id").collect()
+    assert (row[0].spans, row[0].scores) == ("email:6:12,ip:13:21", "1.00,0.80") and (row[1].spans, row[1].scores) == ("", "")
