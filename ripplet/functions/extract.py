@@ -39,11 +39,14 @@ def called_names(root: ast.AST) -> list[str]:
 
 
 def parse(content: bytes, path: str) -> dict:
-    """functions, imports and error of one file. Undecodable bytes are dropped; a syntax error leaves the lists empty."""
+    """functions, imports and error of one file. Undecodable bytes are dropped; source that can't be parsed, or nests too deep for it, leaves the lists empty."""
     try:
-        tree = ast.parse(content.decode("utf-8", "ignore"), filename=path)
-    except SyntaxError:
-        return {"functions": [], "imports": [], "error": "SyntaxError"}
+        return _extracted(ast.parse(content.decode("utf-8", "ignore"), filename=path), path)
+    except (SyntaxError, ValueError, RecursionError, MemoryError) as e:
+        return {"functions": [], "imports": [], "error": "SyntaxError" if isinstance(e, SyntaxError) else type(e).__name__}
+
+
+def _extracted(tree: ast.AST, path: str) -> dict:
     functions, imports = [], []
     for node in _walk(tree):
         match node:

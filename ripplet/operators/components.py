@@ -19,12 +19,14 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
     The cluster names it in ``spark.checkpoint.dir``; only where that is unset
-    (as in tests on one machine) a temporary folder is made and set.
+    (as in tests on one machine) a temporary folder is made and set. On a cluster, where executors would not share it, that is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         found = spark.conf.get("spark.ripplet.scratch", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="ripplet-")
         spark.conf.set("spark.ripplet.scratch", found)
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():

@@ -16,7 +16,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from ripplet.plans.schemas import SOURCE_FILES
 
 #: Directories that are never entered, beside those that begin with a dot.
-EXCLUDED = frozenset(["__pycache__", ".git", ".hg", "node_modules", "venv", ".venv", "env", ".env", ".tox"])
+EXCLUDED = frozenset(["__pycache__", "node_modules", "venv", "env"])
 FILES_PER_PARTITION = 256
 
 
@@ -48,7 +48,7 @@ class _Reader(DataSourceReader):
             with open(path, "rb") as f:
                 content = f.read()
             stat = os.stat(path)
-            yield number, path, os.path.normpath(path), stat.st_mtime_ns, stat.st_size, content
+            yield number, path, os.path.abspath(path), stat.st_mtime_ns, stat.st_size, content
 
 
 class PythonTree(DataSource):

@@ -20,8 +20,19 @@ def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def vertices_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Vertices with row_ord, their place within a file."""
-    return read_csv(spark, path, VERTICES).withColumn("row_ord", F.monotonically_increasing_id())  # one file is one partition with multiLine
+    """Vertices with row_ord, their place within the file; a folder of several files has no order and is refused."""
+    rows = read_csv(spark, path, VERTICES)
+    if len(rows.inputFiles()) > 1:
+        raise ValueError(f"several files have no order: {path}")
+    return rows.withColumn("row_ord", F.monotonically_increasing_id())  # one file is one partition with multiLine
+
+
+def graph_csv(spark: SparkSession, vertices: str, edges: str) -> tuple[DataFrame, DataFrame]:
+    """Both tables of a graph; absent vertices are an error, absent edges an empty table."""
+    local = vertices.removeprefix("file://")
+    if "://" not in local and not os.path.exists(local):
+        raise FileNotFoundError(vertices)
+    return read_csv(spark, vertices, VERTICES), edges_csv(spark, edges)
 
 
 def edges_csv(spark: SparkSession, path: str) -> DataFrame:
