@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ripplet.functions.extract import parsed_files
+from ripplet.operators.store import Store
 from ripplet.plans.schemas import PARSED
 from ripplet.sources.pytree import source_files
 
@@ -23,38 +22,23 @@ def misses(files: DataFrame, cached: DataFrame) -> DataFrame:
     return files.join(cached.select(*KEY), KEY, "left_anti")
 
 
-class ParseCache:
-    """Versions of a Parquet table under one folder; rows of deleted files stay in it and are not returned."""
+class ParseCache(Store):
+    """Parsed files under one folder; rows of deleted files stay in it and are not returned."""
 
     def __init__(self, spark: SparkSession, path: str) -> None:
-        self.spark, self.path = spark, path.rstrip("/")
-
-    def _fs(self):  # noqa: ANN202
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
-        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
-
-    def _versions(self) -> list[str]:
-        fs, path = self._fs()
-        done = [str(s.getPath()) for s in fs.listStatus(path)] if fs.exists(path) else []
-        jpath = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-        return sorted(p for p in done if fs.exists(jpath(f"{p}/_SUCCESS")))
-
-    def load(self) -> DataFrame:
-        found = self._versions()
-        return self.spark.read.schema(PARSED).parquet(found[-1]) if found else self.spark.createDataFrame([], PARSED)
+        super().__init__(spark, path, PARSED)
 
     def save(self, parsed: DataFrame) -> None:
-        """Rows of the same path are replaced, others kept; the older versions go once the new one is whole."""
-        before = self._versions()
+        """Rows of the same path are replaced, others kept."""
         kept = self.load().join(parsed.select("path_id"), "path_id", "left_anti").select(*parsed.columns)
-        parsed.unionByName(kept).write.parquet(f"{self.path}/v{len(before) and int(before[-1].rsplit('/v', 1)[1][:12]) + 1:012d}-{uuid.uuid4().hex[:8]}")
-        fs, _ = self._fs()
-        for old in before:
-            fs.delete(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(old), True)
-
-    def clear(self) -> bool:
-        fs, path = self._fs()
-        return bool(fs.delete(path, True))
+        self.replace(parsed.unionByName(kept))
+
+
+def clear_all(spark: SparkSession, root: str) -> int:
+    """Delete every cache below ``root``; how many there were."""
+    fs, path = Store(spark, root, PARSED)._fs()
+    found = [str(s.getPath()) for s in fs.listStatus(path) if s.isDirectory()] if fs.exists(path) else []
+    return sum(Store(spark, p, PARSED).clear() for p in found)
 
 
 def parse_directory(spark: SparkSession, directory: str, cache: ParseCache | None = None) -> DataFrame:

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ripplet.operators.components import discard, materialize
 from ripplet.plans.schemas import EDGE_ENDS, VERTEX_TYPES, VERTICES
 
-_LOADED_VERTICES = VERTICES + ", load_seq bigint"
+_LOADED_VERTICES = VERTICES + ", load_seq bigint, load_row bigint"
 _LOADED_EDGES = "source string, target string, source_type string, target_type string, type string"
+VERSIONS = "version int, parts array<int>"
+#: Parts that a graph is read from at most.
+MOST_PARTS = 8
 
 
 def map_vertex_types(vertices: DataFrame) -> DataFrame:
@@ -33,7 +39,7 @@ def typed_edges(edges: DataFrame) -> DataFrame:
     return edges.join(F.broadcast(ends), "type")  # one row for each edge type
 
 
-def upsert(rows: DataFrame, key: str, order: str) -> DataFrame:
+def upsert(rows: DataFrame, key: str, order: str | F.Column) -> DataFrame:
     """The latest row of each key, as a map-side aggregate rather than a window."""
     others = [c for c in rows.columns if c != key]
     return rows.groupBy(key).agg(F.max_by(F.struct(*others), order).alias("last")).select(key, *(F.col(f"last.{c}").alias(c) for c in others))
@@ -42,29 +48,62 @@ def upsert(rows: DataFrame, key: str, order: str) -> DataFrame:
 def load_graph(spark: SparkSession, vertices: DataFrame, edges: DataFrame, path: str, mode: str = "append") -> tuple[int, int]:
     """Add to the graph at ``path`` (or replace it); returns how many rows were loaded.
 
-    Vertices are kept under their id, the latest load winning; edges as a set. Each load is written
-    as a new version and only then named current, so a failed load leaves the last one.
+    A load is written as one part of its own, vertices under their id and edges as a set, and only then named in a new version, so a
+    failed load leaves the last one and a small load rewrites nothing. Of rows with one id the latest load wins, within a load the later row (``row_ord``, or the
+    order of the table). More than ``MOST_PARTS`` parts are written together as one. Parts that neither this version nor the one before names are deleted.
     """
-    loaded = (vertices.count(), allowed_edges(edges).count())
     now = current(spark, path)
-    seq = F.lit(0 if now is None else now + 1)
-    own = map_vertex_types(vertices).withColumn("load_seq", seq.cast("bigint"))
-    links = typed_edges(edges).select("source", "target", "type", "source_type", "target_type")
-    if now is not None and mode == "append":
-        own = own.unionByName(spark.read.schema(_LOADED_VERTICES).parquet(f"{path}/v{now}/vertices"))
-        links = links.unionByName(spark.read.schema(_LOADED_EDGES).parquet(f"{path}/v{now}/edges"))
-    version = 0 if now is None else now + 1
-    upsert(own, "id", "load_seq").write.mode("overwrite").parquet(f"{path}/v{version}/vertices")
-    links.distinct().write.mode("overwrite").partitionBy("type").parquet(f"{path}/v{version}/edges")
-    spark.createDataFrame([(version,)], "version int").coalesce(1).write.mode("append").parquet(f"{path}/versions")
+    version = 0 if now is None else now[0] + 1
+    place = F.col("row_ord").cast("bigint") if "row_ord" in vertices.columns else F.monotonically_increasing_id()
+    own = map_vertex_types(vertices).select("id", "type", "name", "filepath", F.lit(version).cast("bigint").alias("load_seq"), place.alias("load_row"))
+    links = allowed_edges(edges)
+    own, links = materialize(own, "vertices"), materialize(typed_edges(links).select("source", "target", "source_type", "target_type", "type"), "edges")
+    loaded = (own.count(), links.count())
+    _write(latest(own), links.distinct(), path, version)
+    parts = [*(now[1] if now and mode == "append" else []), version]
+    if len(parts) > MOST_PARTS:
+        whole = _read(spark, path, parts)
+        version, parts = version + 1, [version + 1]
+        _write(*whole, path, version)
+    spark.createDataFrame([(version, parts)], VERSIONS).coalesce(1).write.mode("append").parquet(f"{path}/versions")
+    discard(own)
+    discard(links)
+    _drop(spark, path, {*parts, *(now[1] if now else [])})
     return loaded
 
 
-def current(spark: SparkSession, path: str) -> int | None:
+def latest(own: DataFrame) -> DataFrame:
+    """One row of each id: of the latest load, and of that the last."""
+    return upsert(own, "id", F.struct("load_seq", "load_row")).select("id", "type", "name", "filepath", "load_seq", "load_row")
+
+
+def _write(own: DataFrame, links: DataFrame, path: str, part: int) -> None:
+    own.write.mode("overwrite").parquet(f"{path}/p{part}/vertices")
+    links.write.mode("overwrite").partitionBy("type").parquet(f"{path}/p{part}/edges")
+
+
+def _read(spark: SparkSession, path: str, parts: list[int]) -> tuple[DataFrame, DataFrame]:
+    own = spark.read.schema(_LOADED_VERTICES).parquet(*(f"{path}/p{k}/vertices" for k in parts))
+    links = reduce(DataFrame.unionByName, (spark.read.schema(_LOADED_EDGES).parquet(f"{path}/p{k}/edges") for k in parts))
+    return (own, links) if len(parts) == 1 else (latest(own), links.distinct())
+
+
+def _drop(spark: SparkSession, path: str, keep: set[int]) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for found in fs.listStatus(place):
+        name = found.getPath().getName()
+        if name[0] == "p" and name[1:].isdigit() and int(name[1:]) not in keep:
+            fs.delete(found.getPath(), True)
+
+
+def current(spark: SparkSession, path: str) -> tuple[int, list[int]] | None:
+    """The number of the newest version, and its parts."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/versions")
     if not hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
         return None
-    return spark.read.schema("version int").parquet(f"{path}/versions").agg(F.max("version")).first()[0]
+    row = spark.read.schema(VERSIONS).parquet(f"{path}/versions").agg(F.max("version").alias("v"), F.max_by("parts", "version").alias("p")).first()
+    return None if row.v is None else (row.v, row.p)
 
 
 def graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -72,4 +111,5 @@ def graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     now = current(spark, path)
     if now is None:
         raise FileNotFoundError(f"no graph at {path}")
-    return spark.read.schema(_LOADED_VERTICES).parquet(f"{path}/v{now}/vertices").drop("load_seq"), spark.read.schema(_LOADED_EDGES).parquet(f"{path}/v{now}/edges")
+    own, links = _read(spark, path, now[1])
+    return own.drop("load_seq", "load_row"), links
