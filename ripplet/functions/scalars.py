@@ -61,3 +61,9 @@ def speed(seconds: Column) -> Column:
 
 def short_hash(text: Column) -> Column:
     return F.substring(F.sha2(text, 256), 1, 12)
+
+
+def settings_tier(window: F.Column) -> F.Column:
+    """Settings by a model's context window: a struct of temperature, tokens for extraction and explanation, and style of the prompt."""
+    row = lambda *values: F.struct(*(F.lit(v).alias(n) for v, n in zip(values, ("temperature", "max_tokens_extraction", "max_tokens_explanation", "prompt_style"), strict=True)))
+    return F.when(window >= 32_000, row(0.3, 64, 1024, "detailed")).when(window >= 4_096, row(0.3, 64, 512, "standard")).otherwise(row(0.2, 32, 256, "compact"))

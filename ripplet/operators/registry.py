@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import uuid
+from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -83,8 +85,58 @@ def preferred(models: DataFrame) -> DataFrame:
 
 
 def status_changes(events: DataFrame, key: str, status: str, order: str) -> DataFrame:
-    """Events whose status differs from the one before, per key."""
+    """Events whose status differs from the one before, per key; the first event counts, and a null status is one like any other."""
     from pyspark.sql import Window
 
-    before = F.lag(status).over(Window.partitionBy(key).orderBy(order))
-    return events.withColumn("before", before).where(F.col("before").isNull() | (F.col(status) != F.col("before"))).drop("before")
+    by = Window.partitionBy(key).orderBy(order)
+    changed = F.row_number().over(by) == 1
+    return events.withColumn("_changed", changed | ~F.col(status).eqNullSafe(F.lag(status).over(by))).where("_changed").drop("_changed")
+
+
+def create_session(name: str = "") -> tuple[str, dict]:
+    """The id and the row of a new, empty session."""
+    key, at = uuid.uuid4().hex[:8], datetime.now(UTC).isoformat()
+    return key, {"id": key, "name": name, "created_at": at, "updated_at": at, "entries": []}
+
+
+def save(rows: DataFrame, fresh: DataFrame) -> DataFrame:
+    """Rows by id, those of ``fresh`` in place of older ones."""
+    return rows.join(fresh.select("id"), "id", "left_anti").select(*rows.columns).unionByName(fresh.select(*rows.columns))
+
+
+def transcript(sessions: DataFrame, key: str) -> DataFrame:
+    """The queries of one session, numbered from 1, with how many things each affects and the colour of its risk."""
+    each = sessions.where(F.col("id") == key).select(F.posexplode("entries").alias("at", "e"))
+    colour = F.when(F.col("e.risk").isin("Low", "None"), "green").when(F.col("e.risk") == "Medium", "yellow").otherwise("red")
+    return each.select((F.col("at") + 1).alias("row"), "e.question", "e.target", F.size("e.affected").alias("n_affected"), "e.risk", colour.alias("colour"), F.split_part("e.timestamp", F.lit("T"), F.lit(1)).alias("day"))
+
+
+def project_listing(projects: DataFrame) -> DataFrame:
+    """Projects as they are shown: numbered in order of creation, with the day of the last analysis."""
+    from pyspark.sql import Window
+
+    number = F.row_number().over(Window.orderBy("created", "id")).cast("bigint")  # a registry is small
+    return projects.select(number.alias("row"), "id", "name", "path", "files", "vertices", "edges", F.coalesce(F.split_part("last_analyzed", F.lit("T"), F.lit(1)), F.lit("n/a")).alias("day"))
+
+
+def register_model(models: DataFrame, model: DataFrame) -> DataFrame:
+    """Add the one row of ``model``; what lacks an id, a name or a time gets one, and if it is active, no other is."""
+    known = model.select(
+        *(F.coalesce(F.when(F.col(c) != "", F.col(c)), default).alias(c) if (default := {"id": new_id(), "created_at": now(), "name": F.concat("provider", F.lit(" / "), "model_name")}.get(c)) is not None else F.col(c) for c in models.columns)
+    )
+    takes = model.where("is_active").select(F.lit(True).alias("_takes")).limit(1)  # one row at most
+    older = models.join(F.broadcast(takes), F.lit(True), "left").withColumn("is_active", F.col("is_active") & F.col("_takes").isNull()).select(*models.columns)
+    return older.unionByName(known)
+
+
+def update_model(models: DataFrame, key: str, **values) -> DataFrame:  # noqa: ANN003
+    """The named fields of one model, changed."""
+    kinds = dict(models.dtypes)
+    return models.withColumns({c: F.when(F.col("id") == key, F.lit(v).cast(kinds[c])).otherwise(F.col(c)) for c, v in values.items()})
+
+
+def active_model(models: DataFrame) -> DataFrame:
+    """The active model, else the preferred one; ``models`` has ord."""
+    low = F.lower("model_name")
+    order = F.struct(~F.coalesce(F.col("is_active"), F.lit(False)), ~(low.contains("qwen") & low.contains("coder")), F.col("ord"))
+    return models.agg(F.min_by(F.struct("*"), order).alias("m")).select("m.*")

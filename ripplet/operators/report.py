@@ -27,14 +27,15 @@ def risk_levels(counts: DataFrame, column: str = "n_affected") -> DataFrame:
 NO_IMPACT = "**No downstream impact detected.**\n\nChanging `{target}` does not appear to affect any other functions or files in the analyzed codebase."
 
 
-def explanation(question: str, target: str, names: list[str], writer: Callable[[str], str] | None = None) -> str:
-    """Prose about an impact: a fixed text if there is none, else by a callable or a template."""
+def explanation(question: str, target: str, names: list[str], writer: Callable[[str], str] | None = None, total: int | None = None) -> str:
+    """Prose about an impact: a fixed text if there is none, else by a callable or a template. ``names`` may be the first of ``total``."""
     if not names:
         return NO_IMPACT.format(target=target)
-    listed = "\n".join(f"  • {n}" for n in names)
+    total = len(names) if total is None else total
+    listed = "\n".join([*(f"  • {n}" for n in names), *([f"  … and {total - len(names)} more"] if total > len(names) else [])])
     if writer:
         return writer(f"Question: {question}\nTarget: {target}\nAffected:\n{listed}\nExplain the impact and its risk.")
-    return f"Changing `{target}` affects {len(names)} item(s):\n{listed}"
+    return f"Changing `{target}` affects {total} item(s):\n{listed}"
 
 
 def counts_by_type(rows: DataFrame, types: list[str], name: str = "n") -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ripplet.functions.scalars import clean_target, target_type
+from ripplet.sources.tables import vertices_csv
 
 
 def match_targets(vertices: DataFrame, targets: DataFrame) -> DataFrame:
@@ -17,8 +18,8 @@ def match_targets(vertices: DataFrame, targets: DataFrame) -> DataFrame:
 
     ``vertices`` has row_ord, and source_rank where it joins several tables. Within a table an exact match
     comes before a weaker one, earlier rows first; a better ranked table comes before all. Exact matches
-    join by key. Only file targets are held against path endings, which needs no equality:
-    the targets of that join are one batch of questions, checked to be few.
+    join by key. File targets are held against path endings: both sides join on the ending whose length is the greatest power of two within
+    the target's, of which a path has one for each power, and the rest of the target is compared then.
     """
     ranked = vertices if "source_rank" in vertices.columns else vertices.withColumn("source_rank", F.lit(0))
     functions, files = ranked.where("type = 'Function'"), ranked.where("type = 'File'")
@@ -31,13 +32,12 @@ def match_targets(vertices: DataFrame, targets: DataFrame) -> DataFrame:
     found = by(functions, "function", "id", 0).unionByName(by(functions, "function", "name", 1))
     for column in ("id", "name", "filepath"):
         found = found.unionByName(by(files, "file", column, 0))
-    endings = asked.where("type = 'file'").select("target", F.length("target").alias("n"))
-    lengths = [r.n for r in endings.select("n").distinct().orderBy("n").limit(4097).collect()]
-    if len(lengths) > 4096:
-        raise ValueError("too many different lengths of file targets in one batch")
-    if lengths:
-        tails = files.withColumn("target", F.explode(F.transform(F.filter(F.array(*map(F.lit, lengths)), lambda n: n <= F.length("filepath")), lambda n: F.right("filepath", n))))
-        found = found.unionByName(tails.join(endings.select("target"), "target").select("target", F.lit("file").alias("type"), "id", order(1)))
+    size = lambda column: F.pow(F.lit(2), F.floor(F.log2(F.length(column)))).cast("int")
+    endings = asked.where("type = 'file'").select("target", F.right("target", size("target")).alias("ending"))
+    powers = F.transform(F.sequence(F.lit(0), F.floor(F.log2(F.length("filepath"))).cast("int")), lambda k: F.pow(F.lit(2), k).cast("int"))
+    tails = files.where("filepath <> ''").withColumn("ending", F.explode(F.transform(powers, lambda n: F.right("filepath", n))))
+    near = tails.join(endings, "ending").where(F.endswith("filepath", "target"))
+    found = found.unionByName(near.select("target", F.lit("file").alias("type"), "id", order(1)))
     return found.groupBy("target", "type").agg(F.min_by("id", "o").alias("id"))
 
 
@@ -47,6 +47,14 @@ def resolve_target(vertices: DataFrame, target: str, kind: str) -> str | None:
     return row.id if row else None
 
 
+def resolve_in(spark: SparkSession, vertices: DataFrame, target: str, kind: str, candidates: list[str]) -> str | None:
+    """The vertex of one target: in the graph, else in the first of the candidate vertex CSVs that has one."""
+    found = resolve_target(vertices, target, kind)
+    if found is None and candidates:
+        found = resolve_target(ranked_vertices(spark, [vertices_csv(spark, p) for p in candidates]), target, kind)
+    return found
+
+
 def candidate_tables(preferred: str | None, data_dir: str = "data") -> list[str]:
     """Vertex CSVs to look in: the given one, the environment's, the default one, then nested ones, newest first."""
     nested = sorted(glob.glob(os.path.join(data_dir, "**", "vertices.csv"), recursive=True), key=lambda p: -os.stat(p).st_mtime)

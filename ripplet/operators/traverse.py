@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ripplet.operators.components import materialize
+from ripplet.operators.components import discard, materialize
 
 DIRECTIONS = ("out", "in", "both")
 
@@ -37,14 +37,18 @@ def reach(links: DataFrame, start: DataFrame, depth: int) -> DataFrame:
     check_depth(depth)
     links = materialize(links, "links")
     frontier = materialize(start.select("id").distinct().withColumn("distance", F.lit(0)), "frontier")
-    visited = frontier
+    visited, hops = frontier, [frontier]
     for hop in range(1, depth + 1):
         found = frontier.join(links, F.col("id") == F.col("src")).select(F.col("dst").alias("id")).distinct()
         frontier = materialize(found.join(visited, "id", "left_anti").withColumn("distance", F.lit(hop)), "frontier")
+        hops.append(frontier)
         if frontier.isEmpty():
             break
         visited = visited.union(frontier)
-    return visited
+    reached = materialize(visited, "reached")
+    for table in (links, *hops):
+        discard(table)
+    return reached
 
 
 def reach_sql(links: DataFrame, start: DataFrame, depth: int) -> DataFrame:
