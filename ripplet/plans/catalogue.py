@@ -67,8 +67,19 @@ def query(sql: str | None = None, base: bool = True, name: str | None = None) ->
     return add
 
 
+def _cut(rows: DataFrame, name: str) -> DataFrame:
+    """What a query reads several times, computed once."""
+    return components.materialize(rows, name)
+
+
 def _all(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    return derived.files(spark, d), derived.functions(spark, d), derived.calls(spark, d), derived.imports(spark, d)
+    return _cut(derived.files(spark, d), "files"), _cut(derived.functions(spark, d), "functions"), derived.calls(spark, d), derived.imports(spark, d)
+
+
+def _graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The part graph, and the first part that calls another."""
+    graph = _cut(derived.part_graph(spark, d), "part_graph")
+    return graph, derived.first_caller(graph)
 
 
 def _edges(spark: SparkSession, d: str) -> DataFrame:
@@ -91,30 +102,31 @@ select id, min(distance) as distance from walk group by id having min(distance)
 ALL = ("CALLS", "IMPORTS", "CONTAINS")
 for _direction in traverse.DIRECTIONS:
     for _depth in (1, 2, 5):
-        query(_walk_sql(_direction, _depth, ALL, 0), name=f"hop_detection_{_direction}_d{_depth}")(lambda s, d, k=_depth, way=_direction: traverse.hop_detection(derived.part_graph(s, d), derived.first_part(s, d), k, way))
+        query(_walk_sql(_direction, _depth, ALL, 0), name=f"hop_detection_{_direction}_d{_depth}")(lambda s, d, k=_depth, way=_direction: traverse.hop_detection(*_graph(s, d), k, way))
     for _depth in (1, 5):
-        query(_walk_sql(_direction, _depth, ("CALLS",), 1), name=f"impact_analysis_{_direction}_d{_depth}")(lambda s, d, k=_depth, way=_direction: traverse.impact_analysis(derived.part_graph(s, d), derived.first_part(s, d), k, way))
-query(_walk_sql("out", 5, ALL, 0), name="hop_detection_recursive_sql")(lambda s, d: traverse.hop_detection(derived.part_graph(s, d), derived.first_part(s, d), 5, "out", traverse.reach_sql))
+        query(_walk_sql(_direction, _depth, ("CALLS",), 1), name=f"impact_analysis_{_direction}_d{_depth}")(lambda s, d, k=_depth, way=_direction: traverse.impact_analysis(*_graph(s, d), k, way))
+query(_walk_sql("out", 5, ALL, 0), name="hop_detection_recursive_sql")(lambda s, d: traverse.hop_detection(*_graph(s, d), 5, "out", traverse.reach_sql))
 
 
 @query(_walk_sql("out", 5, ("CALLS",), 0).replace("select id, min(distance) as distance from walk group by id having min(distance) >= 0", "select distance, count(*) as n from (select id, min(distance) as distance from walk group by id) group by distance"))
 def bfs_distance_histogram(s: SparkSession, d: str) -> DataFrame:
-    links = traverse.steps(derived.part_graph(s, d), "out", ["CALLS"])
-    return traverse.reach(links, derived.first_part(s, d), 5).groupBy("distance").agg(F.count("*").alias("n"))
+    graph, first = _graph(s, d)
+    return traverse.reach(traverse.steps(graph, "out", ["CALLS"]), first, 5).groupBy("distance").agg(F.count("*").alias("n"))
 
 
 # ---- building
 query("select id, type, name, filepath from vertices", name="vertices_build")(_vertices)
 query("select * from contains_e", name="contains_edges")(lambda s, d: build.contains_edges(derived.functions(s, d)))
-query("select * from calls_e", name="call_edges")(lambda s, d: build.call_edges(derived.calls(s, d), derived.functions(s, d)))
-query("select caller as source, target, 'CALLS' as type from resolved where target is not null", name="call_edges_complete")(lambda s, d: build.call_edges(derived.calls(s, d), derived.functions(s, d), "complete"))
+query("select * from calls_e", name="call_edges")(lambda s, d: build.call_edges(derived.calls(s, d), _cut(derived.functions(s, d), "functions")))
+query("select caller as source, target, 'CALLS' as type from resolved where target is not null", name="call_edges_complete")(lambda s, d: build.call_edges(derived.calls(s, d), _cut(derived.functions(s, d), "functions"), "complete"))
 query("select * from imports_e", name="import_edges")(lambda s, d: build.import_edges(derived.imports(s, d), derived.files(s, d)))
 query("select * from edges", name="edges_bag")(_edges)
 query("select distinct * from edges", name="edges_set")(lambda s, d: _edges(s, d).distinct())
 query("select * from modules", name="module_suffix_index")(lambda s, d: build.module_index(derived.files(s, d)))
-query("select file_ord, func_ord, callee, local_uid, global_uid, target from resolved", name="resolve_local_vs_global")(lambda s, d: build.resolve_calls(derived.calls(s, d), derived.functions(s, d)).select("file_ord", "func_ord", "callee", "local_uid", "global_uid", "target"))
-query("select c.callee || '_x' as callee, file_ord, func_ord from calls c where hash(callee) is not null and not exists (select 1 from functions f where f.name = c.callee || '_x')", name="unresolved_calls")(
-    lambda s, d: build.unresolved_calls(derived.calls(s, d).withColumn("callee", F.concat("callee", F.lit("_x"))), derived.functions(s, d))
+query("select file_ord, func_ord, callee, local_uid, global_uid, target from resolved", name="resolve_local_vs_global")(lambda s, d: build.resolve_calls(derived.calls(s, d), _cut(derived.functions(s, d), "functions")).select("file_ord", "func_ord", "callee", "local_uid", "global_uid", "target"))
+_RENAMED = ", renamed as (select file_ord, func_ord, case when func_ord > 100 * file_ord then callee || '_x' else callee end as callee from calls)"
+query(_RENAMED + " select callee, file_ord, func_ord from renamed c where not exists (select 1 from functions f where f.name = c.callee)", name="unresolved_calls")(
+    lambda s, d: build.unresolved_calls(derived.calls(s, d).withColumn("callee", F.when(F.col("func_ord") > 100 * F.col("file_ord"), F.concat("callee", F.lit("_x"))).otherwise(F.col("callee"))), derived.functions(s, d))
 )
 
 
@@ -189,10 +201,10 @@ def resolve_file_target(s: SparkSession, d: str) -> DataFrame:
 
 
 def _ordered(s: SparkSession, d: str) -> DataFrame:
-    files = derived.files(s, d)
+    files, functions = _cut(derived.files(s, d), "files"), _cut(derived.functions(s, d), "functions")
     f = build.file_vertices(files).join(files.select("filepath", F.col("file_ord").alias("row_ord")), "filepath")
-    at = derived.functions(s, d).groupBy(scalars.func_id(F.col("path_id"), F.col("name")).alias("id")).agg(F.min(F.col("file_ord") * 1000000000 + F.col("func_ord")).alias("row_ord"))
-    return f.unionByName(build.function_vertices(derived.functions(s, d), files).join(at, "id"))
+    at = functions.groupBy(scalars.func_id(F.col("path_id"), F.col("name")).alias("id")).agg(F.min(F.col("file_ord") * 1000000000 + F.col("func_ord")).alias("row_ord"))
+    return _cut(f.unionByName(build.function_vertices(functions, files).join(at, "id")), "vertices")
 
 
 @query(r"""select target, case when target = 'UNKNOWN' or target = '' then 'unknown' when ends_with(target, '.py') then 'file' else 'function' end as type, raw
@@ -205,23 +217,41 @@ def classify_target(s: SparkSession, d: str) -> DataFrame:
 
 
 @query("""with asked as (select distinct l_partkey as a, l_suppkey as b from lineitem),
-said as (select 'What if fn_' || a || ' or fn_' || b || ' changes?' as question, case when a in (select p_partkey from part) and a % 2 = 0 then 'fn_' || a end as x, case when b in (select p_partkey from part) and b % 2 = 0 then 'fn_' || b end as y from asked)
+said as (select 'What if fn_' || a || ' or fn_' || b || ' changes?' as question, case when a in (select p_partkey from part) then 'fn_' || a end as x, case when b in (select p_partkey from part) then 'fn_' || b end as y from asked
+  union all select 'What if ' || s_name || ' changes?', null, null from supplier)
 select question, case when x is null and y is null then 'UNKNOWN' when y is null or length(x) >= length(y) then x else y end as raw from said""", base=False)
 def mentioned_targets(s: SparkSession, d: str) -> DataFrame:
-    """Which part of even number each question about a line's part and supplier names."""
+    """Which part each question about a line's part and supplier names; questions about suppliers by name mention none."""
     name = lambda c: F.concat(F.lit("fn_"), F.col(c).cast("string"))
     asked = table(s, d, "lineitem").select(F.concat(F.lit("What if "), name("l_partkey"), F.lit(" or "), name("l_suppkey"), F.lit(" changes?")).alias("question"))
-    return resolve.mentioned_targets(table(s, d, "part").where("p_partkey % 2 = 0").select(name("p_partkey").alias("name")), asked)
+    others = table(s, d, "supplier").select(F.concat(F.lit("What if "), "s_name", F.lit(" changes?")).alias("question"))
+    return resolve.mentioned_targets(table(s, d, "part").select(name("p_partkey").alias("name")), asked.union(others))
 
 
 @query(", kept as (select distinct source as src, target as dst from calls_e), walk(id, distance) as (select min(src), 0 from kept union select dst, distance + 1 from walk join kept on id = src where distance < 5) select id, min(distance) as distance from walk group by id having min(distance) >= 1")
 def affected_functions(s: SparkSession, d: str) -> DataFrame:
     """What a change of the first calling function reaches, dispatched by the type of the target."""
-    calls = build.call_edges(derived.calls(s, d), derived.functions(s, d)).distinct()
+    calls = _cut(build.call_edges(derived.calls(s, d), _cut(derived.functions(s, d), "functions")).distinct(), "calls")
     return traverse.affected(calls, calls.agg(F.min("source").alias("id")), "function", 5)
 
 
+@query(", kept as (select distinct source as src, target as dst from edges), walk(id, distance) as (select min(source), 0 from edges where type = 'CONTAINS' union select dst, distance + 1 from walk join kept on id = src where distance < 3) select id, min(distance) as distance from walk group by id")
+def affected_by_file(s: SparkSession, d: str) -> DataFrame:
+    """What a change of the first file reaches in three steps over edges of any type."""
+    edges = _cut(_edges(s, d), "edges")
+    return traverse.affected(edges, edges.where("type = 'CONTAINS'").agg(F.min("source").alias("id")), "file", 3)
+
+
+@query("select * from edges")
+def edges_csv_roundtrip(s: SparkSession, d: str) -> DataFrame:
+    """The edges, written as CSV and read again."""
+    path = _folder(s, "edges")
+    tables.write_csv(_edges(s, d), path)
+    return tables.edges_csv(s, path)
+
+
 # ---- reports
+query("select source, target, type from edges", name="graph_payload_edges")(lambda s, d: report.graph_payload(_vertices(s, d), _edges(s, d))[1])
 query("select id, name as label, type, filepath from vertices", name="graph_payload")(lambda s, d: report.graph_payload(_vertices(s, d), _edges(s, d))[0])
 @query(", one as (select distinct source as src, target as dst from part_graph where type = 'CALLS'), n as (select src as id, count(*) as n_affected from one where src <> dst group by src) select id, n_affected, case when n_affected = 0 then 'None' when n_affected <= 2 then 'Low' when n_affected <= 5 then 'Medium' else 'High' end as risk from n")
 def risk_levels(s: SparkSession, d: str) -> DataFrame:
@@ -249,13 +279,14 @@ query(
     name="node_degrees",
 )(lambda s, d: report.degrees(_parts(s, d), derived.part_graph(s, d)))
 query(f", {_NEAR} select * from near", name="neighbours")(lambda s, d: report.neighbour_pairs(derived.part_graph(s, d)))
+query(f", {_NEAR} select neighbour from near where id = 1", name="neighbours_of_node")(lambda s, d: report.neighbours(derived.part_graph(s, d), 1))
 query("select p_partkey as id, p_name as name from part where contains(lower(p_name), 'an')", base=False, name="node_search")(lambda s, d: report.search(_parts(s, d), "AN"))
 query("select * from part_graph where type in ('CALLS', 'CONTAINS')", name="edge_filter")(lambda s, d: report.visible_edges(derived.part_graph(s, d), ["CALLS", "CONTAINS"]))
 query(_walk_sql("out", 1, ("CALLS",), 1).replace("select id, min(distance) as distance from walk", "select id, p_name as name from (select id, min(distance) as distance from walk").replace("having min(distance) >= 1", "having min(distance) >= 1) join part on id = p_partkey"), name="affected_details")(
-    lambda s, d: report.affected_details(traverse.impact_analysis(derived.part_graph(s, d), derived.first_part(s, d), 1), _parts(s, d))
+    lambda s, d: report.affected_details(traverse.impact_analysis(*_graph(s, d), 1), _parts(s, d))
 )
 query(_walk_sql("out", 1, ("CALLS",), 1).replace("select id, min(distance) as distance from walk group by id having min(distance) >= 1", "select p_partkey as id, p_name as name, p_partkey in (select id from walk where distance >= 1 and id not in (select id from walk where distance = 0)) as hit from part"), name="highlighted_nodes")(
-    lambda s, d: report.highlighted(_parts(s, d), traverse.impact_analysis(derived.part_graph(s, d), derived.first_part(s, d), 1))
+    lambda s, d: report.highlighted(_parts(s, d), traverse.impact_analysis(*_graph(s, d), 1))
 )
 
 
@@ -265,7 +296,18 @@ def parse_totals(s: SparkSession, d: str) -> DataFrame:
     return report.parse_totals(parsed)
 
 
+query(_SOURCE + "select (select count(*) from supplier) as files, (select count(*) from defs)::bigint as functions, (select 2 * count(*) from supplier)::bigint as imports, 0::bigint as errors", base=False, name="parsed_totals")(lambda s, d: report.parse_totals(_parsed(s, d)))
+
+
 # ---- loading
+@query("select user_id::varchar as id, arg_max(event_type, event_id) as type, arg_max(value, event_id)::varchar as name, max(event_id) as load_row from events group by user_id", base=False)
+def load_repeated_ids(s: SparkSession, d: str) -> DataFrame:
+    """Several rows of an id in one load: the later row wins."""
+    text = lambda c: F.col(c).cast("string")
+    own = table(s, d, "events").select(text("user_id").alias("id"), F.col("event_type").alias("type"), text("value").alias("name"), F.lit("f").alias("filepath"), F.lit(0).cast("bigint").alias("load_seq"), F.col("event_id").alias("load_row"))
+    return load.latest(own).select("id", "type", "name", "load_row")
+
+
 query("select user_id, arg_max(event_type, event_id) as event_type, arg_max(value, event_id) as value, max(event_id) as event_id from events group by user_id", base=False, name="upsert_last_writer")(
     lambda s, d: load.upsert(table(s, d, "events").select("user_id", "event_type", "value", "event_id"), "user_id", "event_id")
 )
@@ -306,8 +348,15 @@ query(f"select id, name, updated_at from ({_SESSIONS}) order by updated_at desc,
 query("select event_id, user_id, event_type from (select *, lag(event_type) over (partition by user_id order by event_id) as before from events) where before is null or before <> event_type", base=False, name="status_change_points")(
     lambda s, d: registry.status_changes(table(s, d, "events").select("event_id", "user_id", "event_type"), "user_id", "event_type", "event_id")
 )
+def _models(s: SparkSession, d: str) -> DataFrame:
+    """Parts as models; those with an a and an e in their name are coder models."""
+    low = F.lower("p_name")
+    name = F.when(low.contains("a") & low.contains("e"), F.concat(F.lit("Qwen-Coder "), "p_name")).otherwise(F.col("p_name"))
+    return table(s, d, "part").select("p_partkey", name.alias("model_name"), F.col("p_partkey").alias("ord"))
+
+
 query("select arg_min({'p_partkey': p_partkey, 'm': p_name}, (case when contains(lower(p_name), 'a') and contains(lower(p_name), 'e') then 0 else 1 end, p_partkey)).p_partkey as p_partkey from part", base=False, name="preferred_pick")(
-    lambda s, d: table(s, d, "part").agg(F.min_by("p_partkey", F.struct(~(F.lower("p_name").contains("a") & F.lower("p_name").contains("e")), "p_partkey")).alias("p_partkey"))
+    lambda s, d: registry.preferred(_models(s, d)).select("p_partkey")
 )
 query("select s_suppkey as id, 'renamed' as name from supplier where s_suppkey = 3 union all select s_suppkey, s_name from supplier where s_suppkey not in (3, 5)", base=False, name="registry_rename_delete")(
     lambda s, d: registry.delete(registry.rename(table(s, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name")), 3, "renamed"), 5)
@@ -324,7 +373,38 @@ def project_upsert(s: SparkSession, d: str) -> DataFrame:
 
 query("select s_suppkey as id, s_suppkey = 2 as is_active from supplier", base=False, name="single_active")(lambda s, d: registry.set_active(table(s, d, "supplier").select(F.col("s_suppkey").alias("id")), 2))
 
+query("select row_number() over (order by lpad((s_suppkey * 7919 % 1000)::varchar, 4, '0'), s_suppkey::varchar) as row, s_suppkey::varchar as id, s_name as name, 'd' || s_nationkey as day from supplier", base=False, name="project_listing")(
+    lambda s, d: registry.project_listing(
+        table(s, d, "supplier").select(F.col("s_suppkey").cast("string").alias("id"), F.col("s_name").alias("name"), F.lit("/p").alias("path"), F.lpad((F.col("s_suppkey") * 7919 % 1000).cast("string"), 4, "0").alias("created"), F.concat(F.lit("d"), F.col("s_nationkey").cast("string"), F.lit("T1")).alias("last_analyzed"), *(F.lit(1).alias(c) for c in ("files", "vertices", "edges")))
+    ).select("row", "id", "name", "day")
+)
+
+
+@query("""select row_number() over (order by turn, text)::int as row, text as question, role as target, len(string_split(text, ' '))::int as n_affected,
+  case turn % 3 when 0 then 'Low' when 1 then 'Medium' else 'High' end as risk, case turn % 3 when 0 then 'green' when 1 then 'yellow' else 'red' end as colour, 'd' || turn as day
+from conversations where conv_id = (select min(conv_id) from conversations)""", base=False)
+def session_transcript(s: SparkSession, d: str) -> DataFrame:
+    """The first conversation as a session."""
+    turns = table(s, d, "conversations")
+    level = F.when(F.col("turn") % 3 == 0, "Low").when(F.col("turn") % 3 == 1, "Medium").otherwise("High")
+    entry = F.struct("turn", F.col("text").alias("question"), F.col("role").alias("target"), F.split("text", " ").alias("affected"), level.alias("risk"), F.concat(F.lit("d"), F.col("turn").cast("string"), F.lit("T1")).alias("timestamp"))
+    sessions = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(entry)).alias("entries"))
+    first = sessions.withColumn("id", F.when(F.col("conv_id") == F.lit(turns.agg(F.min("conv_id")).first()[0]), "first").otherwise("other"))
+    return registry.transcript(first, "first")
+
+
+@query("select 'm' || s_suppkey as id, s_name as name, false as is_active from supplier union all select 'new', 'p / n', true", base=False)
+def model_registration(s: SparkSession, d: str) -> DataFrame:
+    """A new active model without a name, beside many of which one was active."""
+    shape = lambda rows: rows.select("id", "name", "provider", "model_name", "is_active")
+    known = table(s, d, "supplier").select(F.concat(F.lit("m"), F.col("s_suppkey").cast("string")).alias("id"), F.col("s_name").alias("name"), F.lit("x").alias("provider"), F.lit("y").alias("model_name"), (F.col("s_suppkey") == 2).alias("is_active"))
+    return registry.register_model(shape(known), shape(s.createDataFrame([("new", "", "p", "n", True)], "id string, name string, provider string, model_name string, is_active boolean"))).select("id", "name", "is_active")
+
+
 # ---- scalar functions
+query("select event_id, case when w >= 4096 then 0.3 else 0.2 end::double as temperature, case when w >= 4096 then 64 else 32 end as max_tokens_extraction, case when w >= 32000 then 1024 when w >= 4096 then 512 else 256 end as max_tokens_explanation, case when w >= 32000 then 'detailed' when w >= 4096 then 'standard' else 'compact' end as prompt_style from (select event_id, event_id * 13 as w from events)", base=False, name="settings_tier")(
+    lambda s, d: table(s, d, "events").select("event_id", scalars.settings_tier(F.col("event_id") * 13).alias("t")).select("event_id", "t.*")
+)
 query("select path, array_to_string(list_slice(string_split(path, '/'), greatest(1, len(string_split(path, '/')) - 1), 9), '/') as tail, substr(sha256(path), 1, 12) as key, case when length(path) > 12 then substr(path, 1, 12) || '…' else path end as short from files", name="path_functions")(
     lambda s, d: derived.files(s, d).select(F.col("path_id").alias("path"), scalars.path_tail(F.col("path_id"), 2).alias("tail"), scalars.short_hash(F.col("path_id")).alias("key"), scalars.truncated(F.col("path_id"), 12).alias("short"))
 )

@@ -56,9 +56,9 @@ def part_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _consecutive(spark, sf_dir, "l_partkey", "l_returnflag").select(F.col("l_partkey").alias("source"), F.col("next_partkey").alias("target"), kind.alias("type")).distinct()
 
 
-def first_part(spark: SparkSession, sf_dir: str) -> DataFrame:
+def first_caller(graph: DataFrame) -> DataFrame:
     """The first part that calls another."""
-    return part_graph(spark, sf_dir).where("type = 'CALLS'").agg(F.min("source").alias("id"))
+    return graph.where("type = 'CALLS'").agg(F.min("source").alias("id"))
 
 
 def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -175,3 +175,110 @@ def test_stream(spark, tmp_path):
     from ripplet.operators.load import graph
 
     assert [(r.id, r.name) for r in graph(spark, str(tmp_path / "g"))[0].collect()] == [("a", "new")]
+
+
+def test_deep_source_is_an_error_of_its_file():
+    from ripplet.functions.extract import parse
+
+    for source in ("x = a" + ".b" * 20_000, "x = " + "1+" * 60_000 + "1", "x = " + "-" * 60_000 + "1", "if a: pass\n" + "elif a: pass\n" * 20_000, "def f(:", "x = 1\0"):
+        got = parse(source.encode(), "p")
+        assert got["error"] or got["functions"] == got["imports"] == []
+    assert parse(b"def f(): g()", "p")["functions"][0]["calls"] == ["g"]
+
+
+def test_loads_are_parts(spark, tmp_path):
+    """A load writes its own rows only, the later row of an id wins within and across loads, and old parts go."""
+    from ripplet.operators import load
+    from ripplet.plans.schemas import EDGES
+
+    path = str(tmp_path / "g")
+    for k in range(load.MOST_PARTS + 2):
+        rows = spark.createDataFrame([("a", "File", f"n{k}", "p"), ("a", "File", f"m{k}", "p"), (f"b{k}", "File", "x", "p")], VERTICES).coalesce(1)
+        edges = spark.createDataFrame([("a", f"b{k}", "IMPORTS"), ("a", f"b{k}", "IMPORTS"), ("a", "z", "OTHER")], EDGES)
+        assert load.load_graph(spark, rows, edges, path) == (3, 2)
+        own, links = load.graph(spark, path)
+        assert {r.id: r.name for r in own.collect()} == {"a": f"m{k}"} | {f"b{i}": "x" for i in range(k + 1)}
+        assert links.count() == k + 1 and own.where("type = 'CodeFile'").count() == k + 2
+        assert len(list((tmp_path / "g").glob("p*"))) <= load.MOST_PARTS + 1
+    assert load.load_graph(spark, rows, edges, path, "replace") == (3, 2) and load.graph(spark, path)[0].count() == 2
+
+
+def test_targets_of_any_lengths(spark):
+    """Endings of every length, in one batch, against all pairs."""
+    paths = ["".join("ab/"[(k * 7 + i * i) % 3] for i in range(k % 23 + 1)) + ".py" for k in range(80)]
+    v = vertices(spark, [(f"file::{p}#{k}", "File", p.rsplit("/", 1)[-1], p) for k, p in enumerate(paths)])
+    targets = sorted({p[-n:] for p in paths for n in range(1, len(p) + 1)} | {"z.py"})
+    got = {r.target: r.id for r in resolve.match_targets(v, spark.createDataFrame([(t, "file") for t in targets], "target string, type string")).collect()}
+    want = {}
+    for t in targets:
+        exact = [k for k, p in enumerate(paths) if t in (p, p.rsplit("/", 1)[-1])]
+        near = exact or [k for k, p in enumerate(paths) if p.endswith(t)]
+        if near:
+            want[t] = f"file::{paths[near[0]]}#{near[0]}"
+    assert got == want
+
+
+def test_registries_of_an_engine(spark, project, tmp_path):
+    _, impact = api.analyze(spark, str(project), str(tmp_path / "graph"), "What breaks if I change login?", registries=str(tmp_path / "r"))
+    engine = api.Engine(spark, str(tmp_path / "graph"), str(tmp_path / "r"))
+    row = engine.projects.load().first()
+    assert (row.path, row.vertices, row.edges, row.files) == (str(project), 9, 9, 5) and impact.found.count() == impact.total == 2
+    (project / "base.py").write_text("def connect():\n    pass\n")
+    assert engine.reload_project(row.id) == (8, 6)
+    again = engine.projects.load().collect()
+    assert [(r.id, r.name, r.vertices) for r in again] == [(row.id, row.name, 8)]
+    with pytest.raises(KeyError):
+        engine.reload_project("none")
+    key = engine.open_session("mine")
+    engine.query("change connect", session=key)
+    engine.query("Impact of connect", direction="in", session=key)
+    shown = registry.transcript(engine.sessions.load(), key).orderBy("row").collect()
+    assert [(r.row, r.question, r.target, r.n_affected, r.risk, r.colour) for r in shown] == [(1, "change connect", "connect", 0, "None", "green"), (2, "Impact of connect", "connect", 0, "None", "green")]
+    other = engine.open_session()
+    engine.delete_session(other)
+    assert [r.id for r in engine.sessions.load().collect()] == [key] and engine.delete_sessions() == 1 and engine.sessions.load().count() == 0
+    assert [(r.row, r.id) for r in registry.project_listing(engine.projects.load()).collect()] == [(1, row.id)]
+
+
+def test_parse_output_and_candidates(spark, project, tmp_path):
+    parsed = api.parse(spark, str(project))
+    for kind in ("csv", "json"):
+        api.write_parsed(parsed, str(tmp_path / "out"), kind)
+    assert tables.read_csv(spark, str(tmp_path / "out" / "vertices"), VERTICES).count() == 9 and tables.edges_csv(spark, str(tmp_path / "out" / "edges")).count() == 9
+    assert spark.read.json(str(tmp_path / "out" / "dependency_graph")).count() == 5
+    with pytest.raises(ValueError):
+        api.write_parsed(parsed, str(tmp_path / "out"), "xml")
+    own, edges = api.build_graph(parsed)
+    one = str(tmp_path / "one.csv")
+    own.toPandas().to_csv(one, index=False)
+    nodes, links = tables.graph_csv(spark, one, str(tmp_path / "none.csv"))
+    assert nodes.count() == 9 and links.count() == 0
+    with pytest.raises(FileNotFoundError):
+        tables.graph_csv(spark, str(tmp_path / "none.csv"), one)
+    tables.write_csv(own.repartition(2), str(tmp_path / "two"))
+    with pytest.raises(ValueError):
+        tables.vertices_csv(spark, str(tmp_path / "two"))
+    known = tables.vertices_csv(spark, one)
+    empty = known.where("false")
+    assert resolve.resolve_in(spark, empty, "login", "function", [one]) == resolve.resolve_target(known, "login", "function") is not None
+    assert resolve.resolve_in(spark, empty, "login", "function", []) is None
+
+
+def test_models_and_changes(spark):
+    models = spark.createDataFrame([("a", "A", "p", "u", "", "llama", True, None, {}, "c", None), ("b", "B", "p", "u", "", "Qwen-Coder", False, None, {}, "c", None)], MODELS)
+    fresh = spark.createDataFrame([("", "", "q", "u", "", "m", True, None, {}, "", None)], MODELS)
+    got = {r.name: (r.is_active, len(r.id), bool(r.created_at)) for r in registry.register_model(models, fresh).collect()}
+    assert got == {"A": (False, 1, True), "B": (False, 1, True), "q / m": (True, 8, True)}
+    quiet = registry.register_model(models, fresh.withColumn("is_active", F.lit(False)))
+    assert {r.name for r in quiet.where("is_active").collect()} == {"A"}
+    assert [r.base_url for r in registry.update_model(models, "b", base_url="v").orderBy("id").collect()] == ["u", "v"] and registry.delete(models, "b").count() == 1
+    ranked = models.withColumn("ord", F.when(F.col("id") == "a", 0).otherwise(1))
+    assert registry.active_model(ranked).first().id == "a" and registry.active_model(ranked.withColumn("is_active", F.lit(False))).first().id == "b"
+    events = spark.createDataFrame([(k, 1, x) for k, x in enumerate(["a", "a", None, None, "b", "b"])], "event_id long, user_id long, event_type string")
+    assert sorted(r.event_id for r in registry.status_changes(events, "user_id", "event_type", "event_id").collect()) == [0, 2, 4]
+
+
+def test_caches_below_a_root(spark, project, tmp_path):
+    for name in ("x", "y"):
+        cache.parse_directory(spark, str(project), cache.ParseCache(spark, str(tmp_path / "all" / name)))
+    assert cache.clear_all(spark, str(tmp_path / "all")) == 2 and cache.clear_all(spark, str(tmp_path / "all")) == 0 and cache.clear_all(spark, str(tmp_path / "none")) == 0
