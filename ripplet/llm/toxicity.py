@@ -29,6 +29,7 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -263,7 +264,18 @@ def features(word: str) -> list[str]:
     return [f"{word}$", *(word[:n] for n in range(4, 9) if len(word) > n)] if len(word) >= 4 else []
 
 
-Text = list[list[str]]  # features of the distinct words
+Text = list[tuple[str, ...]]  # of each distinct word, the features that enough toxic texts have
+
+
+def told(texts_: dict[int, list[list[str]]]) -> dict[int, list[Text]]:
+    """Texts of words as texts of features; words without one that enough toxic texts have are left out."""
+    seen = Counter(f for t in texts_[1] for f in {f for w in t for f in features(w)})
+    known: dict[str, tuple[str, ...]] = {}
+    for t in chain(texts_[0], texts_[1]):
+        for w in t:
+            if w not in known:
+                known[w] = tuple(f for f in features(w) if seen[f] >= LEAST)
+    return {y: [[x for w in t if (x := known[w])] for t in texts_[y]] for y in texts_}
 
 
 class Odds:
@@ -271,14 +283,13 @@ class Odds:
 
     def __init__(self, toxic: list[Text], clean: list[Text]) -> None:
         seen = Counter(f for t in toxic for f in {f for word in t for f in word})
-        usable = {f for f, n in seen.items() if n >= LEAST}
-        toxic = [[[f for f in word if f in usable] for word in t] for t in toxic]
-        others = Counter(f for t in clean for f in {f for word in t for f in word if f in usable})
-        counts = {f: float(seen[f]) for f in usable}
+        others = Counter(f for t in clean for f in {f for word in t for f in word})
+        counts = {f: float(n) for f, n in seen.items() if n >= LEAST}
         for _ in range(ROUNDS):
             self.values = self._bounds(counts, others, len(toxic), len(clean))
             counts = self._explained(toxic)
         self.values = self._bounds(counts, others, len(toxic), len(clean))
+        self.heads = {f[:4] for f in self.values}
 
     @staticmethod
     def _bounds(counts: dict[str, float], others: Counter, toxic: int, clean: int) -> dict[str, float]:
@@ -310,9 +321,14 @@ class Odds:
                 out[f] = out.get(f, 0.0) + part
         return out
 
-    def strongest(self, word: list[str]) -> tuple[float, str] | None:
+    def strongest(self, word: Iterable[str]) -> tuple[float, str] | None:
+        """Of the features of a word."""
         return max(((self.values[f], f) for f in word if f in self.values), default=None)
 
+    def hit(self, word: str) -> tuple[float, str] | None:
+        """The strongest feature of a word; every feature begins with its first four letters."""
+        return self.strongest(features(word)) if word[:4] in self.heads else None
+
 
 def evidence(hits: Iterable[tuple[float, str]], size: int) -> list[float]:
     """Of a text, by the features that its words hit, each once, and the number of its distinct tokens."""
@@ -328,7 +344,10 @@ class Classifier:
         texts_ = {y: [sorted(set(self.restorer.tokens(t))) for t in dict.fromkeys(samples[y])] for y in (0, 1)}
         if min(map(len, texts_.values())) < 2:
             return
-        read = {y: [(len(t), [features(w) for w in sorted({w for x in t for w in words(self.restorer.known[x])})]) for t in texts_[y]] for y in (0, 1)}
+        sizes = {y: [len(t) for t in texts_[y]] for y in (0, 1)}
+        reads = Memory(lambda x: words(self.restorer.decode(x)), _KNOWN, _KNOWN_CHARS)
+        found = told({y: [sorted({w for x in t for w in reads[x]}) for t in texts_[y]] for y in (0, 1)})
+        read = {y: list(zip(sizes[y], found[y], strict=True)) for y in (0, 1)}
         parts = min(PARTS, *map(len, read.values()))
         x, y = [], []
         for k in range(parts):
@@ -355,7 +374,7 @@ class Classifier:
 
     def _hits(self, token: str) -> tuple[tuple[float, str], ...]:
         """The strongest feature of each word of a token's reading."""
-        return tuple(filter(None, (self.odds.strongest(features(w)) for w in words(self.restorer.decode(token)))))
+        return tuple(filter(None, map(self.odds.hit, words(self.restorer.decode(token)))))
 
     def scores(self, data: list[str]) -> np.ndarray:
         if self.calibrate is None or not data:
