@@ -207,10 +207,11 @@ def classes(own: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """(fp, node, component_id) of every distinct fp of ``own(doc_id, fp)``: ``node`` is the component's smallest fp, as a signed number."""
     distinct = materialize(own.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
     found = materialize(connected_components(materialize(links(distinct.select("fp", F.col("fp").alias("rep")), threshold).distinct(), "links")), "components")
-    named = found.join(distinct, F.col("node") == F.col("fp")).groupBy("component").agg(F.min("first").alias("least"))
-    linked = found.join(named, "component").select(F.col("node").alias("fp"), F.col("component").alias("joint"), "least")
+    smallest = found.join(distinct, F.col("node") == F.col("fp")).groupBy("component").agg(F.min("first").alias("least"))
+    linked = found.join(smallest, "component").select(F.col("node").alias("fp"), F.col("component").alias("joint"), "least")
     rows = distinct.join(linked, "fp", "left")
-    return rows.select("fp", F.coalesce("joint", "fp").alias("node"), F.when(F.col("joint").isNull(), F.col("first")).otherwise(F.col("least")).alias("component_id"))
+    named = rows.select("fp", F.coalesce("joint", "fp").alias("node"), F.when(F.col("joint").isNull(), F.col("first")).otherwise(F.col("least")).alias("component_id"))
+    return materialize(named, "classes")  # a written table has no partitioning, so a join with it shuffles both sides and AQE splits the rows of a hot text
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: int = THRESHOLD) -> DataFrame:
