@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ripplet.operators.components import discard, materialize, shared_dir  # noqa: F401
 
-#: Rows in an Arrow batch: bounds what a Python worker holds at once, as texts may be very long.
+#: Rows in an Arrow batch: with Spark's own bound of a batch's bytes (spark.sql.execution.arrow.maxBytesPerBatch, 64 MB) this bounds what a Python worker holds at once.
 BATCH_ROWS = 256
 
 
@@ -49,8 +49,8 @@ def partitions(spark: SparkSession) -> int:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound the Arrow batches of this session."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) != BATCH_ROWS:
+    """Bound the Arrow batches of this session, unless they are smaller already. The setting stays, as plans read it when they run."""
+    if not 0 < int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 

@@ -94,8 +94,8 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, e
     return texts(docs).mapInArrow(run, PIECES)
 
 
-def sum_of_squares(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray]:
-    """Bin and offset of every length, placed in the order given."""
+def sum_of_squares(lengths: np.ndarray, capacity: int = CAPACITY, online: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Bin and offset of every length, placed in the order given. ``online``: a new bin is weighed against the open ones each time."""
     count = np.zeros(capacity + 1, dtype=np.int64)  # open bins by gap; a gap of zero is closed
     open_: list[list[int]] = [[] for _ in range(capacity + 1)]
     bins, offsets = np.empty(len(lengths), dtype=np.int64), np.empty(len(lengths), dtype=np.int64)
@@ -105,9 +105,10 @@ def sum_of_squares(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.nd
         change = 2 * count[: capacity - size + 1] + 1
         change[0] = 0
         taken = count[size:]
+        new = int(change[-1])
         change = np.where(taken > 0, change - 2 * taken + 1, np.iinfo(np.int64).max)
         rest = int(change.argmin())
-        if not taken[rest]:
+        if not taken[rest] or online and new < change[rest]:
             rest = capacity - size  # none fits: a new bin
         gap = rest + size
         if gap == capacity:
@@ -122,14 +123,14 @@ def sum_of_squares(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.nd
     return bins, offsets
 
 
-def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end: int = END) -> DataFrame:
-    """Pieces with sequence_id and offset."""
+def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end: int = END, online: bool = False) -> DataFrame:
+    """Pieces with sequence_id and offset. ``online``: as in ``sum_of_squares``."""
     cut = materialize(pieces(docs, path, capacity, end), "pieces")
     groups = max(1, -(-cut.count() // GROUP_ROWS))
 
     def place(key: tuple, rows: pa.Table) -> pa.Table:
         rows = rows.take(pc.sort_indices(rows, [("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")]))
-        bins, offsets = sum_of_squares(rows["length"].to_numpy(), capacity)
+        bins, offsets = sum_of_squares(rows["length"].to_numpy(), capacity, online)
         return rows.drop_columns("pack_group").append_column("sequence_id", pa.array((key[0].as_py() << 32) + bins)).append_column("offset", pa.array(offsets))
 
     # the row's number in the written table deals rows that repeat everything to all groups alike
