@@ -865,3 +865,22 @@ def test_memory_is_bounded():
 def test_pii_scores(spark):
     row = pii.pii_report(spark.createDataFrame([(1, "mail: a@b.de 10.0.0.1"), (2, "")], "doc_id long, text string")).orderBy("doc_id").collect()
     assert (row[0].spans, row[0].scores) == ("email:6:12,ip:13:21", "1.00,0.80") and (row[1].spans, row[1].scores) == ("", "")
+
+
+def test_online_sum_of_squares_against_plain():
+    """Weighing a new bin each time, as the plain rule has it."""
+    import numpy as np
+
+    rng = random.Random(18)
+    sizes = [rng.randrange(1, 33) for _ in range(250)]
+    bins, _ = packing.sum_of_squares(np.array(sizes), 32, online=True)
+    fill = {}
+    for k, size in enumerate(sizes):
+        def squares(b, size=size):
+            gaps = [32 - f for f in ({**fill, b: fill.get(b, 0) + size}).values() if f < 32]
+            return sum(gaps.count(g) ** 2 for g in set(gaps))
+
+        choices = [b for b, f in fill.items() if f < 32 and f + size <= 32] + [max(fill, default=-1) + 1]
+        assert squares(int(bins[k])) == min(map(squares, choices))
+        fill[int(bins[k])] = fill.get(int(bins[k]), 0) + size
+    assert len(set(bins.tolist())) >= len(set(packing.sum_of_squares(np.array(sorted(sizes, reverse=True)), 32)[0].tolist()))
