@@ -26,8 +26,10 @@ from pyspark.sql import types as T
 from ripplet.llm.common import partitions, small_batches, texts
 
 BUCKETS = 128
-#: Difference at which likeness is zero: unrelated texts of one language lie near it.
-BOUND = 160.0
+#: Difference up to which steps count in full: unrelated texts of one language lie near it. Beyond it they count ``BEYOND`` of that, so that what lies far off still has an order.
+KNEE, BEYOND = 160.0, 0.04
+#: The largest difference, at which likeness is zero.
+BOUND = 176.0
 _GAP = np.array([0, 1, 3, 6], dtype=np.float64)
 _CHUNK = 1 << 20
 #: Characters of a text that tell the range of rows which share a doc_id.
@@ -61,7 +63,8 @@ def difference(a: str, b: str) -> float:
     apart = _GAP[np.abs(quarters[0] - quarters[1])].sum()
     length = abs(int(x[0]) - int(y[0]))
     ratios = abs(int(x[1] >> 4) - int(y[1] >> 4)) + abs(int(x[1] & 15) - int(y[1] & 15))
-    return float(min(BOUND, apart + max(0, length - 1) + max(0, ratios - 1)))
+    total = float(apart + max(0, length - 1) + max(0, ratios - 1))
+    return min(BOUND, total if total <= KNEE else KNEE + BEYOND * (total - KNEE))
 
 
 def likeness(a: str, b: str) -> float:
