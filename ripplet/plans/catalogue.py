@@ -73,7 +73,7 @@ def _cut(rows: DataFrame, name: str) -> DataFrame:
 
 
 def _all(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    return _cut(derived.files(spark, d), "files"), _cut(derived.functions(spark, d), "functions"), derived.calls(spark, d), derived.imports(spark, d)
+    return derived.files(spark, d), _cut(derived.functions(spark, d), "functions"), derived.calls(spark, d), derived.imports(spark, d)
 
 
 def _graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -201,7 +201,7 @@ def resolve_file_target(s: SparkSession, d: str) -> DataFrame:
 
 
 def _ordered(s: SparkSession, d: str) -> DataFrame:
-    files, functions = _cut(derived.files(s, d), "files"), _cut(derived.functions(s, d), "functions")
+    files, functions = derived.files(s, d), _cut(derived.functions(s, d), "functions")
     f = build.file_vertices(files).join(files.select("filepath", F.col("file_ord").alias("row_ord")), "filepath")
     at = functions.groupBy(scalars.func_id(F.col("path_id"), F.col("name")).alias("id")).agg(F.min(F.col("file_ord") * 1000000000 + F.col("func_ord")).alias("row_ord"))
     return _cut(f.unionByName(build.function_vertices(functions, files).join(at, "id")), "vertices")
