@@ -132,6 +132,8 @@ def character_counts(docs: DataFrame) -> np.ndarray:
 _SIGNS = re.escape("".join(IMITATES) + _UNSEEN)
 #: A token in which this is found has several paths, if it has a letter.
 _MANY = re.compile(rf"[{_SIGNS}\u0300-\u036f]|(.)\1|[^\W\d_][{re.escape(SEPARATES)}][^\W\d_]", re.S)
+_RUNS = re.compile(r"(.)\1+", re.S)
+_OTHERS = re.compile(rf"[{_SIGNS}{re.escape(SEPARATES)}\u0300-\u036f\s]")
 _LATIN = re.compile(r"[a-z\u00df-\u024f]")
 #: Three or more single characters with single blanks between.
 _APART = re.compile(r"(?<!\S)\S(?:\s\S(?!\S)){2,}")
@@ -183,6 +185,9 @@ class Restorer:
             return token  # one path
         costs = self._costs
         bound = self._plain_cost(token) - DISGUISED  # what a reading must cost less than; costs only grow along a path
+        if not _OTHERS.search(token) and len(runs := _RUNS.findall(token)) == 1 and runs[0].isalpha() and token.count(runs[0] * 3) == 0:
+            once = token.replace(runs[0] * 2, runs[0])  # the one other path
+            return once if self._plain_cost(once) + REPEAT < bound else token
         paths: dict[tuple[int, int], tuple[float, str, tuple[int, int]]] = {(0, 0): (0.0, "", (0, 0))}
         parts: list[dict[tuple[int, int], tuple[str, tuple[int, int]]]] = []  # text of each path in a part, and its path before
         at = 0
