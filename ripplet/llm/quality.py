@@ -3,7 +3,7 @@
 Two zstandard dictionaries are built, one from texts labelled good and one from
 texts labelled bad. A text is compressed with each, piece by piece of ``PIECE`` bytes, so that a long text, or one that repeats itself,
 is measured against the dictionaries all the way and not against its own beginning. The difference of the
-two sizes over the length is the evidence. Text that the good dictionary does not shrink further than the bad one, as words
+two sizes, normalised by the length and by the sizes, is the evidence. Text that the good dictionary does not shrink further than the bad one, as words
 repeated over and over, has none for it, whatever the difference is. A logistic calibration, fitted on labelled texts
 that the dictionaries have not seen, turns it into a probability; the logarithm of the length stands beside it only
 because a short text has an uncertain difference.
@@ -35,6 +35,8 @@ PER_CLASS = 2000
 PIECE = 1024
 #: Bytes saved for each byte of text beyond which the evidence no longer grows.
 MOST = 0.2
+#: The same for each byte of the two sizes.
+MOST_OF_SIZES = 0.3
 DICTIONARY_BYTES = 112_640
 LEVEL = 3
 THRESHOLD = 0.3
@@ -73,7 +75,8 @@ class Classifier:
 
     def features(self, data: list[bytes]) -> np.ndarray:
         n = np.array([len(t) + 1 for t in data], dtype=float)
-        return np.c_[np.clip((self.sizes(data, 0) - self.sizes(data, 1)) / n, 0.0, MOST), np.log(n)]
+        bad, good = self.sizes(data, 0), self.sizes(data, 1)
+        return np.c_[np.clip((bad - good) / n, 0.0, MOST), np.clip((bad - good) / (bad + good + 1), 0.0, MOST_OF_SIZES), np.log(n)]
 
     def sizes(self, data: list[bytes], y: int) -> np.ndarray:
         """Bytes that the texts take under the dictionary of class ``y``."""

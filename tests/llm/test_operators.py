@@ -521,6 +521,7 @@ def test_quality_features_against_plain():
             own = zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=zstandard.ZstdCompressionDict(model.dictionaries[y][0], dict_type=model.dictionaries[y][1]), write_content_size=False, write_checksum=False, write_dict_id=False)
             sizes.append(sum(len(own.compress(data[i : i + 1024])) for i in range(0, len(data), 1024)))
         assert row[0] == pytest.approx(min(max((sizes[0] - sizes[1]) / (len(data) + 1), 0), quality.MOST))
+        assert row[1] == pytest.approx(min(max((sizes[0] - sizes[1]) / (sum(sizes) + 1), 0), quality.MOST_OF_SIZES))
     scores = model.scores(texts)
     assert min(scores[:3]) > 0.5 > max(scores[3:6])
 
