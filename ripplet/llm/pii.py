@@ -2,7 +2,8 @@
 
 Regular expressions propose candidates, left to right without overlap for each kind; checks confirm them
 (Luhn for cards, mod 97 for IBANs, ranges and digit counts for addresses and phone numbers); words in the
-``CONTEXT`` characters before a candidate, back to the candidate before it, adjust its score. What a pattern matches and a check
+``CONTEXT`` characters before a candidate, back to the candidate before it, adjust its score, and so does a word that opens brackets right
+behind it. Candidates of a list, with no letter between them, share the words before its first one. What a pattern matches and a check
 refuses is dropped without another try inside it. An IBAN ends at its country's length, so words and numbers after it are not taken in.
 
 The text between candidates and the candidates alternate, so places follow from running lengths; all work is
@@ -25,6 +26,10 @@ from pyspark.sql import functions as F
 from ripplet.llm.common import texts
 
 CONTEXT = 40
+#: Of the brackets behind a candidate.
+CONTEXT_AFTER = 24
+#: No kind's candidates are shorter, so ``CONTEXT`` characters reach over a bounded number of them.
+SHORTEST = 4
 #: Spans of the added kinds need this score.
 THRESHOLD = 0.5
 #: Candidates whose places are counted together.
@@ -76,7 +81,7 @@ class Kind:
     may: Callable[[Column], Column]  # a cheap test that texts with candidates pass
     check: Callable[[Column], Column]
     score: float  # of what the check confirms
-    words: str  # that raise the score by ``boost`` when they stand before
+    words: str  # that raise the score by ``boost`` when they stand near
     boost: float
     base: bool = True
 
@@ -104,16 +109,39 @@ KINDS = (
 )
 
 
-def _judged(kind: Kind, m: Column, before: Column) -> Column:
+def _judged(kind: Kind, x: Column) -> Column:
     """Score of a candidate; zero if its check refuses it."""
-    near = F.lower(F.right(before, F.lit(CONTEXT))).rlike(kind.words)
-    score = F.when(kind.check(m), F.lit(kind.score) + F.when(near, kind.boost).otherwise(0.0)).otherwise(0.0)
+    near = F.lower(x["near"]).rlike(kind.words) | F.lower(x["behind"]).rlike(rf"^\s*[(\[]\s*(?:{kind.words})")
+    score = F.when(kind.check(x["m"]), F.lit(kind.score) + F.when(near, kind.boost).otherwise(0.0)).otherwise(0.0)
     return score if kind.base else F.when(score >= THRESHOLD, score).otherwise(0.0)
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _alternating(kind: Kind, text: Column) -> Column:
-    """What stands before each candidate, and the candidate; the last candidate is null."""
-    return F.arrays_zip(F.split(text, kind.pattern, -1).alias("before"), F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0)).alias("m"))
+    """What stands between the candidate before and each candidate, the candidate, and its context; the last candidate is null."""
+    reach = -(-CONTEXT // SHORTEST)
+
+    def marked(cut: Column) -> Column:
+        """The end of each part with its candidate, whose characters are marks."""
+        ends = F.zip_with(cut["before"], cut["m"], lambda before, m: F.right(F.concat(before, F.repeat(F.lit("\0"), F.coalesce(F.length(m), F.lit(0)))), F.lit(CONTEXT)))
+        return F.struct(cut["before"].alias("before"), cut["m"].alias("m"), ends.alias("ends"))
+
+    def contexts(cut: Column) -> Column:
+        def one(before: Column, i: Column) -> Column:
+            earlier = F.array_join(F.slice(cut["ends"], F.greatest(i - reach, F.lit(0)) + 1, F.least(i, F.lit(reach))), "")
+            window = F.right(F.concat(earlier, F.right(before, F.lit(CONTEXT))), F.lit(CONTEXT))
+            near = F.regexp_extract(F.regexp_replace(window, r"\x00[^\p{L}]*$", ""), r"[^\x00]*$", 0)
+            behind = F.left(F.coalesce(F.get(cut["before"], i + 1), F.lit("")), F.lit(CONTEXT_AFTER))
+            return F.struct(before.alias("before"), F.get(cut["m"], i).alias("m"), near.alias("near"), behind.alias("behind"))
+
+        return F.transform(cut["before"], one)
+
+    cut = F.struct(F.split(text, kind.pattern, -1).alias("before"), F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0)).alias("m"))
+    return _bound(cut, lambda c: _bound(marked(c), contexts))
 
 
 def kind_spans(kind: Kind, number: int, text: Column) -> Column:
@@ -124,7 +152,7 @@ def kind_spans(kind: Kind, number: int, text: Column) -> Column:
     def step(state: Column, x: Column) -> Column:
         begin = state["at"] + F.length(x["before"])
         end = begin + F.coalesce(F.length(x["m"]), F.lit(0))
-        score = _judged(kind, x["m"], x["before"])
+        score = _judged(kind, x)
         own = F.struct(begin.cast("bigint").alias("start"), F.lit(number).alias("kind_no"), end.cast("bigint").alias("end"), F.lit(kind.name).alias("kind"), score.alias("score"))
         return F.struct(end.cast("bigint").alias("at"), F.when(x["m"].isNotNull() & (score > 0), F.concat(state["out"], F.array(own))).otherwise(state["out"]).alias("out"))
 
@@ -137,8 +165,7 @@ def kind_spans(kind: Kind, number: int, text: Column) -> Column:
         blocks = F.transform(numbers, lambda k: F.aggregate(F.slice(parts, k * size + 1, size), F.struct(at, none.alias("out")), step))
         return F.flatten(F.aggregate(blocks, F.struct(at, F.array().cast(f"array<array<{SPAN}>>").alias("out")), follow, lambda state: state["out"]))
 
-    found = F.transform(F.array(_alternating(kind, text)), placed)[0]  # binds the candidates, which are used in each block
-    return F.when(kind.may(text), found).otherwise(none)
+    return F.when(kind.may(text), _bound(_alternating(kind, text), placed)).otherwise(none)  # the candidates are used in each block
 
 
 def pii_spans(docs: DataFrame) -> DataFrame:
@@ -160,7 +187,7 @@ def pii_report(docs: DataFrame) -> DataFrame:
 
 def redacted(text: Column, kind: Kind) -> Column:
     """The text with this kind's spans replaced by its name in brackets."""
-    put = lambda x: F.concat(x["before"], F.when(x["m"].isNull(), F.lit("")).when(_judged(kind, x["m"], x["before"]) > 0, F.lit(f"[{kind.name.upper()}]")).otherwise(x["m"]))
+    put = lambda x: F.concat(x["before"], F.when(x["m"].isNull(), F.lit("")).when(_judged(kind, x) > 0, F.lit(f"[{kind.name.upper()}]")).otherwise(x["m"]))
     return F.when(kind.may(text), F.array_join(F.transform(_alternating(kind, text), put), "")).otherwise(text)
 
 

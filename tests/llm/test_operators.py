@@ -183,6 +183,31 @@ def test_pii_added_kinds_and_scores(spark):
     assert near > bare
 
 
+def test_pii_context_of_lists_and_brackets(spark):
+    """Candidates of a list share the words before its first one, up to 40 characters back; words in brackets count behind a candidate."""
+    number, other = "123-45-6789", "234-56-7890"
+    texts = {
+        f"SSNs: {number}, {other}; 345-67-8901": 3,
+        f"SSN {number}, part {other}": 1,
+        f"SSN {number}, 987-65-4321, {other}": 2,
+        f"{number} (SSN)": 1,
+        f"{number} [ Social  Security no.]": 1,
+        f"{number}; SSN: {other}": 1,
+        f"{number} is an SSN": 0,
+        number: 0,
+        f"SSN {'x' * 36} {number}": 0,
+        f"SSN {'x' * 35} {number}": 1,
+        f"SSN {'x' * 24} {number} {other}": 1,
+        f"SSN {'x' * 20} {number} {other}": 2,
+        "SSNs: " + f"{number} " * 400: 3,
+        f"social {number} security": 0,
+    }
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: sum(s.kind == "ssn" for s in r.spans) for r in pii.pii_spans(rows).collect()}
+    cleaned = {r.doc_id: r.text.count("[SSN]") for r in pii.redact(rows).collect()}
+    assert list(texts.values()) == [got[i] for i in range(len(texts))] == [cleaned[i] for i in range(len(texts))]
+
+
 def test_ibans_end_at_their_length(spark):
     ibans = ["DE89 3704 0044 0532 0130 00", "DE89370400440532013000", "GB82 WEST 1234 5698 7654 32", "FR1420041010050500013M02606", "NO93 8601 1117 947", "MT84 MALT 0110 0001 2345 MTLC AST0 01S"]
     rows = [x + end for x in ibans for end in (" Thanks", " Before", " B", " 2024", " 12 EUR", " " + ibans[0], "", ";", "x")]
