@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ripplet.llm import bpe, exact_dedup, fingerprint, html, packing, pii, quality, secrets, simhash, toxicity
+from ripplet.llm import bpe, chat, exact_dedup, fingerprint, html, packing, pii, quality, secrets, simhash, toxicity, whitening
 from ripplet.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,9 +54,17 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(read(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read(spark, sf_dir, "embeddings"))
+
+
+def op12_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.digests(chat.format_turns(chat.with_planted(read(spark, sf_dir, "conversations"))))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_quartile_digest, op2_exact_dedup, op3_bpe, op4_pii, op5_simhash, op6_toxicity, op7_quality, op8_packing, op9_html, op10_secrets)}
+    return {f.__name__: f for f in (op1_quartile_digest, op2_exact_dedup, op3_bpe, op4_pii, op5_simhash, op6_toxicity, op7_quality, op8_packing, op9_html, op10_secrets, op11_whitening, op12_chat)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": exact_dedup.ORACLE}
+    return {"op2_exact_dedup": exact_dedup.ORACLE, "op12_chat": chat.ORACLE}
