@@ -80,14 +80,30 @@ def classify(answers: DataFrame) -> DataFrame:
     return answers.select(clean_target(F.col("raw")).alias("target"), "raw").select("target", target_type(F.col("target")).alias("type"), "raw")
 
 
+#: A word, or one character that is none: names and questions are cut alike, so a name is found at whole words only.
+WORD = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_]"
+
+
+def _words(column: str) -> F.Column:
+    return F.regexp_extract_all(column, F.lit(WORD), F.lit(0))
+
+
 def mentioned_targets(vertices: DataFrame, questions: DataFrame) -> DataFrame:
-    """(question, raw): the longest vertex name that a question mentions as a word, the first by position on a tie; else UNKNOWN.
+    """(question, raw): the longest vertex name that a question mentions, the first by position on a tie; else UNKNOWN.
 
-    A deterministic stand-in for a language model: words of the questions join the names by key.
+    A deterministic stand-in for a language model. Names may have several words: paths, dotted names, methods. As in a trie, the first word decides where a name can
+    begin and which lengths names with that word have; what stands there is then looked up as a whole. Both steps join by key. The side of the first
+    holds a row for each word and length, not for each name, so common first words as ``src`` bring little together.
     """
-    words = questions.select("question", F.posexplode(F.regexp_extract_all("question", F.lit(r"[A-Za-z_][A-Za-z0-9_]*(?:\.py)?"), F.lit(0))).alias("pos", "name"))
-    best = words.join(vertices.select("name").distinct(), "name").groupBy("question").agg(F.max_by("name", F.struct(F.length("name"), -F.col("pos"))).alias("raw"))
-    return questions.select("question").distinct().join(best, "question", "left").select("question", F.coalesce("raw", F.lit("UNKNOWN")).alias("raw"))
+    names = vertices.select("name").where("name <> ''").distinct().select("name", _words("name").alias("w"))
+    begins = names.select(F.element_at("w", 1).alias("word"), F.size("w").alias("n")).distinct()
+    asked = questions.select("question").distinct().select(F.sha2("question", 256).alias("key"), "question")
+    words = asked.select("key", F.size(_words("question")).alias("size"), F.posexplode(_words("question")).alias("at", "word"))
+    places = words.join(begins, "word").where("at + n <= size").groupBy("key").agg(F.collect_list(F.struct("at", "n")).alias("places"))  # of one question
+    found = asked.join(places, "key").select("key", _words("question").alias("w"), "places")
+    found = found.select("key", F.explode(F.transform("places", lambda p: F.struct(p["at"].alias("at"), F.array_join(F.slice("w", p["at"] + 1, p["n"]), "").alias("name")))).alias("p")).select("key", "p.*")
+    best = found.join(names.select("name"), "name").groupBy("key").agg(F.max_by("name", F.struct(F.length("name"), -F.col("at"))).alias("raw"))
+    return asked.join(best, "key", "left").select("question", F.coalesce("raw", F.lit("UNKNOWN")).alias("raw"))
 
 
 def extract_target(vertices: DataFrame, question: str, extractor: Callable[[str], str] | None = None) -> tuple[str, str]:

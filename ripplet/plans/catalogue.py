@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -76,6 +77,12 @@ def _all(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame,
     return derived.files(spark, d), _cut(derived.functions(spark, d), "functions"), derived.calls(spark, d), derived.imports(spark, d)
 
 
+def _places(spark: SparkSession, d: str) -> DataFrame:
+    """Path, region, nation and name of each file."""
+    place = F.split("filepath", "/")
+    return derived.files(spark, d).select(F.col("filepath").alias("path"), place[0].alias("r_name"), place[1].alias("n_name"), F.regexp_replace(place[2], r"\.py$", "").alias("s_name"))
+
+
 def _graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """The part graph, and the first part that calls another."""
     graph = _cut(derived.part_graph(spark, d), "part_graph")
@@ -228,6 +235,23 @@ def mentioned_targets(s: SparkSession, d: str) -> DataFrame:
     return resolve.mentioned_targets(table(s, d, "part").select(name("p_partkey").alias("name")), asked.union(others))
 
 
+_NAMED = """, dotted as (select distinct replace(replace(path, '.py', ''), '/', '.') as d from files), names as (select r_name as name from files union select n_name from files union select r_name || '/' || n_name from files union select path from files union select d from dotted),
+asked as (select distinct 'What if ' || path || ' or ' || n_name || ' changes?' as question, path as best from files
+  union all select distinct 'Is (' || r_name || '/' || n_name || ') used by ' || r_name || '?', r_name || '/' || n_name from files
+  union all select distinct 'Change ' || d || '.', d from dotted union all select distinct 'x' || r_name || '_' || n_name || 'y ' || s_name, null from files)"""
+
+
+@query(_NAMED + " select question, coalesce(best, 'UNKNOWN') as raw from asked")
+def mentioned_paths(s: SparkSession, d: str) -> DataFrame:
+    """Names of several words, paths and dotted ones: the longest that a question holds at whole words."""
+    files = _places(s, d)
+    join = lambda *parts: F.concat(*(F.col(p) if p in files.columns else F.lit(p) for p in parts))
+    dotted = join("r_name", ".", "n_name", ".", "s_name")
+    names = reduce(DataFrame.union, (files.select(c.alias("name")) for c in (F.col("r_name"), F.col("n_name"), join("r_name", "/", "n_name"), join("path"), dotted)))
+    asked = (join("What if ", "path", " or ", "n_name", " changes?"), join("Is (", "r_name", "/", "n_name", ") used by ", "r_name", "?"), F.concat(F.lit("Change "), dotted, F.lit(".")), join("x", "r_name", "_", "n_name", "y ", "s_name"))
+    return resolve.mentioned_targets(names, reduce(DataFrame.union, (files.select(q.alias("question")) for q in asked)))
+
+
 @query(", kept as (select distinct source as src, target as dst from calls_e), walk(id, distance) as (select min(src), 0 from kept union select dst, distance + 1 from walk join kept on id = src where distance < 5) select id, min(distance) as distance from walk group by id having min(distance) >= 1")
 def affected_functions(s: SparkSession, d: str) -> DataFrame:
     """What a change of the first calling function reaches, dispatched by the type of the target."""
