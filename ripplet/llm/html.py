@@ -148,13 +148,17 @@ class _Page:
         self.heading = 0
 
     def flush(self) -> None:
-        """The text since the last block as one block: runs that inline elements set apart or hint at go alone, unless all are such."""
+        """The text since the last block as one block: runs that inline elements set apart or hint at go alone, unless all are such.
+
+        A link reaches no further than the first block with text, so one that is never closed costs no more.
+        """
         if self.runs:
             runs = [r for r in self.runs if not (r[3] or r[4])] if any(r[0].strip() and not (r[3] or r[4]) for r in self.runs) else self.runs
             words = " ".join("".join(r[0] for r in runs).split())
             if words:
                 first = next(r for r in runs if r[0].strip())
                 self.blocks.append((words, words.count(" ") + 1, sum(len(r[0].split()) for r in runs if r[1]), *first[2:], self.heading))
+                self.link = 0
             self.runs = []
 
     def put(self, text: str) -> None:

@@ -65,6 +65,11 @@ def test_links_decide_inside_articles():
     assert article(f"<h2><a href=1>Head</a></h2><p>{paragraph}</p><p><a href=2>The whole line is a link</a></p><p>{paragraph}</p>") == f"Head\n\n{paragraph}\n\nThe whole line is a link\n\n{paragraph}"
 
 
+def test_a_link_that_is_never_closed_costs_one_block_at_most():
+    for start in ("<a href=x>", "<p><a href=x>", "<div><a href=x>"):
+        assert article(f"<p>{PARA}</p>{start}A link</p>" + f"<p>{PARA}</p>" * 4).endswith("\n\n".join([PARA] * 4))
+
+
 def test_text_without_links_stays_in_articles():
     rng = np.random.default_rng(0)
     for _ in range(5_000):
