@@ -43,19 +43,30 @@ _PLACEHOLDER = re.compile(r"(?i)^(?:x+|\*+|\.+|<.*>|\$\{.*|%.*%|\{\{.*|(?:your|m
 _ASKED = re.compile(r"[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)+|https?://[^@\s]*|[a-z]+(?:[._-][a-z]+)*")
 _DECLARES = frozenset("var let const val final static".split())
 _LABELS, _VALUES = frozenset("name key id".split()), frozenset("value default content".split())
+#: What gives the name behind it its value without a sign, and calls that set one: by their own name, or by what they are told first.
+_VERBS = frozenset("set setenv setx export define putenv".split())
+_SETTER = re.compile(r"(?:.*[.\-])?(?:set|with)_?([A-Z_]\w*|[a-z]+(?:_[a-z]+)+)", re.ASCII)
+_PUTS = re.compile(r"(?i)(?:.*[.\-])?(?:set|put|add|setproperty|setenv|putenv|setitem|setattribute|setheader|addheader|define)", re.ASCII)
+#: What stands before a name whose colon begins a body.
+_BODIES = frozenset("class def if for while else elif try except with case switch lambda".split())
+#: The password of a URL.
+URL = re.compile(r"""://[^\s:/@"'<>]*+:([^\s:/@"'<>]++)@""")
+#: Each alternative gives up after what it has read once: an escaped quote outside a literal is a token, so a kind of quote without an end is looked for once on a line.
 LEX = re.compile(
-    r"""<(?P<element>[A-Za-z_][\w.-]*)[^<>]*>(?P<body>[^<>]+)</(?P=element)>"""
+    r"""<(?P<element>[A-Za-z_][\w.-]*+)[^<>]*+>(?P<body>[^<>]++)</(?P=element)>"""
+    r"""|\#[ \t]*+define[ \t]++(?P<macro>[A-Za-z_]\w*+)(?=[ \t])"""
     r"""|(?P<name>[A-Za-z_$][\w$]*(?:[.\-][\w$]+)*)"""
-    r"""|(?P<block>\"\"\"(?:[^\\]|\\.)*?\"\"\"|'''(?:[^\\]|\\.)*?''')"""
-    r"""|(?P<quoted>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\\n]|\\.)*`)"""
+    r"""|(?P<block>\"\"\"(?:[^\\"]|\\.|"(?!""))*+\"\"\"|'''(?:[^\\']|\\.|'(?!''))*+''')"""
+    r"""|(?P<quoted>"(?:[^"\\\n]|\\.)*+"|'(?:[^'\\\n]|\\.)*+'|`(?:[^`\\\n]|\\.)*+`)"""
+    r"""|\\(?P<mark>["'])(?P<escaped>[^"'\\\n]++)\\(?P=mark)"""
     r"""|(?P<number>[0-9][\w.+/=-]*)"""
-    r"""|(?P<gives>:=|=>|(?<![=!<>])=(?!=)|:(?!:))"""
+    r"""|(?P<gives>:=|=>|<-|(?<![=!<>])=(?!=)|:(?!:))"""
     r"""|(?P<joins>\+|\.\.)"""
     r"""|(?P<opens>[(\[])"""
     r"""|(?P<shuts>[)\]])"""
-    r"""|(?P<blank>\n[ \t]*(?=\n))"""
+    r"""|(?P<blank>\n[ \t]*+(?=\n))"""
     r"""|(?P<ends>[;,\n{}])"""
-    r"""|(?P<other>[^\s])""",
+    r"""|(?P<other>\\.|[^\s])""",
     re.ASCII | re.S,
 )
 
@@ -82,10 +93,13 @@ Token = tuple[str, int, int]
 class Pair:
     """A name with what its value holds: literals and other names, as (content, start, end); ``depth``: of brackets where it stands."""
 
-    __slots__ = ("also", "depth", "joined", "literals", "name", "names", "typed")
+    __slots__ = ("also", "body", "depth", "joined", "literals", "name", "names", "next_line", "others", "typed")
 
     def __init__(self, name: str, also: str | None, depth: int, typed: bool) -> None:
         self.name, self.also, self.depth, self.typed, self.joined = name, also, depth, typed, True
+        self.body = False  # whether it is a colon before a body of statements
+        self.next_line = False  # whether the value may stand in the line after the name
+        self.others: list[str] = []  # names that the values after the next commas belong to
         self.literals: list[Token] = []
         self.names: list[tuple[str, int, int, bool]] = []  # whether it stands where a bare value does
 
@@ -99,6 +113,8 @@ def pairs(text: str) -> Iterator[Pair]:
     before: list[str] = []  # names in a row up to here
     newest: Token | None = None  # the last literal or name that was put into a value
     waits: str | None = None  # the first name of a declaration
+    row: list[str] | None = []  # names with commas between them, from the beginning of a statement on; none elsewhere
+    told: dict[int, str | None] = {}  # by depth of brackets: what a call that sets something was told first
 
     def close(least: int) -> Iterator[Pair]:
         while open_ and open_[-1].depth >= least:
@@ -118,7 +134,22 @@ def pairs(text: str) -> Iterator[Pair]:
             continue
         now = open_[-1] if open_ else None
         asks = bool(brackets and brackets[-1])
+        if now and now.next_line and kind not in {"quoted", "block", "escaped", "number", "ends", "blank"}:
+            open_.pop()  # the line after it begins something else
+            yield now
+            now = open_[-1] if open_ else None
+        if kind == "macro":
+            yield from close(0)
+            open_.append(Pair(m["macro"], None, 0, False))
+            key, before, waits, newest, row, depth, brackets = None, [], None, None, None, 0, []
+            continue
         if kind == "name":
+            if len(before) == 2 and before[0].lower() in _VERBS and not now and re.search("[0-9]", own):
+                pair = Pair(before[1], None, depth, False)
+                pair.literals.append((own, m.start(), m.end()))
+                yield pair
+            if row is not None:
+                row = [*row, own] if not before else [own] if len(before) == 1 and before[0] in _DECLARES else None
             before.append(own)
             waits = before[1] if len(before) == 3 and before[0] in _DECLARES else None
             if now:
@@ -127,14 +158,23 @@ def pairs(text: str) -> Iterator[Pair]:
                 now.joined = False
             key = own
             continue
-        if kind in {"quoted", "block", "number"}:
-            edge = 3 if kind == "block" else kind == "quoted"
+        if kind in {"quoted", "block", "number", "escaped"}:
+            edge = {"block": 3, "escaped": 2, "number": 0}.get(kind, 1)
             literal = (own[edge : len(own) - edge], m.start() + edge, m.end() - edge)
+            if now and now.next_line:
+                now.next_line = False
+            if len(before) == 2 and before[0].lower() in _VERBS and not now:
+                pair = Pair(before[1], None, depth, False)
+                pair.literals.append(literal)
+                yield pair
+            if told.get(depth, "") is None:
+                told[depth] = literal[0]
             if now and (kind != "number" or now.joined) and not (asks and _ASKED.fullmatch(literal[0])):
                 newest = literal
                 now.literals.append(literal)
                 now.joined = False
-            key = literal[0] if kind == "quoted" and re.fullmatch(r"[\w.$-]+", literal[0]) else None
+            row = None
+            key = literal[0] if kind in {"quoted", "escaped"} and re.fullmatch(r"[\w.$-]+", literal[0]) else None
             before, waits = [], None
             continue
         if kind == "gives" and key is not None and not (now and now.joined and now.depth == depth):
@@ -148,7 +188,10 @@ def pairs(text: str) -> Iterator[Pair]:
                         now.names.pop()
                 yield from close(depth)
                 open_.append(Pair(key, waits, depth, own == ":"))
-            key, before, waits, newest = None, [], None, None
+                if row and len(row) > 1 and row[-1] == key and own != ":":
+                    open_[-1].name, *open_[-1].others = row
+                open_[-1].body = own == ":" and bool(_BODIES & set(before[:-1]))
+            key, before, waits, newest, row = None, [], None, None, None
             continue
         before, waits = [], None
         if kind == "joins":
@@ -158,9 +201,15 @@ def pairs(text: str) -> Iterator[Pair]:
         if kind == "opens":
             brackets.append(own == "[" and key is not None or own == "(" and bool(key) and bool(re.search(r"(?i)(?:^|[._])(?:get\w*|env\w*|lookup|fetch|read\w*|load\w*)$", key)))
             depth += 1
+            told.pop(depth, None)
             if now and own == "(" and key is None:
                 now.joined = True
-            key = None
+            if own == "(" and key is not None:
+                if setter := _SETTER.fullmatch(key):
+                    open_.append(Pair(setter[1], None, depth, False))
+                if _PUTS.fullmatch(key):
+                    told[depth] = None
+            key, row = None, None
             continue
         if kind == "shuts":
             named = key if own == "]" else None  # a subscript names what is assigned
@@ -170,17 +219,33 @@ def pairs(text: str) -> Iterator[Pair]:
                 brackets.pop()
             key = named
             continue
-        key = None
+        known, key = key, None
         if kind == "blank" or own in ";{}":
             yield from close(0)
-            depth, brackets = 0, []
+            depth, brackets, row, told = 0, [], [], {}
+        elif own == "," and now and now.depth == depth and now.others:
+            name, *others = now.others
+            yield from close(depth)
+            open_.append(Pair(name, None, depth, False))
+            open_[-1].others = others
+        elif own == "," and told.get(depth):
+            yield from close(depth)
+            open_.append(Pair(told.pop(depth), None, depth, False))
+        elif own == "\n" and now and not now.next_line and now.joined and not now.literals and not now.names and not now.body:
+            now.next_line = True
         elif kind == "ends":
             yield from close(depth)
+            if own == "\n":
+                row = []
+            elif not (row and row[-1] == known):
+                row = None
+        else:
+            row = None
     yield from close(0)
 
 
 def literal_spans(text: str) -> list[tuple[int, int, float]]:
-    """(start, end, score) of literals that reach a sensitive name."""
+    """(start, end, score) of literals that reach a sensitive name, and of passwords in URLs."""
     found: list[tuple[float, list[Token], list[int]]] = []  # sensitivity, literals, and earlier definitions, of each definition
     latest: dict[str, int] = {}
     label: str | None = None
@@ -202,7 +267,7 @@ def literal_spans(text: str) -> list[tuple[int, int, float]]:
             latest[name] = len(found)
         found.append((own, literals, used))
     reach = [own for own, _, _ in found]
-    scored: dict[Token, float] = {}
+    scored: dict[Token, float] = {(m[1], m.start(1), m.end(1)): strength(m[1]) for m in URL.finditer(text)} if "://" in text else {}
     for k in range(len(found) - 1, -1, -1):
         if reach[k] > 0:
             for other in found[k][2]:
@@ -230,7 +295,7 @@ def spans(text: str) -> list[tuple[int, int, int]]:
     extra = []
     if "-----BEGIN " in text:
         extra += [(m.start(), 4, m.end()) for m in PEM.finditer(text)]
-    if any(k in low for k in _STEMS) and any(c in text for c in "=:<"):
+    if any(k in low for k in _STEMS) and any(c in text for c in "=:<(\"'") or "://" in text and "@" in text:
         reach, furthest, most = sorted((a, b) for a, _, b in found), [], 0
         for a, b in reach:
             most = max(most, b)
