@@ -16,6 +16,7 @@ from ripplet.plans import derived
 from ripplet.plans.derived import table
 from ripplet.plans.schemas import FUNCTION, IMPORT, VERTICES
 from ripplet.sources import tables
+from ripplet.streaming import status
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -372,6 +373,27 @@ query(f"select id, name, updated_at from ({_SESSIONS}) order by updated_at desc,
 query("select event_id, user_id, event_type from (select *, lag(event_type) over (partition by user_id order by event_id) as before from events) where before is null or before <> event_type", base=False, name="status_change_points")(
     lambda s, d: registry.status_changes(table(s, d, "events").select("event_id", "user_id", "event_type"), "user_id", "event_type", "event_id")
 )
+@query("""with lines as (select user_id::varchar as key, event_id as seq, event_type as status, case when event_type = 'view' then regexp_extract(props, '[0-9]+')::bigint end as completed, case when event_type = 'view' then 100::bigint end as total,
+  case when event_type = 'error' and value > 100 then props end as error from events where value >= 1),
+ends as (select key, min(seq) as seq from lines where error is not null group by key), kept as (select l.* from lines l left join ends e using (key) where e.seq is null or l.seq <= e.seq),
+told as (select *, lag(status, 1, '') over (partition by key order by seq) as before from kept where total is null)
+select key, seq, 'progress' as kind, status, completed, total, null::varchar as error from kept where total > 0
+union all select key, seq, 'status', status, null, null, null from told where status <> before union all select key, seq, 'error', status, null, null, error from kept where error is not null""", base=False)
+def status_stream(s: SparkSession, d: str) -> DataFrame:
+    """Events as status lines of their users, some cut off in the middle; the later half comes in a second run of the stream."""
+    home = _folder(s, "status")
+    events = table(s, d, "events")
+    kind, number = F.col("event_type"), F.regexp_extract("props", "[0-9]+", 0).cast("bigint")
+    fields = (F.col("user_id").cast("string").alias("key"), F.col("event_id").alias("seq"), kind.alias("status"), F.when(kind == "view", number).alias("completed"), F.when(kind == "view", 100).alias("total"), F.when((kind == "error") & (F.col("value") > 100), F.col("props")).alias("error"))
+    line = F.to_json(F.struct(*fields))
+    lines = events.select("event_id", F.when(F.col("value") < 1, F.substring(line, 1, 12)).otherwise(line).alias("value"))
+    middle = events.agg(F.median("event_id")).first()[0]
+    for half in (lines.where(F.col("event_id") <= middle), lines.where(F.col("event_id") > middle)):
+        half.select("value").write.mode("append").text(f"{home}/in")
+        status.stream_reports(s, f"{home}/in", f"{home}/out", f"{home}/checkpoint")
+    return s.read.schema(status.REPORTS).parquet(f"{home}/out")
+
+
 def _models(s: SparkSession, d: str) -> DataFrame:
     """Parts as models; those with an a and an e in their name are coder models."""
     low = F.lower("p_name")
