@@ -7,13 +7,14 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ripplet.functions.extract import calls_of, functions_of, imports_of
 from ripplet.operators import build, load, registry, report, resolve, traverse
 from ripplet.operators.cache import ParseCache, parse_directory
 from ripplet.operators.components import materialize
 from ripplet.operators.store import Store
-from ripplet.plans.schemas import PROJECTS, SESSIONS
+from ripplet.plans.schemas import ENTRY, PROJECTS, SESSIONS
 from ripplet.plans.shipping import ship
 from ripplet.sources import tables
 
@@ -134,8 +135,8 @@ class Engine:
         nodes = [r.asDict() for r in found.orderBy("id").limit(PAGE).collect()]
         answer = Impact(question, target, kind, found, total, nodes, level, report.explanation(question, target, [n["name"] for n in nodes], writer, total))
         if session and self.sessions:
-            entry = self.spark.createDataFrame([(question, target, kind, [n["id"] for n in nodes], answer.explanation, level)], "question string, target string, target_type string, affected array<string>, explanation string, risk string")
-            self.sessions.replace(registry.add_entry(self.sessions.load(), session, entry.withColumn("timestamp", registry.now())))
+            entry = self.spark.createDataFrame([(question, target, kind, [n["id"] for n in nodes], answer.explanation, level, total)], "question string, target string, target_type string, affected array<string>, explanation string, risk string, n_affected bigint")
+            self.sessions.replace(registry.add_entry(self.sessions.load(), session, entry.withColumn("timestamp", registry.now()).select(*StructType.fromDDL(ENTRY).names)))
         return answer
 
 

@@ -7,9 +7,10 @@ from collections import deque
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.functions import udtf
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ripplet.plans.schemas import PARSED
@@ -86,3 +87,21 @@ def imports_of(parsed: DataFrame) -> DataFrame:
 
 def errors_of(parsed: DataFrame) -> DataFrame:
     return parsed.where(F.col("error").isNotNull()).select("file_ord", "filepath", "error")
+
+
+def register_functions(spark: SparkSession) -> None:
+    """Make ``functions_of(table(files))`` and ``imports_of(table(files))`` known to SQL: rows of ``SOURCE_FILES`` in, a row for each function or import out."""
+    spark.udtf.register("functions_of", udtf(_FunctionsOf, returnType="file_ord int, func_ord int, name string, start_line int, end_line int, calls array<string>, docstring string", useArrow=True))
+    spark.udtf.register("imports_of", udtf(_ImportsOf, returnType="file_ord int, imp_ord int, module string, names array<string>, line int", useArrow=True))
+
+
+class _FunctionsOf:
+    def eval(self, file: Row) -> Iterator[tuple]:
+        for at, f in enumerate(parse(file["content"], file["filepath"])["functions"]):
+            yield file["file_ord"], at, f["name"], f["start_line"], f["end_line"], f["calls"], f["docstring"]
+
+
+class _ImportsOf:
+    def eval(self, file: Row) -> Iterator[tuple]:
+        for at, i in enumerate(parse(file["content"], file["filepath"])["imports"]):
+            yield file["file_ord"], at, i["module"], i["names"], i["line"]

@@ -67,3 +67,13 @@ def settings_tier(window: F.Column) -> F.Column:
     """Settings by a model's context window: a struct of temperature, tokens for extraction and explanation, and style of the prompt."""
     row = lambda *values: F.struct(*(F.lit(v).alias(n) for v, n in zip(values, ("temperature", "max_tokens_extraction", "max_tokens_explanation", "prompt_style"), strict=True)))
     return F.when(window >= 32_000, row(0.3, 64, 1024, "detailed")).when(window >= 4_096, row(0.3, 64, 512, "standard")).otherwise(row(0.2, 32, 256, "compact"))
+
+
+def capitalised(text: Column) -> Column:
+    """The first letter in upper case, all others in lower case."""
+    return F.concat(F.upper(F.substring(text, 1, 1)), F.lower(F.substr(text, F.lit(2))))
+
+
+def share(part: Column, whole: Column) -> Column:
+    """Whole percent of ``whole`` that ``part`` is, rounded down and between 0 and 100; 0 of nothing."""
+    return F.when(whole > 0, F.least(F.lit(100), F.greatest(F.lit(0), F.floor(part * 100 / whole)))).otherwise(0).cast("int")

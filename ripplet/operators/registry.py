@@ -105,10 +105,13 @@ def save(rows: DataFrame, fresh: DataFrame) -> DataFrame:
 
 
 def transcript(sessions: DataFrame, key: str) -> DataFrame:
-    """The queries of one session, numbered from 1, with how many things each affects and the colour of its risk."""
+    """The queries of one session, numbered from 1, with how many things each affects and the colour of its risk.
+
+    Entries list the first of what they affect and count all; older ones, without the count, list all.
+    """
     each = sessions.where(F.col("id") == key).select(F.posexplode("entries").alias("at", "e"))
     colour = F.when(F.col("e.risk").isin("Low", "None"), "green").when(F.col("e.risk") == "Medium", "yellow").otherwise("red")
-    return each.select((F.col("at") + 1).alias("row"), "e.question", "e.target", F.size("e.affected").alias("n_affected"), "e.risk", colour.alias("colour"), F.split_part("e.timestamp", F.lit("T"), F.lit(1)).alias("day"))
+    return each.select((F.col("at") + 1).alias("row"), "e.question", "e.target", F.coalesce("e.n_affected", F.size("e.affected").cast("bigint")).alias("n_affected"), "e.risk", colour.alias("colour"), F.split_part("e.timestamp", F.lit("T"), F.lit(1)).alias("day"))
 
 
 def project_listing(projects: DataFrame) -> DataFrame:

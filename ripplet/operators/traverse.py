@@ -7,6 +7,8 @@ is the same as one recursive query, for graphs whose levels stay within the row
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -86,11 +88,28 @@ def affected(edges: DataFrame, start: str, target_type: str, depth: int = 5, dir
     return hop_detection(edges, start, depth, direction)
 
 
+def raw_result_ids(raw: DataFrame) -> DataFrame:
+    """The columns of ``raw`` but ``raw``, and id: the nodes of each raw JSON result, repeats included.
+
+    A result is a list of sets of nodes: ``@@affected`` where it is not empty, else ``@@reachable``. A node is a string, or an object of which the v_id, the id or
+    the name counts, or else its JSON text. Bad JSON has one row with a null id; results without nodes have none.
+    """
+    own = F.struct(*(c for c in raw.columns if c != "raw"))
+    found = raw.sparkSession.sql(
+        """with parsed as (select own, try_parse_json(raw) as v from {raw}),
+        sets as (select own, one from parsed, lateral variant_explode(v) as s(place, name, one) where v is not null),
+        chosen as (select own, coalesce(
+          case when try_variant_get(one, "$['@@affected'][0]", 'variant') is not null then try_variant_get(one, "$['@@affected']", 'variant') end, try_variant_get(one, "$['@@reachable']", 'variant')) as nodes from sets),
+        each as (select own, node, schema_of_variant(node) as kind from chosen, lateral variant_explode(nodes) as n(place, name, node)),
+        named as (select *, case when kind like 'OBJECT%' then coalesce(
+          nullif(try_variant_get(node, '$.v_id', 'string'), ''), nullif(try_variant_get(node, '$.id', 'string'), ''), nullif(try_variant_get(node, '$.name', 'string'), '')) end as said from each)
+        select own, coalesce(said, case when kind like 'OBJECT%' or kind like 'ARRAY%' then to_json(node) else try_variant_get(node, '$', 'string') end) as id from named
+        union all select own, null from parsed where v is null""",
+        raw=raw.select(own.alias("own"), "raw"),
+    )
+    return found.select("own.*", "id")
+
+
 def normalised_results(spark: SparkSession, results: list[dict]) -> DataFrame:
-    """Node ids of raw result sets: ``@@affected`` before ``@@reachable``; of objects the v_id, id or name."""
-    ids = []
-    for one in results:
-        for node in one.get("@@affected") or one.get("@@reachable") or []:
-            named = next((node[k] for k in ("v_id", "id", "name") if node.get(k)), str(node)) if isinstance(node, dict) else str(node)
-            ids.append((named,))
-    return spark.createDataFrame(ids, "id string")
+    """Node ids of raw result sets that are at hand as Python objects."""
+    return raw_result_ids(spark.createDataFrame([(0, json.dumps(results))], "answer int, raw string")).select("id")

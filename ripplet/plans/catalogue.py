@@ -10,8 +10,9 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ripplet import api
 from ripplet.functions import extract, scalars
-from ripplet.operators import build, cache, components, load, registry, report, resolve, traverse
+from ripplet.operators import build, cache, components, layout, load, registry, report, resolve, search, traverse
 from ripplet.plans import derived
 from ripplet.plans.derived import table
 from ripplet.plans.schemas import FUNCTION, IMPORT, VERTICES
@@ -116,6 +117,20 @@ for _direction in traverse.DIRECTIONS:
 query(_walk_sql("out", 5, ALL, 0), name="hop_detection_recursive_sql")(lambda s, d: traverse.hop_detection(*_graph(s, d), 5, "out", traverse.reach_sql))
 
 
+def _laid_out(s: SparkSession, d: str, direction: str, depth: int) -> DataFrame:
+    """A part with more than 100 edges on a side counts as a hub, so that there are some."""
+    graph, first = _graph(s, d)
+    laid = layout.EdgeLayout.write(graph, _folder(s, "laid"), int(s.conf.get("spark.sql.shuffle.partitions")), hub=100)
+    try:
+        return laid.reach(first, depth, direction, list(ALL))
+    finally:
+        laid.close()
+
+
+for _direction in traverse.DIRECTIONS:
+    query(_walk_sql(_direction, 5, ALL, 0), name=f"hop_laid_out_{_direction}_d5")(lambda s, d, way=_direction: _laid_out(s, d, way, 5))
+
+
 @query(_walk_sql("out", 5, ("CALLS",), 0).replace("select id, min(distance) as distance from walk group by id having min(distance) >= 0", "select distance, count(*) as n from (select id, min(distance) as distance from walk group by id) group by distance"))
 def bfs_distance_histogram(s: SparkSession, d: str) -> DataFrame:
     graph, first = _graph(s, d)
@@ -433,10 +448,24 @@ def session_transcript(s: SparkSession, d: str) -> DataFrame:
     """The first conversation as a session."""
     turns = table(s, d, "conversations")
     level = F.when(F.col("turn") % 3 == 0, "Low").when(F.col("turn") % 3 == 1, "Medium").otherwise("High")
-    entry = F.struct("turn", F.col("text").alias("question"), F.col("role").alias("target"), F.split("text", " ").alias("affected"), level.alias("risk"), F.concat(F.lit("d"), F.col("turn").cast("string"), F.lit("T1")).alias("timestamp"))
+    entry = F.struct("turn", F.col("text").alias("question"), F.col("role").alias("target"), F.split("text", " ").alias("affected"), level.alias("risk"), F.concat(F.lit("d"), F.col("turn").cast("string"), F.lit("T1")).alias("timestamp"), F.lit(None).cast("bigint").alias("n_affected"))
     sessions = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(entry)).alias("entries"))
     first = sessions.withColumn("id", F.when(F.col("conv_id") == F.lit(turns.agg(F.min("conv_id")).first()[0]), "first").otherwise("other"))
-    return registry.transcript(first, "first")
+    return registry.transcript(first, "first").withColumn("n_affected", F.col("n_affected").cast("int"))
+
+
+@query(", walk(id, distance) as (select min(source), 0 from part_graph where type = 'CALLS' union select dst, distance + 1 from walk join (select source as src, target as dst from part_graph where type = 'CALLS') on id = src where distance < 5), n as (select count(distinct id) - 1 as n from walk) select 1::int as row, 'What breaks if part_' || (select id from walk where distance = 0) || ' changes?' as question, 'part_' || (select id from walk where distance = 0) as target, n as n_affected, case when n = 0 then 'None' when n <= 2 then 'Low' when n <= 5 then 'Medium' else 'High' end as risk, case when n <= 2 then 'green' when n <= 5 then 'yellow' else 'red' end as colour from n")
+def engine_session(s: SparkSession, d: str) -> DataFrame:
+    """A graph that is loaded, a question about it that is answered and recorded, and the transcript of the session: all through the engine and its stores."""
+    home = _folder(s, "engine")
+    graph, first = _graph(s, d)
+    node = lambda c: F.concat(F.lit("func::parts.py::part_"), F.col(c).cast("string"))
+    vertices = table(s, d, "part").select(node("p_partkey").alias("id"), F.lit("Function").alias("type"), F.concat(F.lit("part_"), F.col("p_partkey").cast("string")).alias("name"), F.lit("parts.py").alias("filepath"))
+    load.load_graph(s, vertices, graph.select(node("source").alias("source"), node("target").alias("target"), "type"), f"{home}/graph")
+    engine = api.Engine(s, f"{home}/graph", f"{home}/registries")
+    session = engine.open_session("first")
+    engine.query(f"What breaks if part_{first.first().id} changes?", session=session)
+    return registry.transcript(engine.sessions.load(), session).drop("day")
 
 
 @query("select 'm' || s_suppkey as id, s_name as name, false as is_active from supplier union all select 'new', 'p / n', true", base=False)
@@ -458,6 +487,40 @@ query("select event_id, case when value < 1.5 then 'fast' when value < 5 then 'm
 query("select page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) as href from pages", base=False, name="link_extraction")(lambda s, d: table(s, d, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("href")))
 
 
+query("select event_id, upper(substr(event_type, 1, 1)) || lower(substr(event_type, 2)) as label, case when event_id % 7 > 0 then least(100, greatest(0, floor(value * 100 / (event_id % 7))))::int else 0 end as percent from events", base=False, name="progress_labels")(
+    lambda s, d: table(s, d, "events").select("event_id", scalars.capitalised(F.col("event_type")).alias("label"), scalars.share(F.col("value"), F.col("event_id") % 7).alias("percent"))
+)
+
+
+@query("""select user_id, case k when 1 then event_type when 2 then 'v' || event_id when 3 then 'i' || event_id when 4 then event_id::varchar end as id from (
+  select *, case when value < 1 then 9 when event_type = 'view' then 2 when event_type = 'click' then 3 when event_type = 'signup' then 4 else 1 end as k from events) where k < 9
+union all select user_id, null from events where value < 1""", base=False)
+def raw_results(s: SparkSession, d: str) -> DataFrame:
+    """Events as raw JSON results of several shapes; some are cut off in the middle."""
+    kind, key = F.col("event_type"), F.col("event_id").cast("string")
+    node = F.when(kind == "view", F.concat(F.lit('{"v_id": "v'), key, F.lit('", "id": "x"}'))).when(kind == "click", F.concat(F.lit('{"v_id": "", "id": "i'), key, F.lit('"}'))).when(kind == "signup", key).otherwise(F.concat(F.lit('"'), kind, F.lit('"')))
+    whole = F.concat(F.lit('[{"@@affected": [], "@@reachable": ['), node, F.lit(']}, {"other": [1]}]'))
+    return traverse.raw_result_ids(table(s, d, "events").select("user_id", F.when(F.col("value") < 1, F.substring(whole, 1, 20)).otherwise(whole).alias("raw")))
+
+
+@query(_SOURCE + "select file_ord::int as file_ord, func_ord::int as func_ord, 'part_' || part as name, n_calls::int as n_calls from placed", base=False)
+def ast_functions_sql(s: SparkSession, d: str) -> DataFrame:
+    """Extraction as a table function that SQL calls."""
+    extract.register_functions(s)
+    return s.sql("select file_ord, func_ord, name, size(calls) as n_calls from functions_of(table({files}))", files=derived.source_files(s, d))
+
+
+query("select 'an' as term, p_partkey as id, p_name as name from part where contains(lower(p_name), 'an') union all select 'G', p_partkey, p_name from part where contains(lower(p_name), 'g') union all select 'ed wi', p_partkey, p_name from part where contains(lower(p_name), 'ed wi') union all select 'GIZ', p_partkey, p_name from part where contains(lower(p_name), 'giz')", base=False, name="node_search_index")(
+    lambda s, d: _searched(s, d, ("an", "G", "ed wi", "GIZ"))
+)
+
+
+def _searched(s: SparkSession, d: str, terms: tuple[str, ...]) -> DataFrame:
+    path = _folder(s, "letters")
+    search.write_index(_parts(s, d), path)
+    return reduce(DataFrame.union, (search.search(s, path, t).select(F.lit(t).alias("term"), "id", "name") for t in terms))
+
+
 # ---- components: the operator that near duplicates share
 @query(", links as (select source as a, target as b from part_graph where type = 'CALLS' union select target, source from part_graph where type = 'CALLS'), walk(node, seen) as (select a, a from links union select b, seen from walk join links on node = a where seen < b) select distinct on (node) node, seen as component from walk order by node, seen")
 def call_components(s: SparkSession, d: str) -> DataFrame:

@@ -10,7 +10,7 @@ PARSED = f"file_ord int, filepath string, path_id string, mtime_ns bigint, size
 VERTICES = "id string, type string, name string, filepath string"
 EDGES = "source string, target string, type string"
 PROJECTS = "id string, name string, path string, created string, last_analyzed string, vertices bigint, edges bigint, files bigint"
-ENTRY = "question:string,target:string,target_type:string,affected:array<string>,explanation:string,risk:string,timestamp:string"
+ENTRY = "question:string,target:string,target_type:string,affected:array<string>,explanation:string,risk:string,timestamp:string,n_affected:bigint"
 SESSIONS = f"id string, name string, created_at string, updated_at string, entries array<struct<{ENTRY}>>"
 CAPABILITIES = "context_window:int,supports_streaming:boolean,supports_json_mode:boolean,estimated_speed:string,max_output_tokens:int"
 MODELS = (

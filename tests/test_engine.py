@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ripplet import api
 from ripplet.functions import scalars
-from ripplet.operators import cache, registry, report, resolve
+from ripplet.operators import cache, load, registry, report, resolve
 from ripplet.plans.schemas import MODELS, PROJECTS, SESSIONS, VERTICES
 from ripplet.sources import tables
 from ripplet.sources.pytree import source_files
@@ -150,7 +150,7 @@ def test_registries(spark, tmp_path):
     two = registry.register_project(one, "/app", "other", 9, 9, 9).first()
     assert (two.id, two.name, two.created, two.vertices) == (row.id, "app", row.created, 9)
     assert registry.rename(one, row.id, "n").first().name == "n" and registry.delete(one, row.id).count() == 0 and registry.lookup(one, row.id).count() == 1
-    sessions = spark.createDataFrame([("s", "n", "2024-01-01T0", "2024-01-02T0", []), ("t", "n", "x", "2024-01-03T0", [("q1", "t", "function", ["a"], "e", "Low", "now")])], SESSIONS)
+    sessions = spark.createDataFrame([("s", "n", "2024-01-01T0", "2024-01-02T0", []), ("t", "n", "x", "2024-01-03T0", [("q1", "t", "function", ["a"], "e", "Low", "now", None)])], SESSIONS)
     assert [r.id for r in registry.sessions_by_update(sessions).collect()] == ["t", "s"]
     assert [(r.n_queries, r.last_question) for r in registry.session_summaries(sessions).orderBy("id").collect()] == [(0, None), (1, "q1")]
     grown = registry.add_entry(sessions, "s", sessions.where("id = 't'").select(F.col("entries")[0].alias("e")).select("e.*"))
@@ -282,3 +282,16 @@ def test_caches_below_a_root(spark, project, tmp_path):
     for name in ("x", "y"):
         cache.parse_directory(spark, str(project), cache.ParseCache(spark, str(tmp_path / "all" / name)))
     assert cache.clear_all(spark, str(tmp_path / "all")) == 2 and cache.clear_all(spark, str(tmp_path / "all")) == 0 and cache.clear_all(spark, str(tmp_path / "none")) == 0
+
+
+def test_a_session_keeps_the_total(spark, tmp_path):
+    n = 5_000
+    vertices = spark.range(n + 1).selectExpr("concat('func::a.py::f', id) as id", "'Function' as type", "concat('f', id) as name", "'a.py' as filepath")
+    edges = spark.range(1, n + 1).selectExpr("'func::a.py::f0' as source", "concat('func::a.py::f', id) as target", "'CALLS' as type")
+    load.load_graph(spark, vertices, edges, str(tmp_path / "graph"))
+    engine = api.Engine(spark, str(tmp_path / "graph"), str(tmp_path / "registries"))
+    session = engine.open_session("s")
+    assert engine.query("change f0", session=session).total == n
+    row = registry.transcript(engine.sessions.load(), session).first()
+    assert (row.n_affected, row.risk, row.target) == (n, "High", "f0")
+    assert len(engine.sessions.load().first().entries[0].affected) == api.PAGE

@@ -76,3 +76,13 @@ def test_components(spark):
     got = {r.node: r.component for r in components.connected_components(spark.createDataFrame(edges, "src int, dst int")).collect()}
     assert got == {x: top(x) for x in parent}
     assert components.connected_components(spark.createDataFrame([], "src int, dst int")).count() == 0
+
+
+def test_raw_results_as_a_table(spark):
+    rows = [
+        (1, '[{"@@affected": ["a", {"v_id": "b"}, {"v_id": "", "id": "c"}, {"name": "d", "x": 1}, 5, true, {"z": [1]}]}, {"@@reachable": ["e", "e"]}]'),
+        (2, "{bad"), (3, None), (4, "[]"), (5, '[{"@@affected": [], "@@reachable": ["f"]}, {"@@affected": ["g"], "@@reachable": ["no"]}, {"other": []}, "text", null]'), (6, "[[]]"),
+    ]
+    raw = spark.createDataFrame([(k, t, "x") for k, t in rows], "key int, raw string, id2 string")
+    got = sorted(((r.key, r.id) for r in traverse.raw_result_ids(raw).collect()), key=repr)
+    assert got == sorted([(1, "a"), (1, "b"), (1, "c"), (1, "d"), (1, "5"), (1, "true"), (1, '{"z":[1]}'), (1, "e"), (1, "e"), (2, None), (3, None), (5, "f"), (5, "g")], key=repr)
