@@ -57,8 +57,9 @@ LOOKALIKES = {
 IMITATES |= {seen: {latin: 1.0} for latin, all_ in LOOKALIKES.items() for seen in all_}
 #: What may stand between the letters of a word.
 SEPARATES = " .-_*'~/,·•:"
-#: Costs: of a token that is disguised at all; of a separator, a blank between letters drawn apart, a repeated letter, one in a run of three, a repeated sign that stands for nothing.
-DISGUISED, DROP, CLOSE, REPEAT, RUN, SIGN_AGAIN = 3.0, 0.7, 0.3, 2.5, 0.3, 0.4
+#: Costs: of a token that is disguised at all; of a separator, a blank between letters drawn apart, a doubled letter read as one, the same in a run of three or more,
+#: each further letter of such a run, a repeated sign that stands for nothing.
+DISGUISED, DROP, CLOSE, REPEAT, SINGLE, RUN, SIGN_AGAIN = 3.0, 0.7, 0.3, 8.0, 2.5, 0.3, 0.4
 #: Cost of a blank that is one, between letters drawn apart.
 BLANK = 1.5
 #: Cost of a digit or sign that is one, in a token that is disguised elsewhere.
@@ -140,8 +141,8 @@ _APART = re.compile(r"(?<!\S)\S(?:\s\S(?!\S)){2,}")
 
 
 @lru_cache(maxsize=10_000)
-def options(seen: str, again: bool, run: bool) -> list[tuple[str, float, int]]:
-    """What a character may stand for, its cost and its class; the empty string drops it. ``again``: it stands before itself too; ``run``: in a row of three or more."""
+def options(seen: str, nth: int, run: bool) -> list[tuple[str, float, int]]:
+    """What a character may stand for, its cost and its class; the empty string drops it. ``nth``: how often it stands right before itself (0, 1, or 2 for more); ``run``: whether in a row of three or more."""
     if seen in _UNSEEN or unicodedata.combining(seen):
         return [("", 0.0, -1)]
     if seen.isspace():
@@ -149,8 +150,8 @@ def options(seen: str, again: bool, run: bool) -> list[tuple[str, float, int]]:
     out = [(seen, KEPT if _class(seen) == DIGIT else 0.0), *IMITATES.get(seen, {}).items()]
     if seen in SEPARATES:
         out.append(("", DROP))
-    elif again:
-        out.append(("", SIGN_AGAIN if not seen.isalpha() and seen not in IMITATES else RUN if run else REPEAT))
+    elif nth:
+        out.append(("", SIGN_AGAIN if not seen.isalpha() and seen not in IMITATES else RUN if nth > 1 else REPEAT if seen.isalpha() and not run else SINGLE))
     return [(c, more, _class(c) if c else -1) for c, more in out]
 
 
@@ -199,7 +200,7 @@ class Restorer:
                     paths = {key: (cost, "", key) for key, (cost, _, _) in paths.items()}
                 at += 1
                 grown: dict[tuple[int, int], tuple[float, str, tuple[int, int]]] = {}
-                choices = options(m[1], nth > 0, size > 2)
+                choices = options(m[1], min(nth, 2), size > 2)
                 for (a, b), (cost, text, come) in paths.items():
                     own = costs[a][b]
                     for c, more, k in choices:
@@ -228,7 +229,7 @@ class Restorer:
         for c in token:
             if c in _UNSEEN or c.isspace():
                 return math.inf
-            k = options(c, False, False)[0][2]
+            k = options(c, 0, False)[0][2]
             if k >= 0:
                 total += self._costs[a][b][k]
                 a, b = b, k
