@@ -57,9 +57,9 @@ LOOKALIKES = {
 IMITATES |= {seen: {latin: 1.0} for latin, all_ in LOOKALIKES.items() for seen in all_}
 #: What may stand between the letters of a word.
 SEPARATES = " .-_*'~/,·•:"
-#: Costs: of a token that is disguised at all; of a separator, a blank between letters drawn apart, a doubled letter read as one, the same in a run of three or more,
+#: Costs: of a token that is disguised at all; of a separator, a blank between letters drawn apart, the second letter of a run of three or more (a doubled letter is spelling),
 #: each further letter of such a run, a repeated sign that stands for nothing.
-DISGUISED, DROP, CLOSE, REPEAT, SINGLE, RUN, SIGN_AGAIN = 3.0, 0.7, 0.3, 8.0, 2.5, 0.3, 0.4
+DISGUISED, DROP, CLOSE, SINGLE, RUN, SIGN_AGAIN = 3.0, 0.7, 0.3, 2.5, 0.3, 0.4
 #: Cost of a blank that is one, between letters drawn apart.
 BLANK = 1.5
 #: Cost of a digit or sign that is one, in a token that is disguised elsewhere.
@@ -132,9 +132,7 @@ def character_counts(docs: DataFrame) -> np.ndarray:
 
 _SIGNS = re.escape("".join(IMITATES) + _UNSEEN)
 #: A token in which this is found has several paths, if it has a letter.
-_MANY = re.compile(rf"[{_SIGNS}\u0300-\u036f]|(.)\1|[^\W\d_][{re.escape(SEPARATES)}][^\W\d_]", re.S)
-_RUNS = re.compile(r"(.)\1+", re.S)
-_OTHERS = re.compile(rf"[{_SIGNS}{re.escape(SEPARATES)}\u0300-\u036f\s]")
+_MANY = re.compile(rf"[{_SIGNS}\u0300-\u036f]|([^\W\d_])\1\1|([\W\d_])\2|[^\W\d_][{re.escape(SEPARATES)}][^\W\d_]", re.S)
 _LATIN = re.compile(r"[a-z\u00df-\u024f]")
 #: Three or more single characters with single blanks between.
 _APART = re.compile(r"(?<!\S)\S(?:\s\S(?!\S)){2,}")
@@ -150,8 +148,8 @@ def options(seen: str, nth: int, run: bool) -> list[tuple[str, float, int]]:
     out = [(seen, KEPT if _class(seen) == DIGIT else 0.0), *IMITATES.get(seen, {}).items()]
     if seen in SEPARATES:
         out.append(("", DROP))
-    elif nth:
-        out.append(("", SIGN_AGAIN if not seen.isalpha() and seen not in IMITATES else RUN if nth > 1 else REPEAT if seen.isalpha() and not run else SINGLE))
+    elif nth and (run or not seen.isalpha() or seen in IMITATES):
+        out.append(("", SIGN_AGAIN if not seen.isalpha() and seen not in IMITATES else RUN if nth > 1 else SINGLE))
     return [(c, more, _class(c) if c else -1) for c, more in out]
 
 
@@ -186,9 +184,6 @@ class Restorer:
             return token  # one path
         costs = self._costs
         bound = self._plain_cost(token) - DISGUISED  # what a reading must cost less than; costs only grow along a path
-        if not _OTHERS.search(token) and len(runs := _RUNS.findall(token)) == 1 and runs[0].isalpha() and token.count(runs[0] * 3) == 0:
-            once = token.replace(runs[0] * 2, runs[0])  # the one other path
-            return once if self._plain_cost(once) + REPEAT < bound else token
         paths: dict[tuple[int, int], tuple[float, str, tuple[int, int]]] = {(0, 0): (0.0, "", (0, 0))}
         parts: list[dict[tuple[int, int], tuple[str, tuple[int, int]]]] = []  # text of each path in a part, and its path before
         at = 0
