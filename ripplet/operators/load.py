@@ -49,11 +49,12 @@ def load_graph(spark: SparkSession, vertices: DataFrame, edges: DataFrame, path:
     """Add to the graph at ``path`` (or replace it); returns how many rows were loaded.
 
     A load is written as one part of its own, vertices under their id and edges as a set, and only then named in a new version, so a
-    failed load leaves the last one and a small load rewrites nothing. Of rows with one id the latest load wins, within a load the later row (``row_ord``, or the
-    order of the table). More than ``MOST_PARTS`` parts are written together as one. Parts that neither this version nor the one before names are deleted.
+    failed load leaves the last one. Of rows with one id the latest load wins, within a load the later row (``row_ord``, or the
+    order of the table). Where there are more than ``MOST_PARTS`` parts the newest and the smallest are written together as one, so that half as many are left, so a small load rewrites small parts only.
+    Parts that neither this version nor the one before names are deleted. One load at a time: a second one that writes the same part fails.
     """
     now = current(spark, path)
-    version = 0 if now is None else now[0] + 1
+    version = _next_part(spark, path, -1 if now is None else now[0])
     place = F.col("row_ord").cast("bigint") if "row_ord" in vertices.columns else F.monotonically_increasing_id()
     own = map_vertex_types(vertices).select("id", "type", "name", "filepath", F.lit(version).cast("bigint").alias("load_seq"), place.alias("load_row"))
     links = allowed_edges(edges)
@@ -62,9 +63,10 @@ def load_graph(spark: SparkSession, vertices: DataFrame, edges: DataFrame, path:
     _write(latest(own), links.distinct(), path, version)
     parts = [*(now[1] if now and mode == "append" else []), version]
     if len(parts) > MOST_PARTS:
-        whole = _read(spark, path, parts)
-        version, parts = version + 1, [version + 1]
-        _write(*whole, path, version)
+        small = [version, *sorted(parts[:-1], key=lambda k: _size(spark, f"{path}/p{k}"))[: len(parts) - MOST_PARTS // 2]]
+        version += 1
+        _write(*_read(spark, path, small), path, version)
+        parts = [*(k for k in parts if k not in small), version]
     spark.createDataFrame([(version, parts)], VERSIONS).coalesce(1).write.mode("append").parquet(f"{path}/versions")
     discard(own)
     discard(links)
@@ -77,9 +79,26 @@ def latest(own: DataFrame) -> DataFrame:
     return upsert(own, "id", F.struct("load_seq", "load_row")).select("id", "type", "name", "filepath", "load_seq", "load_row")
 
 
+def _place(spark: SparkSession, path: str):  # noqa: ANN202
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
+def _size(spark: SparkSession, path: str) -> int:
+    fs, place = _place(spark, path)
+    return fs.getContentSummary(place).getLength()
+
+
+def _next_part(spark: SparkSession, path: str, version: int) -> int:
+    """A number above the newest version and above what a load that broke off has left."""
+    fs, place = _place(spark, path)
+    names = [s.getPath().getName() for s in fs.listStatus(place)] if fs.exists(place) else []
+    return max([version, *(int(n[1:]) for n in names if n[0] == "p" and n[1:].isdigit())]) + 1
+
+
 def _write(own: DataFrame, links: DataFrame, path: str, part: int) -> None:
-    own.write.mode("overwrite").parquet(f"{path}/p{part}/vertices")
-    links.write.mode("overwrite").partitionBy("type").parquet(f"{path}/p{part}/edges")
+    own.write.parquet(f"{path}/p{part}/vertices")
+    links.write.partitionBy("type").parquet(f"{path}/p{part}/edges")
 
 
 def _read(spark: SparkSession, path: str, parts: list[int]) -> tuple[DataFrame, DataFrame]:
@@ -89,8 +108,7 @@ def _read(spark: SparkSession, path: str, parts: list[int]) -> tuple[DataFrame,
 
 
 def _drop(spark: SparkSession, path: str, keep: set[int]) -> None:
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    fs = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs, place = _place(spark, path)
     for found in fs.listStatus(place):
         name = found.getPath().getName()
         if name[0] == "p" and name[1:].isdigit() and int(name[1:]) not in keep:

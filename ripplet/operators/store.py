@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 class Store:
-    """The newest whole version is the table; an older one goes once a newer is written."""
+    """The newest whole version is the table; the one before stays as well, since a table that was read from it may still be in use."""
 
     def __init__(self, spark: SparkSession, path: str, schema: str) -> None:
         self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
@@ -33,7 +33,7 @@ class Store:
         number = int(before[-1].rsplit("/v", 1)[1][:12]) + 1 if before else 0
         rows.write.parquet(f"{self.path}/v{number:012d}-{uuid.uuid4().hex[:8]}")
         fs, _ = self._fs()
-        for old in before:
+        for old in before[:-1]:
             fs.delete(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(old), True)
         return self.load()
 

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from ripplet.plans.schemas import EDGES, MODELS, PROJECTS, SESSIONS, VERTICES
 
 MAX_UPLOAD = 100 * 1024 * 1024
+#: What an archive may unpack to, in archives of its own size.
+MAX_RATIO = 20
 _CSV = {"header": True, "quote": '"', "escape": '"'}
 
 
@@ -66,13 +68,15 @@ def models(spark: SparkSession, path: str) -> DataFrame:
 
 
 def unzip(archive: str, target: str, limit: int = MAX_UPLOAD) -> str:
-    """Extract a .zip safely: bounded size, and no member outside the target."""
+    """Extract a .zip safely: bounded size, packed and unpacked, and no member outside the target."""
     if not archive.endswith(".zip"):
         raise ValueError("only .zip archives")
     if os.path.getsize(archive) > limit:
         raise ValueError("archive too large")
     root = os.path.realpath(target)
     with zipfile.ZipFile(archive) as z:
+        if sum(m.file_size for m in z.infolist()) > MAX_RATIO * limit:
+            raise ValueError("archive unpacks to too much")
         for member in z.infolist():
             if os.path.commonpath([root, os.path.realpath(os.path.join(root, member.filename))]) != root:
                 raise ValueError(f"member outside the target: {member.filename}")

@@ -295,3 +295,17 @@ def test_a_session_keeps_the_total(spark, tmp_path):
     row = registry.transcript(engine.sessions.load(), session).first()
     assert (row.n_affected, row.risk, row.target) == (n, "High", "f0")
     assert len(engine.sessions.load().first().entries[0].affected) == api.PAGE
+
+
+def test_merging_leaves_the_large_part_alone(spark, tmp_path):
+    path = tmp_path / "g"
+    none = spark.createDataFrame([], "source string, target string, type string")
+    own = lambda ids: spark.createDataFrame([(f"v{i}", "File", f"n{i}", "p") for i in ids], VERTICES)
+    load.load_graph(spark, own(range(3_000)), none, str(path))
+    for k in range(2 * load.MOST_PARTS):
+        load.load_graph(spark, own([k, 10_000 + k]), none, str(path))
+    assert (path / "p0").is_dir() and 0 in load.current(spark, str(path))[1]
+    assert load.graph(spark, str(path))[0].count() == 3_000 + 2 * load.MOST_PARTS
+    (path / "p90" / "vertices").mkdir(parents=True)  # what a load that broke off has left
+    load.load_graph(spark, own([1]), none, str(path))
+    assert load.current(spark, str(path))[0] > 90 and not (path / "p90").exists()
