@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 SCALE, SHIFT = 1024, 100_000
 #: Components that are returned at most.
 COMPONENTS = 8
-#: Tasks that merge parts, level by level.
+#: Tasks that merge parts at most, level by level.
 LEVELS = (64, 8)
 _LIMIT = 2**62
 PARTS = "part int, n bigint, sums array<decimal(38,0)>, mean array<double>, products array<double>"
@@ -104,7 +104,7 @@ def moments(rows: DataFrame, size: int, blocks: Callable[[pa.RecordBatch], tuple
 
     parts = rows.mapInArrow(collect, PARTS)
     for level in LEVELS:
-        parts = parts.repartition(level, "part").sortWithinPartitions("part").mapInArrow(merge, PARTS)
+        parts = parts.repartition(F.pmod("part", F.lit(level))).sortWithinPartitions("part").mapInArrow(merge, PARTS)  # small parts come together
     return _merged((Moments.of(r.n, r.sums, r.mean, r.products) for r in sorted(parts.collect(), key=lambda r: r.part)), size)
 
 
