@@ -14,7 +14,7 @@ def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", sorted(entry.catalogue.ORACLES))
+@pytest.mark.parametrize("name", sorted(entry.catalogue.ORACLES | entry.jobs.ORACLES))
 def test_query_against_sql(spark, small, name):
     con = duckdb.connect()
     for t in TABLES:
