@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ripplet import api
 from ripplet.functions import extract, scalars
-from ripplet.operators import build, cache, components, layout, load, registry, report, resolve, search, traverse
+from ripplet.operators import build, cache, components, layout, load, registry, report, resolve, search, target_index, traverse
 from ripplet.plans import derived
 from ripplet.plans.derived import table
 from ripplet.plans.schemas import FUNCTION, IMPORT, VERTICES
@@ -223,6 +223,27 @@ def resolve_file_target(s: SparkSession, d: str) -> DataFrame:
     return resolve.match_targets(_ordered(s, d), asked.withColumn("type", F.lit("file")))
 
 
+def _indexed(s: SparkSession, d: str, asked: DataFrame) -> DataFrame:
+    path = _folder(s, "targets")
+    target_index.write_index(_ordered(s, d), path)
+    return target_index.match_targets(s, path, asked)
+
+
+@query(ORACLES["resolve_file_target"].removeprefix(BASE))
+def resolve_file_index(s: SparkSession, d: str) -> DataFrame:
+    """The same targets, looked up in a table of all endings."""
+    path = F.col("filepath")
+    files = derived.files(s, d)
+    asked = files.select(path.alias("target")).union(files.select(F.substring_index(path, "/", -2))).union(files.select(F.right(path, F.lit(6))))
+    return _indexed(s, d, asked.withColumn("type", F.lit("file")))
+
+
+@query(ORACLES["resolve_function_target"].removeprefix(BASE))
+def resolve_function_index(s: SparkSession, d: str) -> DataFrame:
+    functions = _ordered(s, d).where("type = 'Function'")
+    return _indexed(s, d, functions.select(F.col("name").alias("target")).union(functions.select("id")).withColumn("type", F.lit("function")))
+
+
 def _ordered(s: SparkSession, d: str) -> DataFrame:
     files, functions = derived.files(s, d), _cut(derived.functions(s, d), "functions")
     f = build.file_vertices(files).join(files.select("filepath", F.col("file_ord").alias("row_ord")), "filepath")

@@ -1,7 +1,7 @@
 """A watched source tree as a stream.
 
-``pytree_watch`` is a streaming data source whose offset is a digest over the path, time and size of every Python file of the tree: as long as it stays the
-same there is no batch. A batch is the listing of the tree as it is when the batch runs; which files are new, changed or gone then follows from the parse
+``pytree_watch`` is a streaming data source with one row a batch: its offset is a digest over the path, time and size of every Python file of the tree, and as
+long as it stays the same there is no batch. A batch lists the tree as it is when the batch runs, in tasks; which files are new, changed or gone then follows from the parse
 cache. So a batch that is run again, after a failure or a restart from the checkpoint, brings graph and cache to the same state as a full parse of the tree.
 """
 
@@ -21,48 +21,41 @@ from ripplet.operators.cache import ParseCache, update
 from ripplet.operators.components import discard, materialize
 from ripplet.operators.load import load_graph
 from ripplet.plans.shipping import ship
-from ripplet.sources.discover import STAT
+from ripplet.sources.discover import stat_files
 from ripplet.sources.pytree import walk
 
-PER_PARTITION = 4096
+STATE = "digest string, files bigint"
 
 
-class _Slice(InputPartition):
-    def __init__(self, start: int, end: int) -> None:
-        self.start, self.end = start, end
+class _State(InputPartition):
+    def __init__(self, digest: str, files: int) -> None:
+        self.digest, self.files = digest, files
 
 
 class _Reader(DataSourceStreamReader):
     def __init__(self, root: str) -> None:
         self.root = os.path.abspath(root)
 
-    def _stats(self) -> Iterator[tuple]:
-        for number, path in enumerate(walk(self.root)):
-            try:
-                stat = os.stat(path)
-            except FileNotFoundError:
-                continue
-            yield number, path, path, stat.st_mtime_ns, stat.st_size
-
     def initialOffset(self) -> dict:  # noqa: N802
         return {"digest": "", "files": 0}
 
     def latestOffset(self) -> dict:  # noqa: N802
+        """The state of the tree; no list of its files is kept."""
         digest, files = hashlib.sha256(), 0
-        for _, path, _, mtime, size in self._stats():
-            digest.update(f"{path}\0{mtime}\0{size}\0".encode())
+        for path in walk(self.root):
+            try:
+                stat = os.stat(path)
+            except FileNotFoundError:
+                continue
+            digest.update(f"{path}\0{stat.st_mtime_ns}\0{stat.st_size}\0".encode())
             files += 1
         return {"digest": digest.hexdigest(), "files": files}
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
-        """Ranges of places in the scan; the last one has no end, as the tree may have grown since the offset was taken."""
-        n = max(1, -(-end["files"] // PER_PARTITION))
-        return [_Slice(k * PER_PARTITION, (k + 1) * PER_PARTITION if k + 1 < n else 2**31 - 1) for k in range(n)]
+        return [_State(end["digest"], end["files"])]
 
-    def read(self, partition: _Slice) -> Iterator[tuple]:
-        for row in self._stats():
-            if partition.start <= row[0] < partition.end:
-                yield row
+    def read(self, partition: _State) -> Iterator[tuple]:
+        yield partition.digest, partition.files
 
     def commit(self, end: dict) -> None:
         pass
@@ -76,13 +69,14 @@ class WatchedTree(DataSource):
         return "pytree_watch"
 
     def schema(self) -> str:
-        return STAT
+        return STATE
 
     def streamReader(self, schema) -> DataSourceStreamReader:  # noqa: ANN001, N802
         return _Reader(self.options["path"])
 
 
-def listings(spark: SparkSession, directory: str) -> DataFrame:
+def states(spark: SparkSession, directory: str) -> DataFrame:
+    """One row whenever the tree has changed."""
     spark.dataSource.register(WatchedTree)
     return spark.readStream.format("pytree_watch").load(directory)
 
@@ -108,9 +102,10 @@ def watch(spark: SparkSession, directory: str, cache_path: str, graph_path: str,
     ship(spark)
 
     def apply(batch: DataFrame, _: int) -> None:
-        counts = apply_listing(batch, ParseCache(batch.sparkSession, cache_path), graph_path, mode)
+        session = batch.sparkSession
+        counts = apply_listing(stat_files(session, directory), ParseCache(session, cache_path), graph_path, mode)
         if seen is not None:
             seen.append(counts)
 
-    stream = listings(spark, directory).writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
+    stream = states(spark, directory).writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
     return (stream.trigger(availableNow=True) if once else stream.trigger(processingTime=interval)).start()
