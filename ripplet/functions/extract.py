@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import ast
-from collections import deque
 from collections.abc import Iterator
+from itertools import accumulate, chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -16,27 +16,53 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from ripplet.plans.schemas import PARSED
 
 
-def _walk(tree: ast.AST) -> Iterator[ast.AST]:
-    """Level by level, so that outer definitions come before nested ones."""
-    waiting = deque([tree])
-    while waiting:
-        node = waiting.popleft()
-        waiting.extend(ast.iter_child_nodes(node))
-        yield node
+#: Fields that hold no calls, definitions or imports, and nodes without any below them.
+_PLAIN = {"arg", "asname", "attr", "ctx", "id", "kind", "lineno", "name", "names", "op", "ops", "type_comment"}
+_LEAVES = {ast.Name, ast.Constant, ast.Pass, ast.Break, ast.Continue, ast.Global, ast.Nonlocal, ast.alias}
+_FIELDS: dict[type, tuple[str, ...]] = {}
+#: Bytes of source whose functions are Python objects at a time.
+SLICE = 1 << 20
+
+
+def _visit(tree: ast.AST) -> tuple[list[str], list[tuple[int, ast.AST, int, int]], list[tuple[int, ast.AST]]]:
+    """Every node once, depth first: the names of calls, with repeats; functions with their depth and the stretch of names that is theirs; imports with their depth."""
+    called, functions, imports = [], [], []
+    stack: list[tuple] = [(tree, 0)]
+    while stack:
+        node, depth = stack.pop()
+        kind = type(node)
+        if kind is int:  # all of that function has been seen
+            functions[node] = (*functions[node], len(called))
+            continue
+        if kind is ast.Call:
+            name = node.func
+            if type(name) is ast.Name:
+                called.append(name.id)
+            elif type(name) is ast.Attribute:
+                called.append(name.attr)
+        elif kind is ast.FunctionDef or kind is ast.AsyncFunctionDef:
+            stack.append((len(functions), 0))
+            functions.append((depth, node, len(called)))
+        elif kind is ast.Import or kind is ast.ImportFrom:
+            imports.append((depth, node))
+            continue
+        fields = _FIELDS.get(kind)
+        if fields is None:
+            fields = _FIELDS[kind] = tuple(f for f in reversed(kind._fields) if f not in _PLAIN)
+        for field in fields:
+            below = getattr(node, field, None)
+            if type(below) is list:
+                for child in reversed(below):
+                    if isinstance(child, ast.AST) and type(child) not in _LEAVES:
+                        stack.append((child, depth + 1))
+            elif isinstance(below, ast.AST) and type(below) not in _LEAVES:
+                stack.append((below, depth + 1))
+    return called, functions, imports
 
 
 def called_names(root: ast.AST) -> list[str]:
     """Names of calls in visiting order, with repeats: ``f()`` and ``a.b.f()`` give f, other callees no name."""
-    out, stack = [], [root]
-    while stack:
-        node = stack.pop()
-        if isinstance(node, ast.Call):
-            if isinstance(node.func, ast.Name):
-                out.append(node.func.id)
-            elif isinstance(node.func, ast.Attribute):
-                out.append(node.func.attr)
-        stack.extend(reversed(list(ast.iter_child_nodes(node))))
-    return out
+    return _visit(root)[0]
 
 
 def parse(content: bytes, path: str) -> dict:
@@ -48,29 +74,57 @@ def parse(content: bytes, path: str) -> dict:
 
 
 def _extracted(tree: ast.AST, path: str) -> dict:
-    functions, imports = [], []
-    for node in _walk(tree):
-        match node:
-            case ast.FunctionDef() | ast.AsyncFunctionDef():
-                functions.append({"name": node.name, "filepath": path, "start_line": node.lineno, "end_line": node.end_lineno, "calls": called_names(node), "docstring": ast.get_docstring(node)})
-            case ast.Import():
-                imports += ({"module": a.name, "names": [a.asname or a.name], "filepath": path, "line": node.lineno} for a in node.names)
-            case ast.ImportFrom():
-                imports.append({"module": node.module or "", "names": [a.name for a in node.names], "filepath": path, "line": node.lineno})
+    """Level by level, so that outer definitions come before nested ones."""
+    called, defined, imported = _visit(tree)
+    level = lambda found: found[0]
+    functions = [
+        {"name": node.name, "filepath": path, "start_line": node.lineno, "end_line": node.end_lineno, "calls": called[first:last], "docstring": ast.get_docstring(node)} for _, node, first, last in sorted(defined, key=level)
+    ]
+    imports = []
+    for _, node in sorted(imported, key=level):
+        if isinstance(node, ast.Import):
+            imports += ({"module": a.name, "names": [a.asname or a.name], "filepath": path, "line": node.lineno} for a in node.names)
+        else:
+            imports.append({"module": node.module or "", "names": [a.name for a in node.names], "filepath": path, "line": node.lineno})
     return {"functions": functions, "imports": imports, "error": None}
 
 
-def parsed_files(files: DataFrame) -> DataFrame:
-    """One nested row per source file."""
+def _column(values: list, kind: pa.DataType) -> pa.Array:
+    """Python values as Arrow, lists of dicts field by field, which takes a fraction of the time of value by value."""
+    if not pa.types.is_list(kind):
+        return pa.array(values, kind)
+    ends, flat = pa.array(accumulate(map(len, values), initial=0), pa.int32()), list(chain.from_iterable(values))
+    if pa.types.is_struct(kind.value_type):
+        below = pa.StructArray.from_arrays([_column([v[f.name] for v in flat], f.type) for f in kind.value_type], fields=list(kind.value_type))
+    else:
+        below = _column(flat, kind.value_type)
+    return pa.ListArray.from_arrays(ends, below, type=kind)
 
-    schema = to_arrow_schema(T.StructType.fromDDL(PARSED))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = batch.to_pylist()
-            yield pa.RecordBatch.from_pylist([{k: r[k] for k in ("file_ord", "filepath", "path_id", "mtime_ns", "size")} | parse(r["content"], r["filepath"]) for r in rows], schema=schema)
+def _batch(rows: list[dict], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([_column([r[f.name] for r in rows], f.type) for f in schema], schema=schema)
+
+
+def _parsed_batches(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """One file is read and parsed at a time, and what was found is passed on for each ``SLICE`` of source, however many files a batch brings."""
+    for batch in batches:
+        rows, taken = [], 0
+        for at in range(batch.num_rows):
+            row = batch.slice(at, 1).to_pylist()[0]
+            content = row.pop("content")
+            rows.append({k: row[k] for k in ("file_ord", "filepath", "path_id", "mtime_ns", "size")} | parse(content, row["filepath"]))
+            taken += len(content)
+            if taken >= SLICE:
+                yield _batch(rows, schema)
+                rows, taken = [], 0
+        if rows:
+            yield _batch(rows, schema)
+
 
-    return files.mapInArrow(run, PARSED)
+def parsed_files(files: DataFrame) -> DataFrame:
+    """One nested row per source file."""
+    schema = to_arrow_schema(T.StructType.fromDDL(PARSED))
+    return files.mapInArrow(lambda batches: _parsed_batches(batches, schema), PARSED)
 
 
 def functions_of(parsed: DataFrame) -> DataFrame:

@@ -1,8 +1,13 @@
 import os
 
+import pyarrow as pa
 import pytest
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
+from ripplet.functions import extract
 from ripplet.functions.extract import parse
+from ripplet.plans.schemas import PARSED
 from ripplet.sources.pytree import source_files, walk
 
 
@@ -56,3 +61,19 @@ def test_data_source(spark, tree):
     rows = source_files(spark, str(tree)).orderBy("file_ord").collect()
     assert [os.path.relpath(r.filepath, tree) for r in rows] == ["__init__.py", "_private.py", "a.py", "z.py", "b/z.py", "b/a/q.py"]
     assert all(r.size == len(r.content) == 14 for r in rows)
+
+
+def test_a_batch_of_many_files_is_passed_on_in_parts(spark):
+    """However many files a batch brings, functions of about SLICE bytes of source are held at a time."""
+    schema = to_arrow_schema(T.StructType.fromDDL(PARSED))
+    code = b"def f():\n    g()\n" * 2_000
+    batch = pa.RecordBatch.from_pylist([{"file_ord": k, "filepath": f"{k}.py", "path_id": f"{k}.py", "mtime_ns": 0, "size": len(code), "content": code} for k in range(100)])
+    parts = [b.num_rows for b in extract._parsed_batches(iter([batch]), schema)]
+    assert sum(parts) == 100 and max(parts) <= extract.SLICE // len(code) + 1
+
+
+def test_nested_definitions_are_visited_once():
+    code = b"".join(b" " * k + b"def f%d(a=c%d()):\n" % (k, k) for k in range(60)) + b" " * 60 + b"last()\n"
+    found = parse(code, "m.py")["functions"]
+    assert [f["name"] for f in found] == [f"f{k}" for k in range(60)]
+    assert [f["calls"] for f in found] == [[f"c{i}" for i in range(k, 60)] + ["last"] for k in range(60)]
