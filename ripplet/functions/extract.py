@@ -144,9 +144,10 @@ def errors_of(parsed: DataFrame) -> DataFrame:
 
 
 def register_functions(spark: SparkSession) -> None:
-    """Make ``functions_of(table(files))`` and ``imports_of(table(files))`` known to SQL: rows of ``SOURCE_FILES`` in, a row for each function or import out."""
-    spark.udtf.register("functions_of", udtf(_FunctionsOf, returnType="file_ord int, func_ord int, name string, start_line int, end_line int, calls array<string>, docstring string", useArrow=True))
-    spark.udtf.register("imports_of", udtf(_ImportsOf, returnType="file_ord int, imp_ord int, module string, names array<string>, line int", useArrow=True))
+    """Make ``functions_of(table(files))`` and ``imports_of(table(files))`` known to SQL: rows of ``SOURCE_FILES`` in, a row for each function or import out.
+    Rows go to Python by the hundred, not as Arrow batches, which would hold what thousands of files bring."""
+    spark.udtf.register("functions_of", udtf(_FunctionsOf, returnType="file_ord int, func_ord int, name string, start_line int, end_line int, calls array<string>, docstring string", useArrow=False))
+    spark.udtf.register("imports_of", udtf(_ImportsOf, returnType="file_ord int, imp_ord int, module string, names array<string>, line int", useArrow=False))
 
 
 class _FunctionsOf:

@@ -7,7 +7,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from ripplet.functions import extract
 from ripplet.functions.extract import parse
-from ripplet.plans.schemas import PARSED
+from ripplet.plans.schemas import PARSED, SOURCE_FILES
 from ripplet.sources.pytree import source_files, walk
 
 
@@ -72,6 +72,15 @@ def test_a_batch_of_many_files_is_passed_on_in_parts(spark):
     assert sum(parts) == 100 and max(parts) <= extract.SLICE // len(code) + 1
 
 
+def test_table_functions_take_few_files_at_a_time(spark):
+    """Arrow batches bring up to 10,000 files at once."""
+    extract.register_functions(spark)
+    files = spark.createDataFrame([(0, "a.py", "a.py", 0, 1, b"def f():\n    g()\nimport x\n")], SOURCE_FILES)
+    found = spark.sql("select name, calls from functions_of(table({files}))", files=files)
+    assert [tuple(r) for r in found.collect()] == [("f", ["g"])]
+    assert "ArrowEvalPythonUDTF" not in found._jdf.queryExecution().toString()
+
+
 def test_nested_definitions_are_visited_once():
     code = b"".join(b" " * k + b"def f%d(a=c%d()):\n" % (k, k) for k in range(60)) + b" " * 60 + b"last()\n"
     found = parse(code, "m.py")["functions"]
