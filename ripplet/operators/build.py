@@ -44,29 +44,46 @@ def name_index(functions: DataFrame) -> DataFrame:
     return at.groupBy("name").agg(F.transform(listed, lambda x: x["uid"]).alias("func_ids"))
 
 
+def _targets(calls: DataFrame, functions: DataFrame) -> DataFrame:
+    """Calls with the path and the place of the first definition of that name in the same file, and anywhere.
+
+    The first one anywhere is the first of those in each file, so functions are aggregated once.
+    """
+    local = functions.groupBy("file_ord", F.col("name").alias("callee")).agg(F.min_by("path_id", "func_ord").alias("local_path"), F.min("func_ord").alias("local_ord"))
+    pos = F.struct("file_ord", F.col("local_ord").alias("func_ord"))
+    anywhere = local.groupBy("callee").agg(F.min_by("local_path", pos).alias("global_path"), F.min(pos).alias("global_pos"))
+    return calls.join(local, ["file_ord", "callee"], "left").join(anywhere, "callee", "left")
+
+
+def _with_callers(found: DataFrame, functions: DataFrame) -> DataFrame:
+    """The caller of each call; one shuffle of the functions serves to drop repeats and to join."""
+    own = functions.select("file_ord", "func_ord", func_id(F.col("path_id"), F.col("name")).alias("caller")).repartition("file_ord", "func_ord").distinct()
+    return found.join(own, ["file_ord", "func_ord"])
+
+
 def resolve_calls(calls: DataFrame, functions: DataFrame) -> DataFrame:
     """Calls with caller, local_uid, global_uid, target and the place of the target's first definition.
 
     A definition of that name in the same file comes first, then the first one anywhere.
     """
-    own = functions.select("file_ord", "func_ord", func_id(F.col("path_id"), F.col("name")).alias("caller")).distinct()
-    local = functions.groupBy("file_ord", F.col("name").alias("callee")).agg(F.min_by("path_id", "func_ord").alias("p"), F.min("func_ord").alias("o"))
-    local = local.select("file_ord", "callee", func_id(F.col("p"), F.col("callee")).alias("local_uid"), F.struct("file_ord", F.col("o").alias("func_ord")).alias("local_pos"))
-    pos = F.struct("file_ord", "func_ord")
-    anywhere = functions.groupBy(F.col("name").alias("callee")).agg(F.min_by("path_id", pos).alias("p"), F.min(pos).alias("global_pos"))
-    anywhere = anywhere.select("callee", func_id(F.col("p"), F.col("callee")).alias("global_uid"), "global_pos")
-    found = calls.join(own, ["file_ord", "func_ord"]).join(local, ["file_ord", "callee"], "left").join(anywhere, "callee", "left")
-    return found.withColumns({"target": F.coalesce("local_uid", "global_uid"), "target_pos": F.coalesce("local_pos", "global_pos")})
+    found = _with_callers(_targets(calls, functions), functions)
+    uid = lambda kind: func_id(F.col(f"{kind}_path"), F.col("callee"))
+    local_pos = F.when(F.col("local_ord").isNotNull(), F.struct("file_ord", F.col("local_ord").alias("func_ord")))
+    found = found.withColumns({"local_uid": uid("local"), "global_uid": uid("global"), "local_pos": local_pos})
+    found = found.withColumns({"target": F.coalesce("local_uid", "global_uid"), "target_pos": F.coalesce("local_pos", "global_pos")})
+    return found.drop("local_path", "local_ord", "global_path")
 
 
 def call_edges(calls: DataFrame, functions: DataFrame, mode: str = "reference") -> DataFrame:
     """``reference``: only callees defined at or before the caller, in scan order; ``complete``: later ones as well."""
-    found = resolve_calls(calls, functions).where(F.col("target").isNotNull())
-    if mode == "reference":
-        found = found.where(F.col("target_pos") <= F.struct("file_ord", "func_ord"))
-    elif mode != "complete":
+    if mode not in {"reference", "complete"}:
         raise ValueError(f"mode must be reference or complete, not {mode!r}")
-    return found.select(F.col("caller").alias("source"), "target", F.lit("CALLS").alias("type"))
+    found = _targets(calls, functions).withColumn("path", F.coalesce("local_path", "global_path")).where("path is not null")
+    if mode == "reference":  # before the callers are joined, so that what is dropped is not shuffled for them
+        here = F.col("local_ord").isNotNull()
+        found = found.where(F.when(here, F.col("local_ord") <= F.col("func_ord")).otherwise(F.col("global_pos") <= F.struct("file_ord", "func_ord")))
+    kept = _with_callers(found.select("file_ord", "func_ord", "callee", "path"), functions)
+    return kept.select(F.col("caller").alias("source"), func_id(F.col("path"), F.col("callee")).alias("target"), F.lit("CALLS").alias("type"))
 
 
 def unresolved_calls(calls: DataFrame, functions: DataFrame) -> DataFrame:
