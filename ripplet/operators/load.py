@@ -35,8 +35,9 @@ def allowed_edges(edges: DataFrame) -> DataFrame:
 
 def typed_edges(edges: DataFrame) -> DataFrame:
     """Allowed edges with the vertex types of their ends."""
-    ends = edges.sparkSession.createDataFrame([(k, *v) for k, v in EDGE_ENDS.items()], "type string, source_type string, target_type string")
-    return edges.join(F.broadcast(ends), "type")  # one row for each edge type
+    end = lambda side: F.coalesce(*(F.when(F.col("type") == k, v[side]) for k, v in EDGE_ENDS.items()))
+    others = [c for c in edges.columns if c != "type"]
+    return allowed_edges(edges).select("type", *others, end(0).alias("source_type"), end(1).alias("target_type"))
 
 
 def upsert(rows: DataFrame, key: str, order: str | F.Column) -> DataFrame:

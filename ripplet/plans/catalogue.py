@@ -376,7 +376,7 @@ query("select * from (select source, target, case when type = 'CONTAINS' and sou
     lambda s, d: load.allowed_edges(derived.part_graph(s, d).withColumn("type", F.when((F.col("type") == "CONTAINS") & (F.col("source") % 2 == 0), "OTHER").otherwise(F.col("type"))))
 )
 query("select *, case type when 'CALLS' then 'CodeFunction' else 'CodeFile' end as source_type, case type when 'IMPORTS' then 'CodeFile' else 'CodeFunction' end as target_type from edges", name="endpoint_types")(lambda s, d: load.typed_edges(_edges(s, d)))
-query("select distinct source, target, type, case type when 'CALLS' then 'CodeFunction' else 'CodeFile' end as source_type, case type when 'IMPORTS' then 'CodeFile' else 'CodeFunction' end as target_type from edges", name="edge_upsert_set")(lambda s, d: load.typed_edges(_edges(s, d)).distinct())
+query("select distinct source, target, type, case type when 'CALLS' then 'CodeFunction' else 'CodeFile' end as source_type, case type when 'IMPORTS' then 'CodeFile' else 'CodeFunction' end as target_type from edges", name="edge_upsert_set")(lambda s, d: load.typed_edges(_edges(s, d).distinct()))
 query("select id, case type when 'File' then 'CodeFile' else 'CodeFunction' end as type, name, filepath from vertices", name="vertex_type_map")(lambda s, d: load.map_vertex_types(_vertices(s, d)))
 query("select distinct name, filepath from vertices", name="vertex_attributes")(lambda s, d: load.attributes(_vertices(s, d)).distinct())
 

@@ -4,7 +4,8 @@ import re
 
 import pytest
 
-from ripplet.operators import build
+from ripplet.operators import build, load
+from ripplet.plans.schemas import EDGES
 
 
 def plan(df):
@@ -22,6 +23,13 @@ def program(spark):
     return calls, functions
 
 
+def test_typed_edges_need_no_join(spark):
+    edges = spark.createDataFrame([("a", "b", "CALLS"), ("a", "b", "OTHER"), ("a", "b", None)], EDGES)
+    typed = load.typed_edges(edges)
+    assert "Join" not in plan(typed)
+    assert [tuple(r) for r in typed.collect()] == [("CALLS", "a", "b", "CodeFunction", "CodeFunction")]
+
+
 def test_call_edges_shuffle_functions_twice(program):
     """Once by file and name, and once by place; the first definition anywhere comes from the first ones of the files."""
     for mode in ("reference", "complete"):
