@@ -19,13 +19,17 @@ DIRECTIONS = ("out", "in", "both")
 
 def steps(edges: DataFrame, direction: str, types: list[str] | None = None) -> DataFrame:
     """Distinct (src, dst) in the direction of travel; the type filter reaches the scan."""
+    return _links(edges, direction, types).distinct()
+
+
+def _links(edges: DataFrame, direction: str, types: list[str] | None = None) -> DataFrame:
     if direction not in DIRECTIONS:
         raise ValueError(f"direction must be one of {DIRECTIONS}, not {direction!r}")
     if types:
         edges = edges.where(F.col("type").isin(*types))
     out = edges.select(F.col("source").alias("src"), F.col("target").alias("dst"))
     back = out.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    return (out if direction == "out" else back if direction == "in" else out.union(back)).where("src is not null and dst is not null").distinct()
+    return (out if direction == "out" else back if direction == "in" else out.union(back)).where("src is not null and dst is not null")
 
 
 def check_depth(depth: int, api: bool = False) -> int:
@@ -35,7 +39,9 @@ def check_depth(depth: int, api: bool = False) -> int:
 
 
 def reach(links: DataFrame, start: DataFrame, depth: int) -> DataFrame:
-    """(id, distance) of all nodes within ``depth`` steps of ``start(id)``; the start has distance 0."""
+    """(id, distance) of all nodes within ``depth`` steps of ``start(id)``; the start has distance 0.
+
+    ``links`` may have repeats: each hop makes its nodes distinct, so all links need not be shuffled for that first."""
     check_depth(depth)
     links = materialize(links, "links")
     frontier = materialize(start.select("id").distinct().withColumn("distance", F.lit(0)), "frontier")
@@ -71,14 +77,19 @@ def _start(edges: DataFrame, start: str | int | DataFrame) -> DataFrame:
     return edges.sparkSession.createDataFrame([(start,)], f"id {edges.schema['source'].dataType.simpleString()}")
 
 
+def _ways(edges: DataFrame, direction: str, types: list[str], method) -> DataFrame:  # noqa: ANN001
+    """Links with repeats for ``reach``; other methods get each link once."""
+    return (_links if method is reach else steps)(edges, direction, types)
+
+
 def impact_analysis(edges: DataFrame, start, max_depth: int = 5, direction: str = "out", method=reach) -> DataFrame:  # noqa: ANN001
     """Functions that a change of ``start`` reaches over CALLS edges; the start itself is not among them."""
-    return method(steps(edges, direction, ["CALLS"]), _start(edges, start), max_depth).where("distance >= 1")
+    return method(_ways(edges, direction, ["CALLS"], method), _start(edges, start), max_depth).where("distance >= 1")
 
 
 def hop_detection(edges: DataFrame, start, num_hops: int = 2, direction: str = "out", method=reach) -> DataFrame:  # noqa: ANN001
     """All nodes within ``num_hops`` over any known edge type, the start included."""
-    return method(steps(edges, direction, ["CALLS", "IMPORTS", "CONTAINS"]), _start(edges, start), num_hops)
+    return method(_ways(edges, direction, ["CALLS", "IMPORTS", "CONTAINS"], method), _start(edges, start), num_hops)
 
 
 def affected(edges: DataFrame, start: str, target_type: str, depth: int = 5, direction: str = "out") -> DataFrame:

@@ -292,7 +292,7 @@ def mentioned_paths(s: SparkSession, d: str) -> DataFrame:
 @query(", kept as (select distinct source as src, target as dst from calls_e), walk(id, distance) as (select min(src), 0 from kept union select dst, distance + 1 from walk join kept on id = src where distance < 5) select id, min(distance) as distance from walk group by id having min(distance) >= 1")
 def affected_functions(s: SparkSession, d: str) -> DataFrame:
     """What a change of the first calling function reaches, dispatched by the type of the target."""
-    calls = _cut(build.call_edges(derived.calls(s, d), _cut(derived.functions(s, d), "functions")).distinct(), "calls")
+    calls = _cut(build.call_edges(derived.calls(s, d), _cut(derived.functions(s, d), "functions")), "calls")
     return traverse.affected(calls, calls.agg(F.min("source").alias("id")), "function", 5)
 
 

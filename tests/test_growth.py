@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-from ripplet.operators import build, load
+from ripplet.operators import build, load, traverse
 from ripplet.plans.schemas import EDGES
 
 
@@ -41,3 +41,11 @@ def test_dropped_calls_are_dropped_before_callers_are_joined(program):
     text = program[0].sparkSession._jvm.PythonSQLUtils.explainString(build.call_edges(*program)._jdf.queryExecution(), "simple")
     join, found = text.index("Join [file_ord"), text.index("CASE WHEN isnotnull(local_ord")
     assert join < found  # plans are written from the top, so what is below comes first
+
+
+def test_links_are_not_made_distinct_for_hops(spark):
+    edges = spark.createDataFrame([("a", "b", "CALLS")] * 3 + [("b", "c", "CALLS")], EDGES)
+    for way in traverse.DIRECTIONS:
+        assert "Aggregate" not in plan(traverse._ways(edges, way, ["CALLS"], traverse.reach))
+    assert sorted(tuple(r) for r in traverse.hop_detection(edges, "a", 2).collect()) == [("a", 0), ("b", 1), ("c", 2)]
+    assert "Aggregate" in plan(traverse._ways(edges, "out", ["CALLS"], traverse.reach_sql))
