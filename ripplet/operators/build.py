@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 
 from ripplet.functions.scalars import base_name, file_id, func_id
 
+#: Files whose functions of one name are sorted together.
+STRETCH = 256
+
 
 def file_vertices(files: DataFrame) -> DataFrame:
     own = files.select(file_id(F.col("path_id")).alias("id"), "file_ord", "filepath")
@@ -38,10 +41,15 @@ def contains_edges(functions: DataFrame) -> DataFrame:
 
 
 def name_index(functions: DataFrame) -> DataFrame:
-    """Name to all its function ids in scan order."""
+    """Name to all its function ids in scan order.
+
+    Ids are listed for each stretch of ``STRETCH`` files first, so places are sorted in small groups and a task holds only the ids themselves of a common name.
+    """
     at = functions.groupBy("name", "path_id").agg(F.min(F.struct("file_ord", "func_ord")).alias("pos"))
     listed = F.sort_array(F.collect_list(F.struct("pos", func_id(F.col("path_id"), F.col("name")).alias("uid"))))
-    return at.groupBy("name").agg(F.transform(listed, lambda x: x["uid"]).alias("func_ids"))
+    parts = at.groupBy("name", F.floor(F.col("pos.file_ord") / STRETCH).alias("at")).agg(F.transform(listed, lambda x: x["uid"]).alias("ids"))
+    in_order = F.sort_array(F.collect_list(F.struct("at", "ids")))
+    return parts.groupBy("name").agg(F.flatten(F.transform(in_order, lambda x: x["ids"])).alias("func_ids"))
 
 
 def _targets(calls: DataFrame, functions: DataFrame) -> DataFrame:

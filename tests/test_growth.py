@@ -49,3 +49,11 @@ def test_links_are_not_made_distinct_for_hops(spark):
         assert "Aggregate" not in plan(traverse._ways(edges, way, ["CALLS"], traverse.reach))
     assert sorted(tuple(r) for r in traverse.hop_detection(edges, "a", 2).collect()) == [("a", 0), ("b", 1), ("c", 2)]
     assert "Aggregate" in plan(traverse._ways(edges, "out", ["CALLS"], traverse.reach_sql))
+
+
+def test_names_are_listed_by_stretches_of_files(program):
+    index = build.name_index(program[1])
+    assert plan(index).count("collect_list") > 2  # more than one level of lists
+    for r in index.collect():
+        own = sorted({(k % 600, k) for k in range(2_000) if f"f{k % 3}" == r.name})
+        assert r.func_ids == list(dict.fromkeys(f"func::{file}.py::{r.name}" for file, _ in own))
