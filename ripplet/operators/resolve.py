@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ripplet.functions.scalars import clean_target, target_type
+from ripplet.operators.components import materialize
 from ripplet.sources.tables import vertices_csv
 
 
@@ -93,13 +94,16 @@ def mentioned_targets(vertices: DataFrame, questions: DataFrame) -> DataFrame:
 
     A deterministic stand-in for a language model. Names may have several words: paths, dotted names, methods. As in a trie, the first word decides where a name can
     begin and which lengths names with that word have; what stands there is then looked up as a whole. Both steps join by key. The side of the first
-    holds a row for each word and length, not for each name, so common first words as ``src`` bring little together.
+    holds a row for each word and length, not for each name, so common first words as ``src`` bring little together. Questions are written with a number each, so words
+    carry that and not a digest; the signs and blanks that begin a name are few, so those of the questions are not shuffled.
     """
     names = vertices.select("name").where("name <> ''").distinct().select("name", _words("name").alias("w"))
     begins = names.select(F.element_at("w", 1).alias("word"), F.size("w").alias("n")).distinct()
-    asked = questions.select("question").distinct().select(F.sha2("question", 256).alias("key"), "question")
+    asked = materialize(questions.select("question").distinct().select(F.monotonically_increasing_id().alias("key"), "question"), "asked")
     words = asked.select("key", F.size(_words("question")).alias("size"), F.posexplode(_words("question")).alias("at", "word"))
-    places = words.join(begins, "word").where("at + n <= size").groupBy("key").agg(F.collect_list(F.struct("at", "n")).alias("places"))  # of one question
+    whole = F.col("word").rlike(r"^[\p{L}\p{N}_]")
+    met = words.where(whole).join(begins.where(whole), "word").unionByName(words.where(~whole).join(F.broadcast(begins.where(~whole)), "word"))
+    places = met.where("at + n <= size").groupBy("key").agg(F.collect_list(F.struct("at", "n")).alias("places"))  # of one question
     found = asked.join(places, "key").select("key", _words("question").alias("w"), "places")
     found = found.select("key", F.explode(F.transform("places", lambda p: F.struct(p["at"].alias("at"), F.array_join(F.slice("w", p["at"] + 1, p["n"]), "").alias("name")))).alias("p")).select("key", "p.*")
     best = found.join(names.select("name"), "name").groupBy("key").agg(F.max_by("name", F.struct(F.length("name"), -F.col("at"))).alias("raw"))

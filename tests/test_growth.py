@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-from ripplet.operators import build, load, traverse
+from ripplet.operators import build, load, resolve, traverse
 from ripplet.plans.schemas import EDGES
 
 
@@ -57,3 +57,12 @@ def test_names_are_listed_by_stretches_of_files(program):
     for r in index.collect():
         own = sorted({(k % 600, k) for k in range(2_000) if f"f{k % 3}" == r.name})
         assert r.func_ids == list(dict.fromkeys(f"func::{file}.py::{r.name}" for file, _ in own))
+
+
+def test_words_of_questions_carry_no_digest(spark):
+    vertices = spark.createDataFrame([("/etc/x",), (".hidden",), ("login",), ("é",)], "name string")
+    asked = spark.createDataFrame([("what of /etc/x?",), ("is .hidden used",), ("login, login",), ("é",), ("",), (None,), ("x/etc/y",)], "question string")
+    found = resolve.mentioned_targets(vertices, asked)
+    assert "sha2" not in plan(found)
+    got = {r.question: r.raw for r in found.collect()}
+    assert got == {"what of /etc/x?": "/etc/x", "is .hidden used": ".hidden", "login, login": "login", "é": "é", "": "UNKNOWN", None: "UNKNOWN", "x/etc/y": "UNKNOWN"}
