@@ -53,7 +53,7 @@ class _Changes(StatefulProcessor):
         self.last = handle.getValueState("last", _STATE)
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: ANN001, N802, N803
-        at, status, ended = self.last.get() if self.last.exists() else (-(2**63), "", False)
+        at, status, ended = self.last.get() or (-(2**63), "", False)  # None at first; each call is a round trip to the state
         if not ended:
             found, status, at, ended = reports_of(sorted(rows, key=lambda r: r.seq), status, at)  # of one key in one micro-batch
             self.last.update((at, status, ended))

@@ -6,6 +6,7 @@ import pytest
 
 from ripplet.operators import build, load, resolve, traverse
 from ripplet.plans.schemas import EDGES
+from ripplet.streaming import status
 
 
 def plan(df):
@@ -66,3 +67,31 @@ def test_words_of_questions_carry_no_digest(spark):
     assert "sha2" not in plan(found)
     got = {r.question: r.raw for r in found.collect()}
     assert got == {"what of /etc/x?": "/etc/x", "is .hidden used": ".hidden", "login, login": "login", "é": "é", "": "UNKNOWN", None: "UNKNOWN", "x/etc/y": "UNKNOWN"}
+
+
+class _State:
+    def __init__(self):
+        self.value, self.asked = None, 0
+
+    def get(self):
+        self.asked += 1
+        return self.value
+
+    def exists(self):
+        self.asked += 1
+        return self.value is not None
+
+    def update(self, value):
+        self.asked += 1
+        self.value = value
+
+
+def test_a_key_costs_two_round_trips_to_its_state():
+    from pyspark.sql import Row
+
+    changes = status._Changes()
+    changes.last = _State()
+    line = Row("key", "seq", "status", "completed", "total", "error")
+    for seq in (1, 2):
+        found = [tuple(r) for r in changes.handleInputRows(("k",), iter([line("k", seq, "on", None, None, None)]), None)]
+        assert len(found) == (seq == 1) and changes.last.asked == 2 * seq
