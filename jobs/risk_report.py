@@ -44,7 +44,7 @@ def run(spark: SparkSession, sources: str, out: str, mode: str = "complete") ->
     ship(spark)
     parsed = materialize(extract.parsed_files(spark.read.schema(SOURCE_FILES).parquet(sources)), "parsed")
     known = parsed.select("file_ord", "filepath", "path_id")
-    functions = extract.functions_of(parsed)
+    functions = materialize(extract.functions_of(parsed).select("file_ord", "func_ord", "path_id", "name"), "functions")  # read many times, without bodies
     edges = materialize(build.edges(known, functions, extract.calls_of(parsed), extract.imports_of(parsed), mode).distinct(), "edges")
     vertices = build.vertices(known, functions).join(dependents(edges), "id", "left").na.fill(0, ["n_dependents"])
     numbers = {"files_read": parsed.count()}  # a row for each file; counts read no columns
@@ -53,8 +53,8 @@ def run(spark: SparkSession, sources: str, out: str, mode: str = "complete") ->
             rows = rows.repartition(*by, F.pmod(F.xxhash64("id" if name == "vertices" else "source"), F.lit(64)))  # few files a partition, a big one dealt to many tasks
         rows.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(*by).parquet(f"{out}/{name}")
         numbers[f"{name}_written"] = spark.read.schema(rows.schema).parquet(f"{out}/{name}").count()
-    discard(edges)
-    discard(parsed)
+    for table in (edges, functions, parsed):
+        discard(table)
     log.info("%s read %s: %s files; wrote %s: %s", NAME, sources, numbers["files_read"], out, numbers)
     return numbers
 

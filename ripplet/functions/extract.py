@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ast
+import gc
 from collections.abc import Iterator
 from itertools import accumulate, chain
 
@@ -67,10 +68,15 @@ def called_names(root: ast.AST) -> list[str]:
 
 def parse(content: bytes, path: str) -> dict:
     """functions, imports and error of one file. Undecodable bytes are dropped; source that can't be parsed, or nests too deep for it, leaves the lists empty."""
+    collecting = gc.isenabled()
+    gc.disable()  # a tree is many objects and no cycles, and goes with this call
     try:
         return _extracted(ast.parse(content.decode("utf-8", "ignore"), filename=path), path)
     except (SyntaxError, ValueError, RecursionError, MemoryError) as e:
         return {"functions": [], "imports": [], "error": "SyntaxError" if isinstance(e, SyntaxError) else type(e).__name__}
+    finally:
+        if collecting:
+            gc.enable()
 
 
 def _extracted(tree: ast.AST, path: str) -> dict:

@@ -1,3 +1,4 @@
+import gc
 import os
 
 import pyarrow as pa
@@ -86,3 +87,14 @@ def test_nested_definitions_are_visited_once():
     found = parse(code, "m.py")["functions"]
     assert [f["name"] for f in found] == [f"f{k}" for k in range(60)]
     assert [f["calls"] for f in found] == [[f"c{i}" for i in range(k, 60)] + ["last"] for k in range(60)]
+
+
+def test_parsing_is_not_interrupted_by_collections(monkeypatch):
+    """Collections look through the growing tree again and again; they are on again afterwards, also after an error."""
+    seen = []
+    real = extract._extracted
+    monkeypatch.setattr(extract, "_extracted", lambda *a: seen.append(gc.isenabled()) or real(*a))
+    for code in (b"def f(): pass\n", b"def f(:\n"):
+        extract.parse(code, "m.py")
+        assert gc.isenabled()
+    assert seen == [False]
