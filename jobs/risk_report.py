@@ -34,27 +34,31 @@ REQUIRED = ("sources", "out")
 
 
 def dependents(edges: DataFrame) -> DataFrame:
-    """(id, n_dependents) of what others call or import."""
-    uses = edges.where(F.col("type").isin("CALLS", "IMPORTS") & (F.col("source") != F.col("target"))).select("source", "target").distinct()
+    """(id, n_dependents) of what others call or import; ``edges`` are distinct, and no two types have the same ends."""
+    uses = edges.where(F.col("type").isin("CALLS", "IMPORTS") & (F.col("source") != F.col("target")))
     return uses.groupBy(F.col("target").alias("id")).agg(F.count("*").alias("n_dependents"))
 
 
 def run(spark: SparkSession, sources: str, out: str, mode: str = "complete") -> dict[str, int]:
-    """``sources``: Parquet with the columns of ``SOURCE_FILES``; ``mode``: of the call edges. Returns what was read and written."""
+    """``sources``: Parquet with the columns of ``SOURCE_FILES``; ``mode``: of the call edges. Returns what was read and written.
+
+    Rows are written by the tasks that make them: joins deal them evenly, and a shuffle for the sake of fewer files would be one more of everything.
+    """
     ship(spark)
-    parsed = materialize(extract.parsed_files(spark.read.schema(SOURCE_FILES).parquet(sources)), "parsed")
-    known = parsed.select("file_ord", "filepath", "path_id")
-    functions = materialize(extract.functions_of(parsed).select("file_ord", "func_ord", "path_id", "name"), "functions")  # read many times, without bodies
-    edges = materialize(build.edges(known, functions, extract.calls_of(parsed), extract.imports_of(parsed), mode).distinct(), "edges")
-    vertices = build.vertices(known, functions).join(dependents(edges), "id", "left").na.fill(0, ["n_dependents"])
-    numbers = {"files_read": parsed.count()}  # a row for each file; counts read no columns
-    for name, rows, by in (("vertices", report.risk_levels(vertices, "n_dependents"), ["type", "risk"]), ("edges", edges, ["type"]), ("errors", extract.errors_of(parsed), [])):
-        if by:
-            rows = rows.repartition(*by, F.pmod(F.xxhash64("id" if name == "vertices" else "source"), F.lit(64)))  # few files a partition, a big one dealt to many tasks
+    links = materialize(extract.links_of(spark.read.schema(SOURCE_FILES).parquet(sources), mode), "links", "kind")
+    numbers = {"files_read": links.where("kind = 'file'").count()}
+
+    def write(name: str, rows: DataFrame, *by: str) -> DataFrame:
         rows.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(*by).parquet(f"{out}/{name}")
-        numbers[f"{name}_written"] = spark.read.schema(rows.schema).parquet(f"{out}/{name}").count()
-    for table in (edges, functions, parsed):
-        discard(table)
+        written = spark.read.schema(rows.schema).parquet(f"{out}/{name}")
+        numbers[f"{name}_written"] = written.count()
+        return written
+
+    vertices, edges = build.graph_of_links(links, mode)
+    used = dependents(write("edges", edges, "type"))
+    write("vertices", report.risk_levels(vertices.join(used, "id", "left").na.fill(0, ["n_dependents"]), "n_dependents"), "type", "risk")
+    write("errors", links.where("kind = 'error'").select("file_ord", "filepath", F.col("other").alias("error")))
+    discard(links)
     log.info("%s read %s: %s files; wrote %s: %s", NAME, sources, numbers["files_read"], out, numbers)
     return numbers
 

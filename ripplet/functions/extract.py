@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import ast
 import gc
-from collections.abc import Iterator
-from itertools import accumulate, chain
+from collections.abc import Callable, Iterator
+from itertools import accumulate, chain, repeat
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import udtf
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ripplet.plans.schemas import PARSED
+from ripplet.plans.schemas import LINKS, PARSED
 
 
 #: Fields that hold no calls, definitions or imports, and nodes without any below them.
@@ -23,6 +23,8 @@ _LEAVES = {ast.Name, ast.Constant, ast.Pass, ast.Break, ast.Continue, ast.Global
 _FIELDS: dict[type, tuple[str, ...]] = {}
 #: Bytes of source whose functions are Python objects at a time.
 SLICE = 1 << 20
+#: Files that a task parses at most, and at least if there are too few for all cores.
+MOST, LEAST = 1024, 16
 
 
 def _visit(tree: ast.AST) -> tuple[list[str], list[tuple[int, ast.AST, int, int]], list[tuple[int, ast.AST]]]:
@@ -32,6 +34,11 @@ def _visit(tree: ast.AST) -> tuple[list[str], list[tuple[int, ast.AST, int, int]
     while stack:
         node, depth = stack.pop()
         kind = type(node)
+        if kind is ast.Expr:  # most statements; what is below it is next anyway
+            node, depth = node.value, depth + 1
+            kind = type(node)
+            if kind in _LEAVES:
+                continue
         if kind is int:  # all of that function has been seen
             functions[node] = (*functions[node], len(called))
             continue
@@ -50,14 +57,17 @@ def _visit(tree: ast.AST) -> tuple[list[str], list[tuple[int, ast.AST, int, int]
         fields = _FIELDS.get(kind)
         if fields is None:
             fields = _FIELDS[kind] = tuple(f for f in reversed(kind._fields) if f not in _PLAIN)
+        depth += 1
         for field in fields:
             below = getattr(node, field, None)
+            if not below:
+                continue
             if type(below) is list:
                 for child in reversed(below):
-                    if isinstance(child, ast.AST) and type(child) not in _LEAVES:
-                        stack.append((child, depth + 1))
-            elif isinstance(below, ast.AST) and type(below) not in _LEAVES:
-                stack.append((below, depth + 1))
+                    if type(child) not in _LEAVES and isinstance(child, ast.AST):
+                        stack.append((child, depth))
+            elif type(below) not in _LEAVES and isinstance(below, ast.AST):
+                stack.append((below, depth))
     return called, functions, imports
 
 
@@ -68,12 +78,18 @@ def called_names(root: ast.AST) -> list[str]:
 
 def parse(content: bytes, path: str) -> dict:
     """functions, imports and error of one file. Undecodable bytes are dropped; source that can't be parsed, or nests too deep for it, leaves the lists empty."""
+    found, error = _read(content, path, _extracted)
+    return {**(found or {"functions": [], "imports": []}), "error": error}
+
+
+def _read(content: bytes, path: str, take: Callable[[ast.AST, str], dict]) -> tuple[dict | None, str | None]:
+    """What ``take`` finds in the tree, or an error."""
     collecting = gc.isenabled()
     gc.disable()  # a tree is many objects and no cycles, and goes with this call
     try:
-        return _extracted(ast.parse(content.decode("utf-8", "ignore"), filename=path), path)
+        return take(ast.parse(content.decode("utf-8", "ignore"), filename=path), path), None
     except (SyntaxError, ValueError, RecursionError, MemoryError) as e:
-        return {"functions": [], "imports": [], "error": "SyntaxError" if isinstance(e, SyntaxError) else type(e).__name__}
+        return None, "SyntaxError" if isinstance(e, SyntaxError) else type(e).__name__
     finally:
         if collecting:
             gc.enable()
@@ -92,7 +108,7 @@ def _extracted(tree: ast.AST, path: str) -> dict:
             imports += ({"module": a.name, "names": [a.asname or a.name], "filepath": path, "line": node.lineno} for a in node.names)
         else:
             imports.append({"module": node.module or "", "names": [a.name for a in node.names], "filepath": path, "line": node.lineno})
-    return {"functions": functions, "imports": imports, "error": None}
+    return {"functions": functions, "imports": imports}
 
 
 def _column(values: list, kind: pa.DataType) -> pa.Array:
@@ -133,6 +149,70 @@ def parsed_files(files: DataFrame) -> DataFrame:
     return files.mapInArrow(lambda batches: _parsed_batches(batches, schema), PARSED)
 
 
+def _linked(tree: ast.AST, mode: str) -> dict[str, list[tuple]]:
+    """(func_ord, name, other) by kind: each name with its first definition, each call of a name by a name once, each imported module.
+
+    Calls of a name that the file defines are resolved by that, so they need no join; of others ``func_ord`` is the last caller's.
+    """
+    called, defined, imported = _visit(tree)
+    defined.sort(key=lambda found: found[0])
+    first: dict[str, int] = {}
+    for at, (_, node, _, _) in enumerate(defined):
+        first.setdefault(node.name, at)
+    here, elsewhere = {}, {}
+    for at, (_, node, begin, end) in enumerate(defined):
+        for callee in called[begin:end]:
+            place = first.get(callee)
+            if place is None:
+                elsewhere[node.name, callee] = at
+            elif mode == "complete" or place <= at:
+                here[node.name, callee] = at
+    modules = {m: None for _, node in imported for m in ([a.name for a in node.names] if isinstance(node, ast.Import) else [node.module or ""])}
+    return {
+        "function": [(at, name, None) for name, at in first.items()],
+        "here": [(at, *names) for names, at in here.items()],
+        "elsewhere": [(at, *names) for names, at in elsewhere.items()],
+        "import": [(None, None, m) for m in modules],
+    }
+
+
+def _link_batches(batches: Iterator[pa.RecordBatch], mode: str, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """As ``_parsed_batches``, a batch for each kind."""
+    for batch in batches:
+        files, found, taken = [], {}, 0
+        for at in range(batch.num_rows):
+            row = batch.slice(at, 1).to_pylist()[0]
+            links, error = _read(row["content"], row["filepath"], lambda tree, _: _linked(tree, mode))
+            for kind, rows in {"file": [(None, None, None)], "error": [(None, None, error)] if error else [], **(links or {})}.items():
+                mine = found.setdefault(kind, ([], []))
+                mine[0].extend(repeat(len(files), len(rows)))
+                mine[1].extend(rows)
+            files.append((row["file_ord"], row["filepath"], row["path_id"]))
+            taken += len(row["content"])
+            if taken >= SLICE or at == batch.num_rows - 1:
+                yield from _kinds(files, found, schema)
+                files, found, taken = [], {}, 0
+
+
+def _kinds(files: list[tuple], found: dict[str, tuple[list[int], list[tuple]]], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    of_files = [pa.array(values, schema.field(name).type) for name, values in zip(("file_ord", "filepath", "path_id"), zip(*files, strict=True), strict=True)]
+    for kind, (places, rows) in found.items():
+        if rows:
+            at = pa.array(places, pa.int64())
+            own = [pa.array(values, schema.field(name).type) for name, values in zip(("func_ord", "name", "other"), zip(*rows, strict=True), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(kind, schema.field("kind").type), len(rows)), *(column.take(at) for column in of_files), *own], schema=schema)
+
+
+def links_of(files: DataFrame, mode: str = "reference") -> DataFrame:
+    """What each file holds as flat rows of ``LINKS``. Files are dealt evenly, however few parts their table has."""
+    if mode not in {"reference", "complete"}:
+        raise ValueError(f"mode must be reference or complete, not {mode!r}")
+    schema = to_arrow_schema(T.StructType.fromDDL(LINKS))
+    n = files.count()  # reads no columns
+    tasks = max(1, min(n // LEAST, max(3 * files.sparkSession.sparkContext.defaultParallelism, n // MOST)))
+    return files.select("file_ord", "filepath", "path_id", "content").repartition(tasks).mapInArrow(lambda batches: _link_batches(batches, mode, schema), LINKS)
+
+
 def functions_of(parsed: DataFrame) -> DataFrame:
     return parsed.select("file_ord", "path_id", F.posexplode("functions").alias("func_ord", "f")).select("file_ord", "func_ord", "path_id", "f.*")
 

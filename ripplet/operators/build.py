@@ -11,7 +11,7 @@ other side only, where AQE splits it.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ripplet.functions.scalars import base_name, file_id, func_id
@@ -115,3 +115,46 @@ def import_edges(imports: DataFrame, files: DataFrame) -> DataFrame:
 def edges(files: DataFrame, functions: DataFrame, calls: DataFrame, imports: DataFrame, mode: str = "reference") -> DataFrame:
     """The bag of all edges."""
     return contains_edges(functions).unionByName(call_edges(calls, functions, mode)).unionByName(import_edges(imports, files))
+
+
+def _first_anywhere(functions: DataFrame, files: DataFrame) -> DataFrame:
+    """(name, path, place) of the first definition of each name; a place is one number, which is aggregated without sorting."""
+    path = files.groupBy("file_ord").agg(F.min("path_id").alias("path"))
+    first = functions.groupBy("name").agg(F.min(_place()).alias("place")).withColumn("file_ord", F.shiftright("place", 32).cast("int"))
+    return first.join(path, "file_ord").select(F.col("name").alias("other"), "path", "place")
+
+
+def _place() -> Column:
+    return F.shiftleft(F.col("file_ord").cast("bigint"), 32).bitwiseOR(F.col("func_ord").cast("bigint"))
+
+
+def graph_of_links(links: DataFrame, mode: str = "reference") -> tuple[DataFrame, DataFrame]:
+    """Vertices and distinct edges from the rows of ``LINKS`` of ``extract.links_of`` with the same mode.
+
+    These have each function and call of a file once, so only what files of one path hold together is made distinct here.
+    """
+    of = lambda rows, kind: rows.where(F.col("kind") == kind)
+    files = of(links, "file")
+    first = _first_anywhere(of(links, "function"), files)
+    own = func_id(F.col("path_id"), F.col("name"))
+
+    def edges_of(rows: DataFrame) -> DataFrame:
+        far = of(rows, "elsewhere").withColumn("caller", _place()).join(first, "other")
+        if mode == "reference":
+            far = far.where("place <= caller")
+        target = lambda path: func_id(F.col(path), F.col("other")).alias("target")
+        near = of(rows, "here").select(own.alias("source"), target("path_id"), F.lit("CALLS").alias("type"))
+        return contains_edges(of(rows, "function")).unionByName(near).unionByName(far.select(own.alias("source"), target("path"), F.lit("CALLS").alias("type")))
+
+    def vertices_of(functions: DataFrame) -> DataFrame:
+        return functions.select(own.alias("id"), F.lit("Function").alias("type"), "name", "filepath")
+
+    shared = files.groupBy("path_id").agg(F.count("*").alias("n")).where("n > 1").select("path_id")
+    if shared.isEmpty():
+        edges, named = edges_of(links), vertices_of(of(links, "function"))
+    else:
+        alone, together = links.join(shared, "path_id", "left_anti"), links.join(shared, "path_id", "left_semi")
+        first_of = of(together, "function").groupBy("path_id", "name").agg(F.min_by("filepath", "file_ord").alias("filepath"))
+        edges, named = edges_of(alone).unionByName(edges_of(together).distinct()), vertices_of(of(alone, "function")).unionByName(vertices_of(first_of))
+    imported = import_edges(of(links, "import").select("file_ord", F.col("other").alias("module")), files.select("file_ord", "path_id")).distinct()
+    return file_vertices(files).unionByName(named), edges.unionByName(imported)

@@ -39,14 +39,14 @@ def _place(spark: SparkSession, path: str):  # noqa: ANN202
     return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: a cut in the lineage that survives lost executors.
+def materialize(df: DataFrame, name: str, *by: str) -> DataFrame:
+    """Write a table to the shared folder, partitioned if need be, and read it back: a cut in the lineage that survives lost executors.
 
     The table goes when the application ends.
     """
     spark = df.sparkSession
     path = os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     fs, place = _place(spark, path)
     fs.deleteOnExit(place)
     out = spark.read.schema(df.schema).parquet(path)

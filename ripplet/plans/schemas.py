@@ -7,6 +7,8 @@ IMPORT = "module:string,names:array<string>,filepath:string,line:int"
 
 SOURCE_FILES = "file_ord int, filepath string, path_id string, mtime_ns bigint, size bigint, content binary"
 PARSED = f"file_ord int, filepath string, path_id string, mtime_ns bigint, size bigint, functions array<struct<{FUNCTION}>>, imports array<struct<{IMPORT}>>, error string"
+#: What a file holds, a row for each: its kind is file, function, here or elsewhere (a call of that name, defined in the same file or not), import or error.
+LINKS = "kind string, file_ord int, filepath string, path_id string, func_ord int, name string, other string"
 VERTICES = "id string, type string, name string, filepath string"
 EDGES = "source string, target string, type string"
 PROJECTS = "id string, name string, path string, created string, last_analyzed string, vertices bigint, edges bigint, files bigint"

@@ -1,6 +1,9 @@
 import pytest
+from pyspark.sql import functions as F
 
+from ripplet.functions import extract
 from ripplet.operators import build, load
+from ripplet.plans.schemas import SOURCE_FILES
 
 
 @pytest.fixture
@@ -76,3 +79,39 @@ def test_edges_survive_hot_names(spark):
     functions = spark.createDataFrame([(i, 0, f"{i}.py", "get") for i in range(50)], "file_ord int, func_ord int, path_id string, name string")
     calls = spark.range(2000).selectExpr("cast(id % 50 as int) as file_ord", "0 as func_ord", "'get' as callee")
     assert build.call_edges(calls, functions).count() == 2000
+
+
+PROGRAM = [
+    ("./a.py", "a.py", "import b, b\nimport pkg\nfrom . import x\ndef f():\n    late()\n    g()\n    g()\n    far()\n    f()\ndef g(): f()\ndef late(): pass\n"),
+    ("./b.py", "b.py", "import a\nfrom a import f\nimport missing\ndef far(): twice()\ndef twice(): nowhere()\nclass K:\n    def f(self): self.g()\n    def twice(self): far()\n"),
+    ("./broken.py", "broken.py", "def (:\n"),
+    ("./one/u.py", "x/y/u.py", "from u import *\ndef h(): g()\ndef k():\n    h()\n    only()\n"),
+    ("./two/u.py", "x/y/u.py", "def only(): h()\ndef k():\n    only()\n    def inner(): later()\n    def k(): inner()\n"),
+    ("./empty.py", "empty.py", ""),
+    ("./imports.py", "imports.py", "import a as c\nif True:\n    from y.u import k\n"),
+    ("./pkg/__init__.py", "pkg/__init__.py", "def later():\n    f()\n    h()\n    k()\n"),
+]
+
+
+def program_files(spark, lines):
+    return spark.createDataFrame([(at, name, path, 0, len(text), text.encode()) for at, (name, path, text) in enumerate(lines)], SOURCE_FILES)
+
+
+@pytest.mark.parametrize(("lines", "repeats"), [(PROGRAM, 1), (PROGRAM, 2), (PROGRAM[:3] + PROGRAM[5:], 1), (PROGRAM[5:6], 1), ([], 1)], ids=["shared path", "rows twice", "own paths", "empty file", "no files"])
+@pytest.mark.parametrize("mode", ["reference", "complete"])
+def test_a_graph_of_links_is_the_graph_of_parsed_files(spark, lines, repeats, mode):
+    """Also where files share a path, names are defined again, and rows of the table are there twice."""
+    files = program_files(spark, lines * repeats).withColumn("file_ord", F.col("file_ord") % max(1, len(lines)))
+    parsed = extract.parsed_files(files).cache()
+    known, functions = parsed.select("file_ord", "filepath", "path_id"), extract.functions_of(parsed)
+    vertices, edges = build.graph_of_links(extract.links_of(files, mode).cache(), mode)
+    assert rows(edges) == rows(build.edges(known, functions, extract.calls_of(parsed), extract.imports_of(parsed), mode).distinct())
+    assert rows(vertices.select("id", "type", "name", "filepath")) == rows(build.vertices(known, functions).distinct())
+
+
+def test_files_of_one_part_are_dealt_to_many_tasks(spark):
+    files = program_files(spark, [(f"{k}.py", f"{k}.py", "def f(): pass\n") for k in range(64)]).coalesce(1)
+    sizes = extract.links_of(files).where("kind = 'file'").rdd.mapPartitions(lambda part: [sum(1 for _ in part)]).collect()
+    assert sum(sizes) == 64 and len(sizes) == 4 and max(sizes) < 32
+    with pytest.raises(ValueError):
+        extract.links_of(files, "other")

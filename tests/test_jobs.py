@@ -55,6 +55,23 @@ def test_risk_report_leaves_no_stale_partitions(spark, tmp_path):
     assert [r.id for r in spark.read.schema(question_log.RISKS).parquet(f"{tmp_path}/out/vertices").collect()] == ["file::a.py"]
 
 
+def shuffled_rows(spark):
+    sc = spark.sparkContext
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+    return sum(stages.apply(k).shuffleWriteRecords() for k in range(stages.size()))
+
+
+def test_calls_within_a_file_are_not_shuffled(spark, tmp_path):
+    """A function goes to the count of its dependents and to the first definitions of its name; its calls, callers and edges stay in the task that has its file."""
+    files, functions = 40, 200
+    sources(spark, f"{tmp_path}/in", {f"m{k}.py": "".join(f"def f{k}_{i}():\n    f{k}_{(i + 1) % functions}()\n" for i in range(functions)) for k in range(files)})
+    before = shuffled_rows(spark)
+    numbers = risk_report.run(spark, f"{tmp_path}/in", f"{tmp_path}/out")
+    assert numbers == {"files_read": files, "vertices_written": files * (functions + 1), "edges_written": 2 * files * functions, "errors_written": 0}
+    assert shuffled_rows(spark) - before < 3.5 * files * functions
+    assert {r.n_dependents for r in spark.read.parquet(f"{tmp_path}/out/vertices").where("type = 'Function'").collect()} == {1}
+
+
 @pytest.fixture
 def paths(spark, tmp_path):
     spark.createDataFrame(RISKS, question_log.RISKS).write.partitionBy("type", "risk").parquet(f"{tmp_path}/risks")
