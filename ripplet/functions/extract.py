@@ -31,32 +31,36 @@ def _visit(tree: ast.AST) -> tuple[list[str], list[tuple[int, ast.AST, int, int]
     """Every node once, depth first: the names of calls, with repeats; functions with their depth and the stretch of names that is theirs; imports with their depth."""
     called, functions, imports = [], [], []
     stack: list[tuple] = [(tree, 0)]
+    push, leaves, fields_of = stack.append, _LEAVES, _FIELDS
+    node_type, name_type, call_type, expr_type, function_type = ast.AST, ast.Name, ast.Call, ast.Expr, ast.FunctionDef
     while stack:
         node, depth = stack.pop()
         kind = type(node)
-        if kind is ast.Expr:  # most statements; what is below it is next anyway
+        if kind is expr_type:  # most statements; what is below it is next anyway
             node, depth = node.value, depth + 1
             kind = type(node)
-            if kind in _LEAVES:
+            if kind in leaves:
                 continue
         if kind is int:  # all of that function has been seen
             functions[node] = (*functions[node], len(called))
             continue
-        if kind is ast.Call:
+        if kind is call_type:
             name = node.func
-            if type(name) is ast.Name:
+            if type(name) is name_type:
                 called.append(name.id)
+                if not node.args and not node.keywords:
+                    continue
             elif type(name) is ast.Attribute:
                 called.append(name.attr)
-        elif kind is ast.FunctionDef or kind is ast.AsyncFunctionDef:
-            stack.append((len(functions), 0))
+        elif kind is function_type or kind is ast.AsyncFunctionDef:
+            push((len(functions), 0))
             functions.append((depth, node, len(called)))
         elif kind is ast.Import or kind is ast.ImportFrom:
             imports.append((depth, node))
             continue
-        fields = _FIELDS.get(kind)
+        fields = fields_of.get(kind)
         if fields is None:
-            fields = _FIELDS[kind] = tuple(f for f in reversed(kind._fields) if f not in _PLAIN)
+            fields = fields_of[kind] = tuple(f for f in reversed(kind._fields) if f not in _PLAIN)
         depth += 1
         for field in fields:
             below = getattr(node, field, None)
@@ -64,10 +68,10 @@ def _visit(tree: ast.AST) -> tuple[list[str], list[tuple[int, ast.AST, int, int]
                 continue
             if type(below) is list:
                 for child in reversed(below):
-                    if type(child) not in _LEAVES and isinstance(child, ast.AST):
-                        stack.append((child, depth))
-            elif type(below) not in _LEAVES and isinstance(below, ast.AST):
-                stack.append((below, depth))
+                    if type(child) not in leaves and isinstance(child, node_type):
+                        push((child, depth))
+            elif type(below) not in leaves and isinstance(below, node_type):
+                push((below, depth))
     return called, functions, imports
 
 
@@ -161,12 +165,15 @@ def _linked(tree: ast.AST, mode: str) -> dict[str, list[tuple]]:
         first.setdefault(node.name, at)
     here, elsewhere = {}, {}
     for at, (_, node, begin, end) in enumerate(defined):
+        if begin == end:
+            continue
+        name = node.name
         for callee in called[begin:end]:
             place = first.get(callee)
             if place is None:
-                elsewhere[node.name, callee] = at
+                elsewhere[name, callee] = at
             elif mode == "complete" or place <= at:
-                here[node.name, callee] = at
+                here[name, callee] = at
     modules = {m: None for _, node in imported for m in ([a.name for a in node.names] if isinstance(node, ast.Import) else [node.module or ""])}
     return {
         "function": [(at, name, None) for name, at in first.items()],

@@ -65,12 +65,18 @@ def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Python source text for every supplier: two imports, and for every part a function that calls the parts after it in orders."""
     lines = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey", "l_orderkey", "l_linenumber")
     follows = lines.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("l_partkey").alias("next_partkey"))
-    order = F.struct("l_orderkey", "l_linenumber", "next_partkey")
-    bodies = lines.join(follows, ["l_orderkey", "l_linenumber"], "left").groupBy("l_suppkey", "l_partkey").agg(F.sort_array(F.collect_list(F.when(F.col("next_partkey").isNotNull(), order))).alias("c"))
-    called = F.transform("c", lambda x: F.concat(F.lit("    part_"), x["next_partkey"].cast("string"), F.lit("()")))
-    body = F.when(F.size("c") == 0, "    pass").otherwise(F.array_join(called, "\n"))
-    code = bodies.select("l_suppkey", F.struct("l_partkey", F.concat(F.lit("def part_"), F.col("l_partkey").cast("string"), F.lit("():\n"), body).alias("code")).alias("f"))
-    defined = code.groupBy("l_suppkey").agg(F.array_join(F.sort_array(F.collect_list("f"))["code"], "\n").alias("defs"))
+    # one list for each supplier: by part, calls in order, lines that nothing follows last
+    entry = F.struct("l_partkey", F.col("next_partkey").isNull().alias("none"), "l_orderkey", "l_linenumber", "next_partkey")
+    listed = lines.where("l_partkey is not null").join(follows, ["l_orderkey", "l_linenumber"], "left").groupBy("l_suppkey").agg(F.sort_array(F.collect_list(entry)).alias("e"))
+
+    def line(x: F.Column, i: F.Column) -> F.Column:
+        """With its function's head before the first line of each part; null where nothing follows but something did before."""
+        body = F.concat(F.lit("    part_"), x["next_partkey"].cast("string"), F.lit("()"))
+        head = F.concat(F.lit("def part_"), x["l_partkey"].cast("string"), F.lit("():\n"))
+        again = F.get("e", i - 1)["l_partkey"].eqNullSafe(x["l_partkey"])
+        return F.when(again, body).otherwise(F.concat(head, F.coalesce(body, F.lit("    pass"))))
+
+    defined = listed.select("l_suppkey", F.array_join(F.transform("e", line), "\n").alias("defs"))
     suppliers = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     key = lambda c: F.col(c).cast("string")
     head = F.concat(F.lit("import nation_"), key("s_nationkey"), F.lit("\nfrom ledger import s_"), key("s_suppkey"), F.lit(", total\n"))

@@ -5,6 +5,7 @@ import re
 import pytest
 
 from ripplet.operators import build, load, resolve, traverse
+from ripplet.plans import derived
 from ripplet.plans.schemas import EDGES
 from ripplet.streaming import status
 
@@ -95,3 +96,21 @@ def test_a_key_costs_two_round_trips_to_its_state():
     for seq in (1, 2):
         found = [tuple(r) for r in changes.handleInputRows(("k",), iter([line("k", seq, "on", None, None, None)]), None)]
         assert len(found) == (seq == 1) and changes.last.asked == 2 * seq
+
+
+def test_source_text_of_suppliers(spark, tmp_path):
+    """As put together in plain Python, also with lines that are there twice, lack a part or an order, and suppliers without lines; lines go to their supplier in one shuffle, not to each part first."""
+    lines = [(1, 5, 1, 1), (1, 7, 1, 2), (1, 7, 1, 2), (1, 5, 2, 3), (2, 7, 1, 3), (2, 9, 1, 1), (2, 7, 2, 1), (2, 9, 2, 2), (2, 5, 1, 3), (1, None, 1, 1), (1, 8, None, 1), (1, 8, None, 2), (2, None, 2, 4), (2, 6, 2, 4)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(1, 3), (2, 4), (3, 4)], "s_suppkey long, s_nationkey long").write.parquet(f"{tmp_path}/supplier.parquet")
+    expected = {}
+    for supplier, nation in ((1, 3), (2, 4), (3, 4)):
+        calls = {part: [] for _, part, s, _ in sorted(lines, key=lambda x: x[1] or 0) if s == supplier and part is not None}
+        for order, part, s, number in lines:
+            if s == supplier and part is not None and order is not None:
+                calls[part] += [(order, number, p) for o, p, _, n in lines if o == order and n == number + 1 and p is not None]
+        code = [f"def part_{part}():\n" + ("\n".join(f"    part_{p}()" for _, _, p in sorted(c)) or "    pass") for part, c in calls.items()]
+        expected[supplier] = f"import nation_{nation}\nfrom ledger import s_{supplier}, total\n" + "\n".join(code) + "\n"
+    found = derived.source_files(spark, str(tmp_path))
+    assert {r.file_ord: bytes(r.content).decode() for r in found.collect()} == expected
+    assert re.search(r"hashpartitioning\(l_suppkey#\d+L?, \d", plan(found)) and not re.search(r"hashpartitioning\(l_suppkey#\d+L?, l_partkey", plan(found))
